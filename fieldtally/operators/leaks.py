@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.text import PHONE, UNICODE
 
-WORD = r"(?U)[^\w]+"
+# Fixed value: what separates words.
+WORD = r"[^\p{L}\p{M}\p{N}_]+"
+
+BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def phone_keys(text: Column) -> Column:
@@ -17,19 +21,32 @@ def phone_keys(text: Column) -> Column:
 
 
 def word_keys(text: Column, length: int) -> Column:
-    """Every run of ``length`` words, lower case, joined by single blanks."""
+    """Every distinct run of ``length`` words, lower case, joined by single blanks."""
     words = F.filter(F.split(F.lower(text), WORD), lambda word: word != "")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (length - 1), F.lit(0))),
-        lambda at: F.array_join(F.slice(words, at, length), " "),
-    )
-    return F.array_distinct(F.when(F.size(words) >= length, runs).otherwise(F.array().cast("array<string>")))
+
+    def runs(of: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(of) - (length - 1))
+        joined = F.transform(starts, lambda at: F.array_join(F.slice(of, at, length), " "))
+        return F.when(F.size(of) >= length, F.array_distinct(joined))
+
+    # bound as a lambda variable, the words are split once per text and not once per run
+    return F.element_at(F.transform(F.array(words), runs), 1)
+
+
+def _known(keys: DataFrame) -> DataFrame:
+    """The distinct secret keys, broadcast only once their number and size are known to be small."""
+    known = keys.distinct()
+    size = known.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")
+    ).first()
+    small = size.rows <= BROADCAST_KEYS and size.bytes <= BROADCAST_BYTES
+    return F.broadcast(known) if small else known
 
 
 def leaked_phones(secrets: DataFrame, secret: str, logs: DataFrame, log_id: str, text: str) -> DataFrame:
     """``(log_id, key)`` for each phone of ``secrets`` seen in a log text, however it is spaced."""
     seen = logs.select(F.col(log_id).alias("log_id"), F.explode(phone_keys(F.col(text))).alias("key"))
-    known = secrets.select(F.explode(phone_keys(F.col(secret))).alias("key")).distinct()
+    known = _known(secrets.select(F.explode(phone_keys(F.col(secret))).alias("key")))
     return seen.join(known, "key", "left_semi").select("log_id", "key")
 
 
@@ -38,9 +55,9 @@ def leaked_names(
 ) -> DataFrame:
     """``(log_id, key)`` for each run of words of the secret texts seen in a log text.
 
-    The runs of the two sides meet in an equi-join on the run itself: no pair of a secret and a log is
-    ever formed, and a run is kept once per log before the shuffle.
+    The runs of the two sides meet in an equi-join on the run itself, so no pair of a secret and a log is
+    ever formed. With few secrets the logs are not shuffled at all; with many, each log sends a run once.
     """
     seen = logs.select(F.col(log_id).alias("log_id"), F.explode(word_keys(F.col(text), words)).alias("key"))
-    known = secrets.select(F.explode(word_keys(F.col(secret), words)).alias("key")).distinct()
+    known = _known(secrets.select(F.explode(word_keys(F.col(secret), words)).alias("key")))
     return seen.join(known, "key", "left_semi").select("log_id", "key")

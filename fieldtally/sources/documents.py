@@ -8,6 +8,7 @@ import io
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.functions.text import DOCUMENT_CAP, cap_chars
 
@@ -16,7 +17,7 @@ ROW_CAP = 200
 OMITTED = "[... more rows omitted ...]\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _csv_as_text(contents: pd.Series) -> pd.Series:
     """Quoting rules of CSV need a reader; each file is one cell and stops at the row cap."""
 
