@@ -16,6 +16,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sql_text(value: object) -> str:
+    """A SQL string literal, or a typed NULL."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_number(value: float | int | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
 def family(dtype: T.DataType) -> str:
     """``whole``, ``real``, ``text``, ``bool``, ``time`` or ``other``."""
     if isinstance(dtype, WHOLE):

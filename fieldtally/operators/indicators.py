@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.errors import NotComputable
-from fieldtally.functions.numbers import progress_pct
-from fieldtally.operators.measures import Part, Tally, check_column, parts_of
+from fieldtally.functions.columns import sql_number, sql_text
+from fieldtally.operators.measures import (
+    CATEGORY, LANE, Conditions, Part, Result, Tally, check_column, parts_of,
+)
 
 COMPUTED, NOT_COMPUTABLE = "computed", "not_computable"
+BREAKDOWN_SCHEMA = (
+    "position int, code string, dimension string, category string, value double, reason string"
+)
 
 
 @dataclass
@@ -29,60 +34,61 @@ class Entry:
     refused: dict[str, str] = field(default_factory=dict)
 
 
-def entry_for(
-    position: int, item: Mapping, df: DataFrame, pii: Sequence[str], dataset: str
-) -> Entry:
+def entry_for(position: int, item: Mapping, conditions: Conditions, dataset: str) -> Entry:
     """Check the measure and every dimension; a bad dimension costs only its own breakdown."""
     entry = Entry(position, item, dataset)
     try:
-        entry.parts = parts_of(df, item["measure"], pii)
+        entry.parts = parts_of(item["measure"], conditions)
     except NotComputable as problem:
         entry.reason = problem.reason
         return entry
     for dimension in dict.fromkeys(item.get("disaggregation") or []):
         try:
-            entry.dimensions.append(check_column(df, dimension, pii))
+            entry.dimensions.append(check_column(conditions.df, dimension, conditions.pii))
         except NotComputable as problem:
             entry.refused[dimension] = problem.reason
     return entry
 
 
-def text(value: object) -> Column:
-    return F.lit(None if value is None else str(value)).cast("string")
+def _record(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def summary_row(entry: Entry, value: Column, reason: Column) -> Column:
+def _unfold(records: Sequence[str]) -> Column:
+    return F.expr(f"inline(array({', '.join(records)}))")
+
+
+def summary_record(entry: Entry, result: Result) -> str:
     """The summary record of one indicator."""
-    target = entry.item.get("target") or {}
-    goal = F.lit(None if target.get("value") is None else float(target["value"])).cast("double")
-    name = entry.item.get("name") or {}
-    actual = F.when(reason.isNull(), value)
-    return F.struct(
-        F.lit(entry.position).alias("position"),
-        text(entry.item.get("code")).alias("code"),
-        text(name.get("uk")).alias("name_uk"),
-        text(name.get("en")).alias("name_en"),
-        text(entry.dataset).alias("dataset"),
-        goal.alias("target"),
-        text(target.get("unit")).alias("unit"),
-        actual.alias("actual"),
-        progress_pct(actual, goal).alias("progress_pct"),
-        F.when(reason.isNull(), COMPUTED).otherwise(NOT_COMPUTABLE).alias("status"),
-        reason.alias("reason"),
+    target, name = entry.item.get("target") or {}, entry.item.get("name") or {}
+    goal, actual = sql_number(target.get("value")), f"IF(({result.reason}) IS NULL, {result.value}, NULL)"
+    return _record(
+        position=str(entry.position),
+        code=sql_text(entry.item.get("code")),
+        name_uk=sql_text(name.get("uk")),
+        name_en=sql_text(name.get("en")),
+        dataset=sql_text(entry.dataset),
+        target=goal,
+        unit=sql_text(target.get("unit")),
+        actual=actual,
+        progress_pct=f"round(100.0D * {actual} / nullif({goal}, 0.0D), 1)",
+        status=f"IF(({result.reason}) IS NULL, '{COMPUTED}', '{NOT_COMPUTABLE}')",
+        reason=result.reason,
     )
 
 
 def known_rows(spark: SparkSession, entries: Sequence[Entry]) -> DataFrame:
     """Summary rows of indicators that fail before any job; as many as the registry lists."""
-    rows = [summary_row(e, F.lit(None).cast("double"), text(e.reason)) for e in entries]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(1).select(
+        _unfold([summary_record(e, Result(sql_number(None), sql_text(e.reason))) for e in entries])
+    )
 
 
 class IndicatorRun:
     """All indicators of one table. ``counts`` is the one distributed result; the rest reads it."""
 
-    def __init__(self, df: DataFrame, entries: Sequence[Entry], pii: Sequence[str] = ()) -> None:
-        self.spark = df.sparkSession
+    def __init__(self, entries: Sequence[Entry], conditions: Conditions) -> None:
+        self.spark = conditions.df.sparkSession
         self.failed = [e for e in entries if e.reason is not None]
         self.open = [e for e in entries if e.reason is None]
         lanes: list[str | None] = [None, *dict.fromkeys(d for e in self.open for d in e.dimensions)]
@@ -90,16 +96,18 @@ class IndicatorRun:
         for entry in self.open:
             for lane in (None, *entry.dimensions):
                 parts[lane] += entry.parts
-        self.tally = Tally(df, lanes, parts, pii) if self.open else None
+        self.tally = Tally(conditions, lanes, parts) if self.open else None
         self.counts = self.tally.frame if self.tally else None
 
+    def _result(self, entry: Entry) -> Result:
+        return self.tally.result(entry.item["measure"], entry.parts)
+
     def summary(self) -> DataFrame:
         """``(position, code, name_uk, name_en, dataset, target, unit, actual, progress_pct, status, reason)``."""
         frames = []
         if self.open:
-            results = [(e, self.tally.result(e.item["measure"], e.parts)) for e in self.open]
-            rows = F.array(*(summary_row(e, r.value, r.reason) for e, r in results))
-            frames.append(self.counts.filter(F.col("lane") == 0).select(F.inline(rows)))
+            totals = self.counts.filter(F.col(LANE) == 0)
+            frames.append(totals.select(_unfold([summary_record(e, self._result(e)) for e in self.open])))
         if self.failed:
             frames.append(known_rows(self.spark, self.failed))
         return reduce(DataFrame.unionByName, frames)
@@ -109,35 +117,26 @@ class IndicatorRun:
 
         A dimension that cannot be used has one row with its reason and no category.
         """
-        schema = "position int, code string, dimension string, category string, value double, reason string"
         frames = []
-        per_lane = []
-        for lane in self.tally.lanes[1:] if self.tally else []:
-            rows = [
-                self._row(e, lane, F.col("category"), self.tally.result(e.item["measure"], e.parts))
-                for e in self.open if lane in e.dimensions
-            ]
-            per_lane.append((self.tally.lane_number(lane), F.array(*rows)))
-        if per_lane:
-            chosen = reduce(
-                lambda chain, pair: chain.when(F.col("lane") == pair[0], pair[1]), per_lane[1:],
-                F.when(F.col("lane") == per_lane[0][0], per_lane[0][1]),
-            )
-            frames.append(self.counts.filter(F.col("lane") > 0).select(F.inline(chosen)))
-        refusals = [(e, d, why) for e in self.open for d, why in e.refused.items()]
+        lanes = self.tally.lanes[1:] if self.tally else []
+        if lanes:
+            cases = []
+            for lane in lanes:
+                records = [
+                    self._breakdown_record(e, lane, CATEGORY, self._result(e))
+                    for e in self.open if lane in e.dimensions
+                ]
+                cases.append(f"WHEN {self.tally.lane_number(lane)} THEN array({', '.join(records)})")
+            chosen = F.expr(f"inline(CASE {LANE} {' '.join(cases)} END)")
+            frames.append(self.counts.filter(F.col(LANE) > 0).select(chosen))
+        refusals = [
+            self._breakdown_record(e, d, sql_text(None), Result(sql_number(None), sql_text(why)))
+            for e in self.open for d, why in e.refused.items()
+        ]
         if refusals:
-            none = F.lit(None)
-            rows = [
-                F.struct(
-                    F.lit(e.position).alias("position"), text(e.item["code"]).alias("code"),
-                    F.lit(d).alias("dimension"), none.cast("string").alias("category"),
-                    none.cast("double").alias("value"), F.lit(why).alias("reason"),
-                )
-                for e, d, why in refusals
-            ]
-            frames.append(self.spark.range(1).select(F.inline(F.array(*rows))))
+            frames.append(self.spark.range(1).select(_unfold(refusals)))
         if not frames:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], BREAKDOWN_SCHEMA)
         out = reduce(DataFrame.unionByName, frames)
         if any(e.item["measure"]["aggregation"] in ("percent", "sum") for e in self.open):
             # these can still fail on the data; the summary has one row per registry item
@@ -146,18 +145,19 @@ class IndicatorRun:
         return out
 
     @staticmethod
-    def _row(entry: Entry, dimension: str, category: Column, result) -> Column:
-        return F.struct(
-            F.lit(entry.position).alias("position"),
-            text(entry.item["code"]).alias("code"),
-            F.lit(dimension).alias("dimension"),
-            category.alias("category"),
-            F.when(result.reason.isNull(), result.value).alias("value"),
-            result.reason.alias("reason"),
+    def _breakdown_record(entry: Entry, dimension: str, category: str, result: Result) -> str:
+        return _record(
+            position=str(entry.position),
+            code=sql_text(entry.item["code"]),
+            dimension=sql_text(dimension),
+            category=category,
+            value=f"IF(({result.reason}) IS NULL, {result.value}, NULL)",
+            reason=result.reason,
         )
 
 
 def evaluate_indicators(
     df: DataFrame, items: Sequence[Mapping], pii: Sequence[str] = (), dataset: str = "dataset"
 ) -> IndicatorRun:
-    return IndicatorRun(df, [entry_for(n, item, df, pii, dataset) for n, item in enumerate(items)], pii)
+    conditions = Conditions(df, pii)
+    return IndicatorRun([entry_for(n, item, conditions, dataset) for n, item in enumerate(items)], conditions)

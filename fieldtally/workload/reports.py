@@ -302,7 +302,7 @@ def _split_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = activities(untidy, read_spec({**FIVE_W, "what": {"field": "services", "split": ";|"}}))
     return untidy.select(
-        "record_id", F.size(names).alias("n_activities"), F.array_join(F.array_sort(names), "+").alias("names")
+        "record_id", F.size(names).cast("bigint").alias("n_activities"), F.array_join(F.array_sort(names), "+").alias("names")
     )
 
 

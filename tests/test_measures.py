@@ -4,7 +4,7 @@ import pytest
 
 from fieldtally.errors import NotComputable
 from fieldtally.operators.indicators import evaluate_indicators
-from fieldtally.operators.measures import BITS, Distinct, Tally, evaluate_measure
+from fieldtally.operators.measures import BITS, Conditions, Distinct, Tally, evaluate_measure
 
 PII = ["resp_phone"]
 PERCENT = {
@@ -155,8 +155,8 @@ def test_membership_is_within_the_category(spark):
 def test_more_conditions_than_one_mask_holds(spark):
     df = spark.range(200).selectExpr("id AS n", "id % 3 AS g")
     parts = [Distinct("n", f"n >= {k}") for k in range(BITS + 5)]
-    tally = Tally(df, [None, "g"], {None: parts, "g": parts})
-    row = tally.frame.filter("lane = 0").first()
+    tally = Tally(Conditions(df, []), [None, "g"], {None: parts, "g": parts})
+    row = tally.frame.filter("__lane = 0").first()
     assert [row[f"d{k}"] for k in range(len(parts))] == [200 - k for k in range(len(parts))]
 
 
