@@ -12,6 +12,7 @@ from fieldtally.functions.categories import spelling_key
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.dates import parse_dates
 from fieldtally.operators.rowids import ROW_ID, derived_ids, keep_first, unique_id
+from fieldtally.session import staged
 
 BROADCAST_SPELLINGS = 100_000  # mapping rows that fit every executor with ease
 MAX_SPELLING = 1_000  # characters; longer variants go through the shuffled join
@@ -97,8 +98,11 @@ def apply_spellings(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame
 def category_normalize(
     df: DataFrame, column: str, suffixes: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """The frame with one spelling per category, and the mapping that was applied."""
-    mapping = spelling_map(df, column, suffixes)
+    """The frame with one spelling per category, and the mapping that was applied.
+
+    The mapping is written once to the shared folder: it is sized, joined and reported from there.
+    """
+    mapping = staged(spelling_map(df, column, suffixes), "spellings")
     return apply_spellings(df, column, mapping), mapping
 
 
@@ -129,7 +133,8 @@ class Cleaned:
 def clean_dataset(df: DataFrame, plan: CleaningPlan) -> Cleaned:
     """Ids, duplicates, impossible values, dates, spellings, missing rates - in that order.
 
-    Every column stays, personal data included; the input is only read.
+    Every column stays, personal data included; the input is only read. The spelling maps and the report
+    read only the columns they need, so just the table itself shuffles whole rows, once.
     """
     id_field, created = plan.id_field, False
     source = df

@@ -1,9 +1,9 @@
 """The Who-What-Where-When-Whom matrix: distinct beneficiaries per place, month and activity.
 
-Rows are unfolded by activity and, in the same step, by lane: one narrow record for the total and one per
-disaggregation column. Taking the distinct (keys, lane, category, id) first spreads a busy place or month by id
-and is combined before the shuffle; the grouping after it only counts. The wide table is formed from
-those counts, never from submissions.
+Rows are unfolded by activity and reduced to the keys, the id, and one bit per category of each
+disaggregation column. Grouping by (keys, id) with ``bit_or`` first spreads a busy place or month by id and
+is combined before the shuffle; the grouping by keys after it counts ids and bits, which gives the wide
+table at once: no pivot, no join, and one record per beneficiary however many columns are broken down.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from fieldtally.functions.columns import col, families
 from fieldtally.functions.dates import month_bucket, parse_dates
 from fieldtally.functions.text import split_activities
 from fieldtally.plans.specs import five_w_problems
-from fieldtally.session import staged
+
+BITS = 62  # categories held by one bigint mask
 
 
 @dataclass(frozen=True)
@@ -94,48 +95,54 @@ def reach(df: DataFrame, spec: FiveWSpec) -> DataFrame:
     )
 
 
-def counts(df: DataFrame, spec: FiveWSpec) -> DataFrame:
-    """Long form: ``keys, lane, category, n``; lane 0 is the total, lane i the i-th dimension."""
-    lanes = [
-        F.struct(F.lit(0).alias("lane"), F.lit(None).cast("string").alias("category")),
-        *(
-            F.struct(F.lit(n).alias("lane"), category_key(col(name)).alias("category"))
-            for n, name in enumerate(spec.dimensions, 1)
-        ),
-    ]
-    rows = df.select(
-        *_keys(df, spec),
-        col(spec.id_field).alias("__id"),
-        F.array(*lanes).alias("__lanes"),
-        F.explode(F.array_distinct(activities(df, spec))).alias("Activity"),
-    ).select(*map(col, spec.keys), "__id", F.inline("__lanes"))
-    keys = [*map(col, spec.keys), F.col("lane"), F.col("category")]
-    return rows.distinct().groupBy(*keys).agg(F.count("__id").alias("n"))
-
+def categories(df: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
+    """Category labels per dimension among rows with an activity.
 
-def categories(long: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
-    """Category labels per dimension: the output columns, so few enough for the driver by nature."""
+    They become output columns, so they are few enough for the driver by nature.
+    """
     if not spec.dimensions:
         return {}
-    found = long.filter(F.col("lane") > 0).select("lane", "category").distinct().collect()
+    labels = F.array(*(
+        F.struct(F.lit(n).alias("at"), category_key(col(name)).alias("label"))
+        for n, name in enumerate(spec.dimensions)
+    ))
+    found = df.filter(F.size(activities(df, spec)) > 0).select(F.inline(labels)).distinct().collect()
     return {
-        name: ordered_labels([row.category for row in found if row.lane == n])
-        for n, name in enumerate(spec.dimensions, 1)
+        name: ordered_labels([row.label for row in found if row.at == n])
+        for n, name in enumerate(spec.dimensions)
     }
 
 
-def pivoted(long: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row per key set; absent categories are zero; constants first."""
-    n = F.col("n")
-    columns = [F.max(F.when(F.col("lane") == 0, n)).alias("Beneficiaries")]
-    for lane, name in enumerate(spec.dimensions, 1):
-        for label in labels[name]:
-            here = (F.col("lane") == lane) & (F.col("category") == F.lit(label))
-            columns.append(F.coalesce(F.max(F.when(here, n)), F.lit(0)).alias(f"{name}={label}"))
-    table = long.groupBy(*map(col, spec.keys)).agg(*columns)
+def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per key set, sorted; absent categories are zero; constants first."""
+    masks: dict[str, Column] = {}
+    bits: list[tuple[str, str, int]] = []
+    for at, name in enumerate(spec.dimensions):
+        for start in range(0, len(labels[name]), BITS):
+            chunk, mask = list(labels[name][start : start + BITS]), f"__m{at}_{start}"
+            place = F.array_position(F.array(*map(F.lit, chunk)), category_key(col(name)))
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - 1).cast("int"))
+            masks[mask] = F.when(place > 0, bit).otherwise(F.lit(0))
+            bits += [(f"{name}={label}", mask, bit) for bit, label in enumerate(chunk)]
+    rows = df.select(
+        *_keys(df, spec), col(spec.id_field).alias("__id"),
+        *(value.alias(mask) for mask, value in masks.items()),
+        F.explode(F.array_distinct(activities(df, spec))).alias("Activity"),
+    )
+    keys = [col(key) for key in spec.keys]
+    by_id = rows.groupBy(*keys, F.col("__id"))
+    per_id = by_id.agg(*(F.bit_or(mask).alias(mask) for mask in masks)) if masks else rows.distinct()
+    has_id = F.col("__id").isNotNull()
+    table = per_id.groupBy(*keys).agg(
+        F.count("__id").alias("Beneficiaries"),
+        *(
+            F.count_if(has_id & (F.col(mask).bitwiseAND(F.lit(1 << bit)) != 0)).alias(label)
+            for label, mask, bit in bits
+        ),
+    )
     return table.select(
         *(F.lit(value).alias(name) for name, value in spec.fixed.items()), *map(col, table.columns)
-    ).orderBy(*map(col, spec.keys))
+    ).orderBy(*keys)
 
 
 @dataclass(frozen=True)
@@ -149,18 +156,14 @@ def five_w(
     spec: Mapping,
     pii: Sequence[str] = (),
     labels: Mapping[str, Sequence[str]] | None = None,
-    stage: bool = True,
 ) -> FiveW:
     """The matrix, sorted by its keys, and its one-row summary.
 
-    Without ``labels`` the category labels are looked up first; the counts are then written once to the
-    shared folder (``stage``) so that the lookup and the table do not both scan the submissions.
+    Without ``labels`` the category labels are looked up first, in a pass over only the activity and
+    disaggregation columns.
     """
     plan = read_spec(spec)
     check_columns(df, plan, pii)
-    long = counts(df, plan)
     if labels is None:
-        if stage and plan.dimensions:
-            long = staged(long, "fivew")
-        labels = categories(long, plan)
-    return FiveW(pivoted(long, plan, labels), reach(df, plan))
+        labels = categories(df, plan)
+    return FiveW(matrix(df, plan, labels), reach(df, plan))

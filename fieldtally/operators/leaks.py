@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.text import PHONE, UNICODE
+from fieldtally.functions.text import PHONE_SEARCH
 
 # Fixed value: what separates words.
 WORD = r"[^\p{L}\p{M}\p{N}_]+"
@@ -16,18 +16,18 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def phone_keys(text: Column) -> Column:
     """Digits of every phone number in a text."""
-    found = F.regexp_extract_all(text, F.lit(UNICODE + PHONE), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda phone: F.regexp_replace(phone, r"\D", "")))
+    found = F.regexp_extract_all(text, F.lit(PHONE_SEARCH), F.lit(0))
+    return F.transform(found, lambda phone: F.regexp_replace(phone, r"\D", ""))
 
 
 def word_keys(text: Column, length: int) -> Column:
-    """Every distinct run of ``length`` words, lower case, joined by single blanks."""
+    """Every run of ``length`` words, lower case, joined by single blanks."""
     words = F.filter(F.split(F.lower(text), WORD), lambda word: word != "")
 
     def runs(of: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(of) - (length - 1))
         joined = F.transform(starts, lambda at: F.array_join(F.slice(of, at, length), " "))
-        return F.when(F.size(of) >= length, F.array_distinct(joined))
+        return F.when(F.size(of) >= length, joined)
 
     # bound as a lambda variable, the words are split once per text and not once per run
     return F.element_at(F.transform(F.array(words), runs), 1)
@@ -47,7 +47,7 @@ def leaked_phones(secrets: DataFrame, secret: str, logs: DataFrame, log_id: str,
     """``(log_id, key)`` for each phone of ``secrets`` seen in a log text, however it is spaced."""
     seen = logs.select(F.col(log_id).alias("log_id"), F.explode(phone_keys(F.col(text))).alias("key"))
     known = _known(secrets.select(F.explode(phone_keys(F.col(secret))).alias("key")))
-    return seen.join(known, "key", "left_semi").select("log_id", "key")
+    return seen.join(known, "key", "left_semi").select("log_id", "key").distinct()
 
 
 def leaked_names(
@@ -56,8 +56,8 @@ def leaked_names(
     """``(log_id, key)`` for each run of words of the secret texts seen in a log text.
 
     The runs of the two sides meet in an equi-join on the run itself, so no pair of a secret and a log is
-    ever formed. With few secrets the logs are not shuffled at all; with many, each log sends a run once.
+    ever formed. With few secrets the logs are not shuffled at all, only the hits are.
     """
     seen = logs.select(F.col(log_id).alias("log_id"), F.explode(word_keys(F.col(text), words)).alias("key"))
     known = _known(secrets.select(F.explode(word_keys(F.col(secret), words)).alias("key")))
-    return seen.join(known, "key", "left_semi").select("log_id", "key")
+    return seen.join(known, "key", "left_semi").select("log_id", "key").distinct()

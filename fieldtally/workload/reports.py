@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.functions.categories import category_key, category_order
 from fieldtally.functions.columns import col
 from fieldtally.functions.numbers import progress_pct
-from fieldtally.operators.fivew import activities, counts, five_w, reach, read_spec
+from fieldtally.operators.fivew import activities, five_w, reach, read_spec
 from fieldtally.operators.indicators import evaluate_indicators
 from fieldtally.operators.measures import evaluate_measure
 from fieldtally.operators.period import Period, in_period, source_info
@@ -226,11 +226,15 @@ def _period_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT total.region, total."Activity" AS activity, seg AS category, n AS beneficiaries, k AS in_category
 FROM total LEFT JOIN part ON total.region = part.region AND total."Activity" = part."Activity" """)
 def _join_left_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = read_spec({**FIVE_W, "where": ["region"], "when": {"field": "visit_date", "granularity": "none"}})
-    long = counts(survey(spark, sf_dir, services=True), spec)
-    total = long.filter(F.col("lane") == 0).select("region", "Activity", F.col("n").alias("beneficiaries"))
-    part = long.filter(F.col("lane") == 1).select("region", "Activity", "category", F.col("n").alias("in_category"))
-    return total.join(part, ["region", "Activity"], "left").withColumnRenamed("Activity", "activity")
+    rows = survey(spark, sf_dir, services=True)
+    one = rows.select(
+        "region", "household_id", category_key(col("segment")).alias("category"),
+        F.explode(activities(rows, read_spec(FIVE_W))).alias("activity"),
+    )
+    keys = ["region", "activity"]
+    total = group_counts(one, keys, "household_id").select(*keys, F.col("n_unique").alias("beneficiaries"))
+    part = group_counts(one, [*keys, "category"], "household_id")
+    return total.join(part.select(*keys, "category", F.col("n_unique").alias("in_category")), keys, "left")
 
 
 @query("sort_categories", SURVEY + """
