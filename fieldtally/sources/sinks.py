@@ -22,6 +22,11 @@ def _below(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def _bare(path: str) -> str:
+    """A path without its scheme, so that spellings of one place compare equal."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
+
+
 def sink_pull(df: DataFrame, root: str, name: str) -> int:
     """Write a pulled form with row ids, replacing the previous pull; returns the rows written."""
     path = _below(root, safe_name(name))
@@ -34,7 +39,7 @@ def sink_clean(df: DataFrame, root: str, name: str) -> str:
     if name.endswith("_clean"):
         raise ReportError(f"{name!r} is a clean copy already: clean the raw table")
     path = _below(root, f"{name}_clean")
-    if path in df.inputFiles() or any(f.startswith(path + "/") for f in df.inputFiles()):
+    if any(_bare(f).startswith(_bare(path) + "/") for f in df.inputFiles()):
         raise ReportError(f"{name!r}: the clean copy cannot be built from itself")
     df.write.mode("overwrite").parquet(path)
     return path

@@ -64,8 +64,10 @@ def synthetic_survey(
     numbers = spark.range(rows).select(F.col("id").alias("__n")) if base is None else base.select(
         F.col("n").alias("__n")
     )
-    region = _pick(seed, "region", REGIONS)
-    spelt = F.when((region == MISSPELT) & (_share(seed, "suffix") < 0.05), VARIANT).otherwise(region)
+    # row 0 is always misspelt, so that every size has the defect
+    first = F.col("__n") == 0
+    region = F.when(first, MISSPELT).otherwise(_pick(seed, "region", REGIONS))
+    spelt = F.when((region == MISSPELT) & (first | (_share(seed, "suffix") < 0.05)), VARIANT).otherwise(region)
     sex = F.when(_share(seed, "sex") < 0.58, "female").otherwise("male")
     scored = F.array(*(
         F.struct(_draw(seed, s).alias("score"), F.lit(s).alias("name")) for s in SERVICES

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.categories import category_key, category_order
 from fieldtally.functions.columns import col
+from fieldtally.functions.dates import month_bucket
 from fieldtally.functions.numbers import progress_pct
 from fieldtally.operators.fivew import activities, five_w, reach, read_spec
 from fieldtally.operators.indicators import evaluate_indicators
@@ -88,7 +89,7 @@ def _registry() -> dict:
     ]}
 
 
-@query("indicator_registry", SURVEY + f""", scoped AS (SELECT * FROM survey WHERE {IN_PERIOD})
+@query("indicator_registry", SURVEY + f""", scoped AS MATERIALIZED (SELECT * FROM survey WHERE {IN_PERIOD})
 SELECT '1.1' AS code, 2500.0::DOUBLE AS target, count(DISTINCT household_id)::DOUBLE AS actual,
        round(100.0 * count(DISTINCT household_id) / 2500, 1) AS progress_pct, 'computed' AS status FROM scoped
 UNION ALL SELECT '1.2', 55, round(p, 6), round(100.0 * p / 55, 1), 'computed' FROM (
@@ -112,7 +113,7 @@ def _broken_down(code: str, dimension: str, expression: str, source: str = "scop
     )
 
 
-@query("indicator_breakdown", SURVEY + f""", scoped AS (SELECT * FROM survey WHERE {IN_PERIOD})
+@query("indicator_breakdown", SURVEY + f""", scoped AS MATERIALIZED (SELECT * FROM survey WHERE {IN_PERIOD})
 """ + " UNION ALL ".join([
     _broken_down("1.1", "region", "count(DISTINCT household_id)"),
     _broken_down("1.1", "segment", "count(DISTINCT household_id)"),
@@ -262,17 +263,16 @@ def _sort_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("limit_preview", ACTIVITY + """, matrix AS (
   SELECT region, country, "Period", "Activity", count(DISTINCT household_id) AS n FROM activity GROUP BY ALL)
-SELECT region, country, "Period", "Activity", n AS "Beneficiaries",
-       'first ' || least(200, total) || ' of ' || total || ' rows' AS note
-FROM (SELECT *, count(*) OVER () AS total FROM matrix ORDER BY region, country, "Period", "Activity" LIMIT 200)""")
+SELECT * FROM (SELECT region, country, "Period", "Activity", n AS "Beneficiaries", NULL AS note
+  FROM matrix ORDER BY region, country, "Period", "Activity" LIMIT 200)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL,
+  'first ' || least(200, count(*)) || ' of ' || count(*) || ' rows' FROM matrix""")
 def _limit_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {**FIVE_W, "fixed": None, "whom": {"id_field": "household_id"}}
-    matrix = five_w(survey(spark, sf_dir, services=True), spec).table
-    first, note = limit_preview(matrix, ["region", "country", "Period", "Activity"])
-    shown = note.select(F.concat(
-        F.lit("first "), F.col("shown").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" rows")
-    ).alias("note"))
-    return first.join(F.broadcast(shown), F.lit(True))
+    table_5w = five_w(survey(spark, sf_dir, services=True), spec).table
+    first, note = limit_preview(table_5w, ["region", "country", "Period", "Activity"])
+    text = F.concat(F.lit("first "), F.col("shown"), F.lit(" of "), F.col("total"), F.lit(" rows"))
+    return first.unionByName(note.select(text.alias("note")), allowMissingColumns=True)
 
 
 @query("suppress_high_card", SURVEY + """
@@ -288,8 +288,6 @@ def _suppress_high_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("month_bucket", """
 SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def _month_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldtally.functions.dates import month_bucket
-
     rows = table(spark, sf_dir, "events").select(month_bucket(F.col("ts")).alias("month"), "event_type")
     return rows.groupBy("month", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
