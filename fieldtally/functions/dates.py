@@ -8,64 +8,47 @@ from pyspark.sql import functions as F
 from fieldtally.functions.categories import category_key
 from fieldtally.functions.text import strip
 
-# English month names a date may spell out.
+# English month names a date may spell out, in full or by three letters.
 MONTHS = [
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 ]
 
-CLOCK = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?"
-ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2}|[+-]\d{2})?)?)?)?$"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})" + CLOCK + "$"
-YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + CLOCK + "$"
-YEAR_LAST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + CLOCK + "$"
-DAY_NAMED = r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + CLOCK + "$"
-MONTH_NAMED = r"^([A-Za-z]{3,9})\.?[ -](\d{1,2}),?[ -](\d{4})" + CLOCK + "$"
-
-
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
-def _month_number(name: Column) -> Column:
-    """1..12 for a full or three-letter English name, else 0."""
-    name = F.lower(name)
-    full = F.array_position(F.array(*map(F.lit, MONTHS)), name)
-    short = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), name)
-    return F.greatest(full, short)
-
-
-def _assemble(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    """NULL for a day that does not exist, never an error."""
-    clock = F.when(clock == "", F.lit("00:00")).otherwise(clock)
-    return F.concat_ws(" ", F.concat_ws("-", year, month, day), clock).try_cast("timestamp")
-
-
-def _numeric(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    year, month, day = (_part(text, pattern, g) for g in order)
-    return F.when(text.rlike(pattern), _assemble(year, month, day, _part(text, pattern, 4)))
+CLOCK = r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?$"
+ISO = (
+    r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]+\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
+    r"\s*(Z|UTC|[+-]\d{2}:?\d{2}|[+-]\d{2})?)?)?)?\s*$"
+)
+YEAR, DAY, MONTH, AFTER_MONTHS = r"(\d{4})", r"(\d{1,2})", "(0?[1-9]|1[0-2])", r"(1[3-9]|[2-9]\d)"
+NAME = "(" + "|".join(f"{m[:3]}(?=(?:{m[3:]})?(?![a-z]))" for m in MONTHS) + ")[a-z]*"
+
+# Numeric spellings and their ISO order. Month first; day first only where that reading is impossible.
+REORDER = [
+    (rf"^{YEAR}(\d{{2}})(\d{{2}}){CLOCK}", "$1-$2-$3 $4"),
+    (rf"^{YEAR}[/.]{DAY}[/.]{DAY}{CLOCK}", "$1-$2-$3 $4"),
+    (rf"^{MONTH}[/.-]{DAY}[/.-]{YEAR}{CLOCK}", "$3-$1-$2 $4"),
+    (rf"^{AFTER_MONTHS}[/.-]{MONTH}[/.-]{YEAR}{CLOCK}", "$3-$2-$1 $4"),
+]
+# Spellings with a month name, brought to "day month year time".
+SPELT = [
+    (rf"(?i)^{DAY}[ -]{NAME}\.?,?[ -]{YEAR}{CLOCK}", "$1 $2 $3 $4"),
+    (rf"(?i)^{NAME}\.?[ -]{DAY},?[ -]{YEAR}{CLOCK}", "$2 $1 $3 $4"),
+]
+SPELT_FORM = "d MMM yyyy[ ][H:mm][:ss][.SSSSSS]"
 
 
-def _year_last(text: Column) -> Column:
-    """Month first; day first only where the month reading is impossible."""
-    first, second = _part(text, YEAR_LAST, 1), _part(text, YEAR_LAST, 2)
-    year, clock = _part(text, YEAR_LAST, 3), _part(text, YEAR_LAST, 4)
-    month_first = first.try_cast("int") <= 12
-    month = F.when(month_first, first).otherwise(second)
-    day = F.when(month_first, second).otherwise(first)
-    return F.when(text.rlike(YEAR_LAST), _assemble(year, month, day, clock))
+def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, order in rules:
+        text = F.regexp_replace(text, pattern, order)
+    return text
 
 
-def _named(text: Column, pattern: str, name: int, day: int) -> Column:
-    return F.when(
-        text.rlike(pattern),
-        _assemble(
-            _part(text, pattern, 3),
-            _month_number(_part(text, pattern, name)).cast("string"),
-            _part(text, pattern, day),
-            _part(text, pattern, 4),
-        ),
-    )
+def _iso(text: Column) -> Column:
+    """NULL for text of another form and for a day that does not exist, never an error."""
+    # the commonest form, a plain day, is told by its shape without running the pattern
+    dash = F.lit("-")
+    plain = (F.length(text) == 10) & (F.substring(text, 5, 1) == dash) & (F.substring(text, 8, 1) == dash)
+    return F.when(plain | text.rlike(ISO), text.try_cast("timestamp"))
 
 
 def parse_dates(value: Column, kind: str) -> Column:
@@ -79,14 +62,9 @@ def parse_dates(value: Column, kind: str) -> Column:
     if kind != "text":
         return F.lit(None).cast("timestamp_ntz")
     text = strip(value)
-    return F.coalesce(
-        F.when(text.rlike(ISO), text.try_cast("timestamp")),
-        _numeric(text, COMPACT, (1, 2, 3)),
-        _numeric(text, YEAR_FIRST, (1, 2, 3)),
-        _year_last(text),
-        _named(text, DAY_NAMED, 2, 1),
-        _named(text, MONTH_NAMED, 1, 2),
-    ).cast("timestamp_ntz")
+    spelt = F.try_to_timestamp(F.rtrim(_rewritten(text, SPELT)), F.lit(SPELT_FORM))
+    moment = F.coalesce(_iso(text), _iso(_rewritten(text, REORDER)), spelt)
+    return moment.cast("timestamp_ntz")
 
 
 def month_bucket(moment: Column) -> Column:

@@ -124,11 +124,14 @@ def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]])
             bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - 1).cast("int"))
             masks[mask] = F.when(place > 0, bit).otherwise(F.lit(0))
             bits += [(f"{name}={label}", mask, bit) for bit, label in enumerate(chunk)]
-    rows = df.select(
+    # everything is computed once per row, before it is repeated for each activity
+    facts = df.select(
         *_keys(df, spec), col(spec.id_field).alias("__id"),
         *(value.alias(mask) for mask, value in masks.items()),
-        F.explode(F.array_distinct(activities(df, spec))).alias("Activity"),
+        F.array_distinct(activities(df, spec)).alias("__activities"),
     )
+    kept = [col(name) for name in facts.columns if name != "__activities"]
+    rows = facts.select(*kept, F.explode("__activities").alias("Activity"))
     keys = [col(key) for key in spec.keys]
     by_id = rows.groupBy(*keys, F.col("__id"))
     per_id = by_id.agg(*(F.bit_or(mask).alias(mask) for mask in masks)) if masks else rows.distinct()
