@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +45,19 @@ def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; it also keeps the generated code short."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _iso(text: Column) -> Column:
     """NULL for text of another form and for a day that does not exist, never an error."""
-    # the commonest form, a plain day, is told by its shape without running the pattern
-    dash = F.lit("-")
-    plain = (F.length(text) == 10) & (F.substring(text, 5, 1) == dash) & (F.substring(text, 8, 1) == dash)
-    return F.when(plain | text.rlike(ISO), text.try_cast("timestamp"))
+    return F.when(text.rlike(ISO), text.try_cast("timestamp"))
+
+
+def _any_form(text: Column) -> Column:
+    spelt = F.try_to_timestamp(F.rtrim(_rewritten(text, SPELT)), F.lit(SPELT_FORM))
+    return F.coalesce(_iso(text), _bound(_rewritten(text, REORDER), _iso), spelt)
 
 
 def parse_dates(value: Column, kind: str) -> Column:
@@ -61,9 +70,10 @@ def parse_dates(value: Column, kind: str) -> Column:
         return value.cast("timestamp_ntz")
     if kind != "text":
         return F.lit(None).cast("timestamp_ntz")
-    text = strip(value)
-    spelt = F.try_to_timestamp(F.rtrim(_rewritten(text, SPELT)), F.lit(SPELT_FORM))
-    moment = F.coalesce(_iso(text), _iso(_rewritten(text, REORDER)), spelt)
+    # the commonest form, a plain day, is told by its shape without running any pattern
+    dash = F.lit("-")
+    plain = (F.length(value) == 10) & (F.substring(value, 5, 1) == dash) & (F.substring(value, 8, 1) == dash)
+    moment = F.when(plain, value.try_cast("timestamp")).otherwise(_bound(strip(value), _any_form))
     return moment.cast("timestamp_ntz")
 
 

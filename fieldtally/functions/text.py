@@ -11,6 +11,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same, without the plain blank, as a pattern.
+ODD_BLANK = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE if c != " ") + "]"
 
 # What counts as a phone number or a GPS pair, and its replacement.
 PHONE = (
@@ -39,15 +41,30 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+def _literal(separator: str) -> str:
+    """A pattern for the separator itself; one character needs no regex engine when splitting."""
+    if len(separator) == 1:
+        return separator if separator.isalnum() or separator in " ,;_-/" else "\\" + separator
+    return "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def split_activities(value: Column, separator: str | None) -> Column:
     """The activities named in one cell; an empty array for a missing or blank cell."""
-    whole = strip(value.cast("string"))
-    if separator:
-        literal = "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-        parts = F.transform(F.split(whole, literal), strip)
+    text = value.cast("string")
+    if not separator:
+        parts = trimmed = F.array(strip(text))
     else:
-        parts = F.array(whole)
-    return F.coalesce(F.filter(parts, lambda part: part != ""), F.array().cast("array<string>"))
+        literal = _literal(separator)
+        parts = F.transform(F.split(strip(text), literal), strip)
+        # with plain blanks only, splitting can do the trimming without touching each part
+        if separator == " ":
+            trimmed = F.split(text, literal)
+        elif separator == separator.strip(" "):
+            trimmed = F.split(F.trim(text), f" *{literal} *")
+        else:
+            trimmed = parts
+    parts = F.when(text.rlike(ODD_BLANK), parts).when(text.isNotNull(), trimmed)
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def is_personal(value: Column) -> Column:
