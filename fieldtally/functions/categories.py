@@ -30,9 +30,5 @@ def ordered_labels(labels: Sequence[str]) -> list[str]:
 def spelling_key(value: Column, suffixes: Sequence[str] = ()) -> Column:
     """Variants that differ in case, spacing or a listed suffix share this key."""
     key = F.lower(strip(F.regexp_replace(value, r"(?U)\s+", " ")))
-    for suffix in suffixes:
-        bare = " " + suffix.strip().lower()
-        key = F.when(
-            F.endswith(key, F.lit(bare)), strip(F.substring(key, F.lit(1), F.length(key) - len(bare)))
-        ).otherwise(key)
-    return key
+    known = [f"\\Q{suffix.strip().lower()}\\E" for suffix in suffixes if suffix.strip()]
+    return F.regexp_replace(key, rf"(?: (?:{'|'.join(known)}))+\z", "") if known else key

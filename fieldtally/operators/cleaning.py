@@ -67,7 +67,8 @@ def spelling_map(df: DataFrame, column: str, suffixes: Sequence[str] = ()) -> Da
     """
     present = df.filter(col(column).isNotNull()).select(col(column).alias("variant"))
     counted = present.groupBy("variant").agg(F.count(F.lit(1)).alias("affected"))
-    keyed = counted.withColumn("key", spelling_key(F.col("variant"), suffixes))
+    # a key that cannot be NULL keeps the join from testing it on every source row
+    keyed = counted.withColumn("key", F.coalesce(spelling_key(F.col("variant"), suffixes), F.lit("")))
     best = keyed.groupBy("key").agg(
         F.min(F.struct((-F.col("affected")).alias("n"), F.col("variant").alias("text"))).alias("best")
     )

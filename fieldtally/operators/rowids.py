@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.columns import col
+from fieldtally.session import staged
 
 # Columns that may already hold an id, separators and length of the content hash.
 ID_CANDIDATES = ("_uuid", "_id")
@@ -37,7 +38,9 @@ def content_hash(df: DataFrame) -> Column:
         F.concat(F.lit(name + PAIR), F.coalesce(col(name).cast("string"), F.lit(ABSENT)))
         for name in sorted(df.columns)
     ]
-    return F.substring(F.sha1(F.encode(F.concat_ws(FIELD, *cells), "UTF-8")), 1, HASH_CHARS)
+    digest = F.sha1(F.encode(F.concat_ws(FIELD, *cells), "UTF-8"))
+    # declared never NULL, so that a join on it does not hash every row a second time to test that
+    return F.coalesce(F.substring(digest, 1, HASH_CHARS), F.lit(""))
 
 
 def derived_ids(df: DataFrame) -> DataFrame:
@@ -49,9 +52,9 @@ def derived_ids(df: DataFrame) -> DataFrame:
     from content alone, so a lost task repeats itself exactly.
     """
     hashed = df.withColumn(ROW_ID, content_hash(df))
-    repeated = (
-        hashed.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(ROW_ID)
-    )
+    copies = hashed.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("__n"))
+    # written once: it is counted, and then joined twice
+    repeated = staged(copies.filter(F.col("__n") > 1).select(ROW_ID), "hashes")
     n_repeated = repeated.count()
     if n_repeated == 0:
         return hashed
