@@ -22,6 +22,7 @@ from fieldtally.functions.text import split_activities
 from fieldtally.plans.specs import five_w_problems
 
 BITS = 62  # categories held by one bigint mask
+MAX_LABELS = 10_000  # columns; Spark's own limit for a pivot
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,8 @@ def reach(df: DataFrame, spec: FiveWSpec) -> DataFrame:
 def categories(df: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
     """Category labels per dimension among rows with an activity.
 
-    They become output columns, so they are few enough for the driver by nature.
+    They become output columns. More of them than a table can have stop the report; ``five_w_long`` takes
+    any number.
     """
     if not spec.dimensions:
         return {}
@@ -106,7 +108,13 @@ def categories(df: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
         F.struct(F.lit(n).alias("at"), category_key(col(name)).alias("label"))
         for n, name in enumerate(spec.dimensions)
     ))
-    found = df.filter(F.size(activities(df, spec)) > 0).select(F.inline(labels)).distinct().collect()
+    distinct = df.filter(F.size(activities(df, spec)) > 0).select(F.inline(labels)).distinct()
+    found = distinct.take(MAX_LABELS + 1)
+    if len(found) > MAX_LABELS:
+        raise ReportError(
+            f"columns {spec.dimensions} have more than {MAX_LABELS} categories, too many for one column "
+            "each: disaggregate by another column, or use the long form"
+        )
     return {
         name: ordered_labels([row.label for row in found if row.at == n])
         for n, name in enumerate(spec.dimensions)
@@ -148,6 +156,30 @@ def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]])
     ).orderBy(*keys)
 
 
+def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFrame:
+    """``(keys, dimension, category, beneficiaries)``: the same counts, any number of categories.
+
+    The rows without a dimension are the totals. No label reaches the driver.
+    """
+    plan = read_spec(spec)
+    check_columns(df, plan, pii)
+    none = F.lit(None).cast("string")
+    lanes = [F.struct(none.alias("dimension"), none.alias("category"))]
+    lanes += [
+        F.struct(F.lit(name).alias("dimension"), category_key(col(name)).alias("category"))
+        for name in plan.dimensions
+    ]
+    facts = df.select(
+        *_keys(df, plan), col(plan.id_field).alias("__id"), F.array(*lanes).alias("__lanes"),
+        F.array_distinct(activities(df, plan)).alias("__activities"),
+    )
+    kept = [col(name) for name in facts.columns if not name.startswith("__")]
+    rows = facts.select(*kept, "__id", "__lanes", F.explode("__activities").alias("Activity"))
+    keys = [col(key) for key in plan.keys]
+    rows = rows.select(*keys, "__id", F.inline("__lanes")).distinct()
+    return rows.groupBy(*keys, "dimension", "category").agg(F.count("__id").alias("beneficiaries"))
+
+
 @dataclass(frozen=True)
 class FiveW:
     table: DataFrame

@@ -46,7 +46,8 @@ def content_hash(df: DataFrame) -> Column:
 def derived_ids(df: DataFrame) -> DataFrame:
     """Add ``_row_id``: the content hash, and ``-n`` on the n-th repeat.
 
-    Records whose hash is unique need no shuffle of their columns. Equal records are interchangeable, so
+    Records whose hash is unique need no shuffle of their columns, unless too many others repeat to say so
+    by a broadcast. Equal records are interchangeable, so
     they are counted (combined before the shuffle, however many copies there are) and written out again
     with their numbers, in chunks, instead of being numbered inside one sorted group. Everything follows
     from content alone, so a lost task repeats itself exactly.
@@ -58,10 +59,11 @@ def derived_ids(df: DataFrame) -> DataFrame:
     n_repeated = repeated.count()
     if n_repeated == 0:
         return hashed
+    single, copied = None, hashed
     if n_repeated <= BROADCAST_HASHES:
         repeated = F.broadcast(repeated)
-    single = hashed.join(repeated, ROW_ID, "left_anti")
-    copied = hashed.join(repeated, ROW_ID, "left_semi")
+        single = hashed.join(repeated, ROW_ID, "left_anti")
+        copied = hashed.join(repeated, ROW_ID, "left_semi")
     columns = list(map(col, df.columns))
     groups = copied.groupBy(ROW_ID, *columns).agg(F.count(F.lit(1)).alias("__n"))
     # different records can share a 16-digit hash; they number on from one another
@@ -77,7 +79,7 @@ def derived_ids(df: DataFrame) -> DataFrame:
     number = F.col("__from") + F.col("__k")
     suffix = F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise("")
     numbered = spread.select(*columns, F.concat(F.col(ROW_ID), suffix).alias(ROW_ID))
-    return single.select(*columns, ROW_ID).unionByName(numbered)
+    return numbered if single is None else single.select(*columns, ROW_ID).unionByName(numbered)
 
 
 def ensure_row_ids(df: DataFrame) -> DataFrame:

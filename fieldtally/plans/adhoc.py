@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.text import cap_bytes
-from fieldtally.operators.pii import redact_columns
+from fieldtally.operators.pii import redact_columns, redactions
 from fieldtally.sources.tables import Catalog
 
 # Rows and bytes an answer may have.
@@ -25,10 +28,21 @@ def publish(catalog: Catalog, names: Iterable[str] | None = None) -> list[str]:
     return published
 
 
-def adhoc_sql(
-    spark: SparkSession, catalog: Catalog, query: str, rows: int | None = ROW_CAP, cell_bytes: int = BYTE_CAP
-) -> DataFrame:
-    """Answer a query from stripped views; text is redacted and the answer capped.
+@dataclass(frozen=True)
+class Answer:
+    """The capped, redacted rows, and one row ``(rows, shown, hidden, redacted)`` about them."""
+
+    table: DataFrame
+    notes: DataFrame
+
+
+def _size(answer: DataFrame) -> Column:
+    cells = [F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)) + 1 for c in answer.columns]
+    return reduce(operator.add, cells)
+
+
+def ask(spark: SparkSession, catalog: Catalog, query: str, rows: int = ROW_CAP, size: int = BYTE_CAP) -> Answer:
+    """Answer a query from stripped views; text is redacted, the answer capped in rows and bytes.
 
     Reading files by path is switched off while the query is analysed, so it sees only the views.
     """
@@ -37,11 +51,27 @@ def adhoc_sql(
     before = spark.conf.get(files, "true")
     spark.conf.set(files, "false")
     try:
-        answer = spark.sql(query)
+        raw = spark.sql(query)
     finally:
         spark.conf.set(files, before)
-    answer = redact_columns(answer)
-    texts = [n for n, k in families(answer).items() if k == "text"]
+    texts = [n for n, k in families(raw).items() if k == "text"]
+    answer = redact_columns(raw, texts)
     if texts:
-        answer = answer.withColumns({n: cap_bytes(col(n), cell_bytes) for n in texts})
-    return answer if rows is None else answer.limit(rows)
+        answer = answer.withColumns({n: cap_bytes(col(n), size) for n in texts})
+    # at most ``rows`` rows are left here, in the order of the query
+    first = answer.limit(rows).withColumn("__place", F.monotonically_increasing_id())
+    so_far = Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    first = first.withColumn("__size", F.sum(_size(answer)).over(so_far))
+    table = first.filter((F.col("__size") <= size) | (F.col("__place") == 0)).orderBy("__place")
+    table = table.select(*map(col, answer.columns))
+    redacted = F.coalesce(F.sum(redactions(raw, texts)), F.lit(0)) if texts else F.lit(0)
+    total = raw.agg(F.count(F.lit(1)).alias("rows"), redacted.cast("bigint").alias("redacted"))
+    shown = table.agg(F.count(F.lit(1)).alias("shown"))
+    # two frames of one row each
+    notes = total.withColumn("at", F.lit(1)).join(F.broadcast(shown.withColumn("at", F.lit(1))), "at")
+    return Answer(table, notes.select("rows", "shown", (F.col("rows") - F.col("shown")).alias("hidden"), "redacted"))
+
+
+def adhoc_sql(spark: SparkSession, catalog: Catalog, query: str, rows: int = ROW_CAP) -> DataFrame:
+    """The rows of ``ask`` alone."""
+    return ask(spark, catalog, query, rows).table

@@ -13,7 +13,7 @@ from fieldtally.operators.pii import drop_pii, pii_detect, pii_sample
 from fieldtally.operators.profile import dup_report, null_rates, profile, top_category
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
 from fieldtally.operators import rowids
-from fieldtally.plans.adhoc import adhoc_sql
+from fieldtally.plans.adhoc import adhoc_sql, ask
 from fieldtally.sources.tables import Catalog
 
 
@@ -228,6 +228,17 @@ def test_adhoc(spark, households):
     assert adhoc_sql(spark, catalog, "SELECT a.oblast FROM hh a, hh b, hh c").count() == 50
 
 
+def test_adhoc_notes_and_byte_cap(spark, households):
+    catalog = Catalog({"hh": households})
+    out = ask(spark, catalog, "SELECT h.oblast, '0501112233 +380671234567' AS x FROM hh h, hh b, hh c ORDER BY 1")
+    assert tuple(out.notes.first()) == (125, 50, 75, 250)
+    assert [r.oblast for r in out.table.collect()] == ["X"] * 50
+    small = ask(spark, catalog, "SELECT id, repeat('x', 40) AS t FROM range(30) ORDER BY id DESC", size=100)
+    assert [r.id for r in small.table.collect()] == [29, 28] and small.notes.first().hidden == 28
+    one = ask(spark, catalog, "SELECT repeat('x', 400) AS t", size=100)
+    assert one.table.first().t == "x" * 100
+
+
 def test_adhoc_reads_no_files(spark, households, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "p"))
     with pytest.raises(Exception):
