@@ -136,7 +136,7 @@ def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]])
     facts = df.select(
         *_keys(df, spec), col(spec.id_field).alias("__id"),
         *(value.alias(mask) for mask, value in masks.items()),
-        F.array_distinct(activities(df, spec)).alias("__activities"),
+        activities(df, spec).alias("__activities"),
     )
     kept = [col(name) for name in facts.columns if name != "__activities"]
     rows = facts.select(*kept, F.explode("__activities").alias("Activity"))
@@ -171,7 +171,7 @@ def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFr
     ]
     facts = df.select(
         *_keys(df, plan), col(plan.id_field).alias("__id"), F.array(*lanes).alias("__lanes"),
-        F.array_distinct(activities(df, plan)).alias("__activities"),
+        activities(df, plan).alias("__activities"),
     )
     kept = [col(name) for name in facts.columns if not name.startswith("__")]
     rows = facts.select(*kept, "__id", "__lanes", F.explode("__activities").alias("Activity"))

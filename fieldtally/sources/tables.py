@@ -25,9 +25,13 @@ REAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with NaN as missing; predicates and columns reach the reader."""
-    return nan_to_null(spark.read.parquet(path))
+def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A Parquet table with NaN as missing; predicates and columns reach the reader.
+
+    A known ``schema`` saves the job that reads it from a file's footer.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return nan_to_null(reader.parquet(path))
 
 
 def scan_csv(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldtally.session import configure
 from fieldtally.sources.tables import scan_parquet
@@ -13,6 +14,7 @@ from fieldtally.sources.tables import scan_parquet
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SCHEMAS: dict[str, StructType] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -31,7 +33,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return scan_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table; these never change, so each schema is looked up once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return scan_parquet(spark, path, SCHEMAS[path])
 
 
 def survey(spark: SparkSession, sf_dir: str, services: bool = False) -> DataFrame:
