@@ -152,3 +152,19 @@ def text_facts(text: str) -> dict[str, float]:
         "n_bytes": len(body),
         "longest": max(map(len, common), default=0),
     }
+
+
+MAX_KEYS = 1_000_000  # 64-bit keys that are broadcast at most, about 16 MB
+
+
+def by_keys(frame: DataFrame, keys: DataFrame, key: str | Column, how: str) -> DataFrame:
+    """Rows of ``frame`` whose key is (``left_semi``) or is not (``left_anti``) in the one column of ``keys``.
+
+    Up to ``MAX_KEYS`` keys are broadcast, so the wide rows stay where they are; more are joined by shuffle.
+    """
+    column = keys.columns[0]
+    named = keys.select(F.col(column).alias("_by_key"))
+    if named.count() <= MAX_KEYS:
+        named = F.broadcast(named)
+    own = F.col(key) if isinstance(key, str) else key
+    return frame.join(named, own == F.col("_by_key"), how)

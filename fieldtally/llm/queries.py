@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldtally.llm import packing, token_files
-from fieldtally.llm.common import table
+from fieldtally.llm import decontaminate, packing, quality_gam, simhash, token_files
+from fieldtally.llm.common import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +33,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_round_trip(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2
     )
+
+
+@register
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked within three bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other numbers and names."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key")
+
+
+@register
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by an additive model with pairwise interactions."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_gam.score(docs, model)
+    return scored.withColumn("held_out", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)))
