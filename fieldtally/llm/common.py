@@ -120,6 +120,7 @@ def duplicate_lines(body: bytes) -> tuple[int, int]:
 
 SYMBOLS = b"#*$%&|<>"
 LETTERS_OUT = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
+LETTERLIKE_OUT = bytes(c for c in LETTERS_OUT if c < 0xC0)  # a character beyond ASCII counts by its first byte
 NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 NOT_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
 NOT_SYMBOL = bytes(c for c in range(256) if c not in SYMBOLS)
@@ -143,6 +144,7 @@ def text_facts(text: str) -> dict[str, float]:
         "n_distinct": len(common),
         "top_word": max(common.values(), default=0),
         "n_letters": len(joined.translate(None, LETTERS_OUT)),
+        "n_letterlike": len(joined.translate(None, LETTERLIKE_OUT)),
         "n_upper": len(joined.translate(None, NOT_UPPER)),
         "n_digits": len(joined.translate(None, NOT_DIGIT)),
         "n_shouts": body.count(b"!"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import decontaminate, packing, quality_gam, simhash, token_files
+from fieldtally.llm import decontaminate, packing, pii_crf, quality_gam, rules, simhash, token_files, toxicity, url_cascade
 from fieldtally.llm.common import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the patterns' spans and those that the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.train(docs))
+
+
 @register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4,096 ids, id 1 after each."""
@@ -55,3 +62,26 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_gam.score(docs, model)
     return scored.withColumn("held_out", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)))
+
+
+@register
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether the weighed votes of the rules keep it."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, scored on the restored text."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
+
+
+@register
+def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the path rules, then by the cascade over listed hosts."""
+    return url_cascade.judge_pages(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op9_bloom_cascade"] = url_cascade.ORACLE
