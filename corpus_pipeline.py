@@ -1,22 +1,54 @@
-"""The corpus pipeline: five of the training-data operators, each stage written as Parquet and read by the next."""
+"""The corpus pipeline: five of the training-data operators, each stage written as Parquet and read by the next.
+
+Every stage works on all rows that its predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtally.llm import packing
-from fieldtally.llm.common import bounded_batches
+from fieldtally.llm import decontaminate, packing, pii_crf, quality_gam, simhash
+from fieldtally.llm.common import bounded_batches, table
 from fieldtally.session import scratch_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that score under 0.7 go; the model is fitted on the labelled ones of this stage's input."""
+    bounded_batches(spark)
+    return quality_gam.keep_good(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each group within three bits stays, the one with the smallest doc_id."""
+    bounded_batches(spark)
+    return simhash.keep_one(docs)
+
+
+def template_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that leak a benchmark item go."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def skip_chain_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: personal data in the texts is masked by its kind."""
+    bounded_batches(spark)
+    return pii_crf.redact(docs, pii_crf.train(docs))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the places of all remaining documents in sequences of 4,096 ids."""
     bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("template_decontamination", template_decontamination),
+    ("skip_chain_pii", skip_chain_pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
 # The first stage is a fitted model, which SQL cannot express; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
@@ -24,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what a stage returns is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

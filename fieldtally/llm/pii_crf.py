@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -332,8 +333,6 @@ def masked(text: str, spans: dict[str, list[Span]]) -> str:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with masked texts; all columns stay, ``n_chars`` (if there) follows the new text. A NULL text stays NULL."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         bodies = ["" if t is None else t for t in text]

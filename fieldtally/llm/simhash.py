@@ -16,11 +16,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldtally.llm.common import map_texts
+from fieldtally.llm.common import by_keys, map_texts
 from fieldtally.session import staged
 
 SHINGLE = 3
@@ -199,6 +199,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m"))).where("u <> v").distinct()
 
 
+def classified(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and ``bits`` of every row, ``root`` of every distinct ``bits``)."""
+    marked = staged(fingerprints(docs, shingle), "simhash-fingerprints")
+    # classes are compared under their fingerprint: it is unique where a doc_id need not be
+    classes = staged(marked.select("bits").distinct(), "simhash-classes")
+    found = components(linked(classes.withColumn("least", F.col("bits")), radius))
+    roots = classes.join(found, classes["bits"] == found["node"], "left").select(
+        "bits", F.coalesce("root", "bits").alias("root")
+    )
+    return marked, staged(roots, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest doc_id reachable.
 
@@ -206,19 +218,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     texts are judged on their own and may lie in several components; rows without a doc_id get a fingerprint, and a
     component_id only where a row with a doc_id lies in their component; an empty table has no rows.
     """
-    spark = docs.sparkSession
-    marked = staged(fingerprints(docs, shingle), "simhash-fingerprints")
-    classes = staged(
-        marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-classes"
-    )
-    # classes are compared under a name of their own: a fingerprint is unique where a doc_id need not be
-    named = classes.select("bits", F.col("bits").alias("least"))
-    found = components(linked(named, radius))
-    roots = classes.join(found, classes["bits"] == found["node"], "left").select(
-        "bits", "least", F.coalesce("root", "bits").alias("root")
+    marked, roots = classified(docs, shingle, radius)
+    least = marked.groupBy("bits").agg(F.min("doc_id").alias("least"))  # before the join: copies are one row
+    smallest = (
+        roots.join(least, "bits").groupBy("root").agg(F.min("least").alias("component_id"))
     )
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     membership = staged(roots.join(smallest, "root").select("bits", "component_id"), "simhash-membership")
     return marked.join(membership, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all columns unchanged: that of the smallest doc_id (rows without one come last).
+
+    Where rows share a doc_id, the one of the component's smallest fingerprint stays, of equal texts one.
+    """
+    marked, roots = classified(docs, shingle, radius)
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "bits")
+    least = marked.groupBy("bits").agg(F.min(own).alias("own"))
+    stay = staged(
+        roots.join(least, "bits").groupBy("root").agg(F.min("own").alias("own"))
+        .select("own.doc_id", F.col("own.bits").alias("_bits")),
+        "simhash-stay",
+    )
+    shared = staged(
+        marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-shared"
+    )
+    number = F.col("doc_id").cast("long")
+    if not shared.limit(1).count() and not marked.where("doc_id IS NULL").limit(1).count():
+        return by_keys(docs, stay.select("doc_id"), number, "left_semi")
+
+    @F.pandas_udf("long")
+    def bits(text: pd.Series) -> pd.Series:
+        found = np.array([fingerprint("" if t is None else t, shingle) for t in text], np.uint64)
+        return pd.Series(found.view(np.int64))
+
+    named = by_keys(docs.where(number.isNotNull()), shared, number, "left_anti")
+    named = by_keys(named, stay.where("doc_id IS NOT NULL").select("doc_id"), number, "left_semi")
+    others = by_keys(docs.where(number.isNotNull()), shared, number, "left_semi").unionByName(docs.where(number.isNull()))
+    marks = ["_own_bits", "_own_rank", "_stay_id", "_stay_bits"]
+    others = others.withColumn("_own_bits", bits(F.col("text").cast("string")))
+    kept = stay.toDF("_stay_id", "_stay_bits")
+    others = others.join(kept, number.eqNullSafe(F.col("_stay_id")) & (F.col("_own_bits") == F.col("_stay_bits")))
+    order = Window.partitionBy(number, "_own_bits").orderBy(F.xxhash64(*docs.columns))
+    others = others.withColumn("_own_rank", F.row_number().over(order)).where("_own_rank = 1").drop(*marks)
+    return named.unionByName(others)
