@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import decontaminate, packing, pii_crf, quality_gam, rules, simhash, token_files, toxicity, url_cascade
+from fieldtally.llm import decontaminate, packing, pii_crf, quality_gam, rules, simhash, substrings, token_files, toxicity, url_cascade
 from fieldtally.llm.common import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+@register
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a document with a smaller id holds, too."""
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as flat id files in doc_id order, id 2 after each, and read back."""
