@@ -22,10 +22,17 @@ ISO = (
     r"\s*(Z|UTC|[+-]\d{2}:?\d{2}|[+-]\d{2})?)?)?)?\s*$"
 )
 YEAR, DAY, MONTH, AFTER_MONTHS = r"(\d{4})", r"(\d{1,2})", "(0?[1-9]|1[0-2])", r"(1[3-9]|[2-9]\d)"
-NAME = "(" + "|".join(f"{m[:3]}(?=(?:{m[3:]})?(?![a-z]))" for m in MONTHS) + ")[a-z]*"
+# in full, by three letters, or as "sept"
+NAME = "(" + "|".join(
+    f"{m[:3]}(?=(?:{m[3:]}{'|t' if m == 'september' else ''})?(?![a-z]))" for m in MONTHS
+) + ")[a-z]*"
 
 # Numeric spellings and their ISO order. Month first; day first only where that reading is impossible.
+CENTURY = (("20", r"([0-6]\d|7[0-5])"), ("19", r"(7[6-9]|[89]\d)"))  # years of two digits: 00-75 and 76-99
 REORDER = [
+    (rf"^{MONTH}[/.-]{YEAR}$", "$2-$1"),
+    *((rf"^{MONTH}[/.-]{DAY}[/.-]{years}{CLOCK}", f"{century}$3-$1-$2 $4") for century, years in CENTURY),
+    *((rf"^{AFTER_MONTHS}[/.-]{MONTH}[/.-]{years}{CLOCK}", f"{century}$3-$2-$1 $4") for century, years in CENTURY),
     (rf"^{YEAR}(\d{{2}})(\d{{2}}){CLOCK}", "$1-$2-$3 $4"),
     (rf"^{YEAR}[/.]{DAY}[/.]{DAY}{CLOCK}", "$1-$2-$3 $4"),
     (rf"^{MONTH}[/.-]{DAY}[/.-]{YEAR}{CLOCK}", "$3-$1-$2 $4"),
@@ -33,6 +40,9 @@ REORDER = [
 ]
 # Spellings with a month name, brought to "day month year time".
 SPELT = [
+    (rf"(?i)^{NAME}\.?,?[ -]{YEAR}$", "1 $1 $2 "),
+    *((rf"(?i)^{DAY}[ -]{NAME}\.?,?[ -]{years}{CLOCK}", f"$1 $2 {century}$3 $4") for century, years in CENTURY),
+    *((rf"(?i)^{NAME}\.?[ -]{DAY},?[ -]{years}{CLOCK}", f"$2 $1 {century}$3 $4") for century, years in CENTURY),
     (rf"(?i)^{DAY}[ -]{NAME}\.?,?[ -]{YEAR}{CLOCK}", "$1 $2 $3 $4"),
     (rf"(?i)^{NAME}\.?[ -]{DAY},?[ -]{YEAR}{CLOCK}", "$2 $1 $3 $4"),
 ]

@@ -28,10 +28,22 @@ def quotient(a: Column, b: Column) -> Column:
 
 
 def floored_modulo(a: Column, b: Column) -> Column:
-    """Remainder with the sign of the divisor; a zero divisor gives missing."""
-    return F.when(b != 0, ((a % b) + b) % b)
+    """Remainder with the sign of the divisor; a zero divisor gives missing.
+
+    The divisor is added only where the signs differ, so nothing leaves the range of the type.
+    """
+    rest = F.try_mod(a, b)
+    return F.when(b != 0, F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest))
 
 
 def progress_pct(actual: Column, target: Column) -> Column:
     """Actual as a percentage of the target, one decimal; missing without a usable target."""
     return F.round(F.lit(100.0) * actual / F.nullif(target.cast("double"), F.lit(0.0)), 1)
+
+
+def shown_number(value: Column) -> Column:
+    """A number as a report cell shows it: a whole one without a fraction, others to four places."""
+    number = value.cast("double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    rounded = F.bround(number, 4)
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(rounded.cast("string"))

@@ -131,11 +131,22 @@ class Cleaned:
     report: DataFrame
 
 
+def _cleaned(df: DataFrame, plan: CleaningPlan, name: str) -> Column:
+    """A column after its bounds and dates, before spellings (which make nothing missing)."""
+    value = col(name)
+    if name in plan.bounds:
+        value = F.when(within(col(name), *plan.bounds[name]), col(name))
+    if name in plan.dates:
+        value = F.when(~implausible_date(df, name, plan.dates[name]), value)
+    return value.alias(name)
+
+
 def clean_dataset(df: DataFrame, plan: CleaningPlan) -> Cleaned:
     """Ids, duplicates, impossible values, dates, spellings, missing rates - in that order.
 
-    Every column stays, personal data included; the input is only read. The spelling maps and the report
-    read only the columns they need, so just the table itself shuffles whole rows, once.
+    Every column stays, personal data included; the input is only read. Report and spelling maps read one narrow
+    copy of the deduplicated columns they need, written once, so they agree on which record is the first (ties are
+    settled by content); just the table itself shuffles whole rows, once. Missing values are counted after the steps.
     """
     id_field, created = plan.id_field, False
     source = df
@@ -147,9 +158,12 @@ def clean_dataset(df: DataFrame, plan: CleaningPlan) -> Cleaned:
     valid = impossible_to_null(unique, plan.bounds)
     flags = {name: implausible_date(valid, name, limits) for name, limits in plan.dates.items()}
     dated = valid.withColumns({n: F.when(~flag, col(n)) for n, flag in flags.items()}) if flags else valid
+    needed = dict.fromkeys([*plan.bounds, *plan.dates, *plan.categories, *plan.key_fields])
+    unique = staged(unique.select(*map(col, needed or [id_field])), "unique")
     clean, mappings = dated, {}
     for column, suffixes in plan.categories.items():
-        clean, mappings[column] = category_normalize(clean, column, suffixes)
+        mappings[column] = staged(spelling_map(unique.select(_cleaned(unique, plan, column)), column, suffixes), "spellings")
+        clean = apply_spellings(clean, column, mappings[column])
 
     # one row of counts over the unique records
     counts = [F.count(F.lit(1)).alias("n")]
@@ -159,7 +173,7 @@ def clean_dataset(df: DataFrame, plan: CleaningPlan) -> Cleaned:
         F.count_if(implausible_date(unique, c, b)).alias(f"d{i}") for i, (c, b) in enumerate(plan.dates.items())
     ]
     counts += [F.count(col(c)).alias(f"q{i}") for i, c in enumerate(plan.dates)]
-    counts += [F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(plan.key_fields)]
+    counts += [F.count_if(_cleaned(unique, plan, c).isNull()).alias(f"m{i}") for i, c in enumerate(plan.key_fields)]
     after = unique.agg(*counts)
 
     def line(step, action, column, before, later, affected, detail=None):

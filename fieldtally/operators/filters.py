@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.errors import NotComputable
@@ -30,17 +30,20 @@ from fieldtally.functions.columns import col, families
 from fieldtally.functions.numbers import floored_modulo, quotient
 
 ALLOWED = (
-    "write comparisons like \"head_sex == 'female'\" joined by and/or/not, lists with in, "
-    ".isna(), .isin([...]) or .str.contains(...)"
+    "it knows comparisons such as \"region == 'North'\", and/or/not, in [..], + - * / %, "
+    ".isna(), .notna(), .isin([..]) and .str.contains/startswith/endswith(..)"
 )
-NEXT_STEP = "choose another column, or rename it in the clean copy if it holds no personal data"
+NEXT_STEP = "take another column, or rename it in the clean copy if it holds nothing personal"
+SEE_COLUMNS = "`profile` lists the columns and their types"
 
 NUMERIC = ("whole", "real", "bool")
 ORDERINGS = {
     ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge,
 }
-ARITHMETIC = (ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod)
-TEXT_METHODS = ("contains", "startswith", "endswith")
+STEPS = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}
+TEXT_METHODS = {"contains": ("pat", "case", "flags", "na", "regex"), "startswith": ("pat", "na"), "endswith": ("pat", "na")}
+OPTIONS = ("case", "na", "regex")  # those that may be given by name
+META = frozenset(".^$*+?{}[]\\|()")
 
 
 class _NotAllowed(Exception):
@@ -51,6 +54,14 @@ class _Unsuitable(Exception):
     """Accepted syntax that does not fit the column types."""
 
 
+class _Unknown(Exception):
+    """A name that is no column."""
+
+
+class _Personal(Exception):
+    """A column of personal data."""
+
+
 @dataclass(frozen=True)
 class Value:
     """A typed operand. ``const`` holds the Python value of a literal, ``items`` those of a list.
@@ -94,20 +105,45 @@ class Compiler:
     within: tuple[Column, ...] = ()
     prefix: str = "__in"
     memberships: list[Membership] = field(default_factory=list)
+    personal: frozenset[str] | set[str] = frozenset()
+    spark: SparkSession | None = None
+
+    def condition(self, node: ast.AST) -> Value:
+        """What decides about a row: a comparison, a test of a column, or several joined; nothing else does."""
+        match node:
+            case ast.BoolOp(op=op, values=values):
+                return reduce(lambda a, b: _both(op, a, b), map(self.condition, values))
+            case ast.UnaryOp(op=ast.Invert() | ast.Not(), operand=inner):
+                return Value("bool", ~_settled(self.condition(inner).column), condition=True)
+            case ast.Compare() | ast.Call():
+                return self.operand(node)
+        raise _NotAllowed("a row is chosen by a comparison or a test")
 
     # -- operands ---------------------------------------------------------------------
+    def constant(self, node: ast.AST) -> object:
+        """The value of a literal, which may carry a sign."""
+        match node:
+            case ast.Constant(value=None | str() | int() | float() as const):
+                return const
+            case ast.UnaryOp(op=ast.USub() | ast.UAdd() as sign, operand=ast.Constant(value=int() | float() as number)):
+                if not isinstance(number, bool):
+                    return -number if isinstance(sign, ast.USub) else number
+        raise _NotAllowed("a literal is expected")
+
+    def items(self, node: ast.AST) -> tuple:
+        if not isinstance(node, (ast.List, ast.Tuple)):
+            raise _NotAllowed("a list of literals is expected")
+        return tuple(map(self.constant, node.elts))
+
     def operand(self, node: ast.AST) -> Value:
         match node:
             case ast.Name(id=name):
                 return self.named(name)
-            case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=ast.Constant(value=number)):
-                if not isinstance(number, (int, float)):
-                    raise _Unsuitable
-                return Value(_kind_of(number), const=-number if isinstance(node.op, ast.USub) else number)
-            case ast.Constant(value=const):
+            case ast.Constant() | ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=ast.Constant()):
+                const = self.constant(node)
                 return Value(_kind_of(const), const=const)
-            case ast.List(elts=elts) | ast.Tuple(elts=elts):
-                return Value("list", items=tuple(self.operand(e).const for e in elts))
+            case ast.List() | ast.Tuple():
+                return Value("list", items=self.items(node))
             case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=inner):
                 value = _numeric(self.operand(inner))
                 if isinstance(node.op, ast.UAdd):
@@ -134,8 +170,11 @@ class Compiler:
 
     def named(self, name: str) -> Value:
         column = self.quoted.get(name, name)
-        kind = self.kinds[column]
-        value = col(column)
+        if column in self.personal:  # reached by a spelling that the parser folds
+            raise _Personal(column)
+        if column not in self.kinds:
+            raise _Unknown(column)
+        kind, value = self.kinds[column], col(column)
         if kind == "whole":
             value = value.cast("bigint")
         elif kind == "real":
@@ -157,6 +196,8 @@ class Compiler:
                 return self.member(a, b)
             case ast.NotIn():
                 return ~_settled(self.member(a, b))
+        if type(op) not in ORDERINGS:
+            raise _NotAllowed("is and is not compare objects, not values")
         return _ordered(ORDERINGS[type(op)], a, b)
 
     def equal(self, a: Value, b: Value) -> Column:
@@ -195,20 +236,53 @@ class Compiler:
 
     # -- column methods ---------------------------------------------------------------
     def call(self, node: ast.Call) -> Column:
-        method = node.func.attr
-        options = {kw.arg: self.operand(kw.value).const for kw in node.keywords}
-        if method in TEXT_METHODS:
-            value = self.operand(node.func.value.value)
-            args = [self.operand(a).const for a in node.args]
-            return _text_test(method, value, args, options)
-        value = self.operand(node.func.value)
+        options = {given.arg: self.constant(given.value) for given in node.keywords}
+        if not set(options) <= set(OPTIONS):
+            raise _NotAllowed("an unknown option")
+        match node.func:
+            case ast.Attribute(value=ast.Attribute(value=ast.Name() as name, attr="str"), attr=method) if method in TEXT_METHODS:
+                args = list(map(self.constant, node.args))
+                return self.text_test(method, self.operand(name), args, options)
+            case ast.Attribute(value=ast.Name() as name, attr="isna" | "notna" as method) if not node.args:
+                value = self.operand(name).column
+                test = value.isNull() if method == "isna" else value.isNotNull()
+            case ast.Attribute(value=ast.Name() as name, attr="isin") if len(node.args) == 1:
+                test = _in_list(self.operand(name), self.items(node.args[0]))
+            case _:
+                raise _NotAllowed("an unknown test")
         if options:
             raise _Unsuitable
-        if method == "isna":
-            return value.column.isNull()
-        if method == "notna":
-            return value.column.isNotNull()
-        return _in_list(value, self.operand(node.args[0]).items)
+        return test
+
+    def text_test(self, method: str, value: Value, args: list, options: dict) -> Column:
+        names = TEXT_METHODS[method]
+        if len(args) > len(names) or not set(options) <= set(names[len(args) :]):
+            raise _Unsuitable
+        given = {**dict(zip(names, args)), **options}
+        pattern, na = given.get("pat"), given.get("na")
+        if value.kind != "text" or not isinstance(pattern, str) or not isinstance(na, (bool, type(None))):
+            raise _Unsuitable
+        case, regex, flags = given.get("case", True), given.get("regex", True), given.get("flags", 0)
+        if method == "startswith":
+            hit = F.startswith(value.column, F.lit(pattern))
+        elif method == "endswith":
+            hit = F.endswith(value.column, F.lit(pattern))
+        elif regex:
+            hit = value.column.rlike(self.checked(java_regex(pattern, bool(case), flags), pattern))
+        elif case:
+            hit = F.contains(value.column, F.lit(pattern))
+        else:
+            hit = F.contains(F.upper(value.column), F.lit(pattern.upper()))
+        return F.coalesce(hit, F.lit(True)) if na else hit
+
+    def checked(self, java: str, pattern: str) -> str:
+        """Let the JVM read a pattern once, on a literal (no job), so a bad one fails here and not in a task."""
+        if self.spark is not None and META & set(pattern):
+            try:
+                self.spark.sql("SELECT rlike('', :pattern)", args={"pattern": java}).collect()
+            except Exception:
+                raise _Unsuitable from None
+        return java
 
 
 # -- helpers on typed operands ------------------------------------------------------------
@@ -297,6 +371,8 @@ def _numeric(value: Value) -> Value:
 
 
 def _arithmetic(op: ast.operator, a: Value, b: Value) -> Value:
+    if not isinstance(op, (*STEPS, ast.Div, ast.Mod)):
+        raise _NotAllowed("an unknown operator")
     if isinstance(op, ast.Add) and a.kind == b.kind == "text":
         return Value("text", F.concat(a.expr, b.expr))
     if a.literal and b.literal:
@@ -312,8 +388,7 @@ def _arithmetic(op: ast.operator, a: Value, b: Value) -> Value:
         result = floored_modulo(x, y)
     else:
         # try_*: an integer overflow becomes a missing value, never an error quoting cells
-        step = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}[type(op)]
-        result = step(x, y)
+        result = STEPS[type(op)](x, y)
     return Value("whole", result) if whole else Value("real", F.nanvl(result, F.lit(None)))
 
 
@@ -331,29 +406,7 @@ def _both(op: ast.boolop, a: Value, b: Value) -> Value:
     raise _Unsuitable
 
 
-# -- text methods -------------------------------------------------------------------------
-def _text_test(method: str, value: Value, args: list, options: dict) -> Column:
-    names = ["pat", "case", "flags", "na", "regex"] if method == "contains" else ["pat", "na"]
-    if len(args) > len(names) or set(options) - set(names) or set(options) & set(names[: len(args)]):
-        raise _Unsuitable
-    given = {**dict(zip(names, args)), **options}
-    pattern, na = given.get("pat"), given.get("na")
-    if value.kind != "text" or not isinstance(pattern, str) or not isinstance(na, (bool, type(None))):
-        raise _Unsuitable
-    case, regex, flags = given.get("case", True), given.get("regex", True), given.get("flags", 0)
-    if method == "startswith":
-        hit = F.startswith(value.column, F.lit(pattern))
-    elif method == "endswith":
-        hit = F.endswith(value.column, F.lit(pattern))
-    elif regex:
-        hit = value.column.rlike(java_regex(pattern, bool(case), flags))
-    elif case:
-        hit = F.contains(value.column, F.lit(pattern))
-    else:
-        hit = F.contains(F.upper(value.column), F.lit(pattern.upper()))
-    return F.coalesce(hit, F.lit(True)) if na else hit
-
-
+# -- patterns -----------------------------------------------------------------------------
 def java_regex(pattern: str, case: bool = True, flags: int = 0) -> str:
     """The same search for the JVM: Unicode classes, ``\\n`` as the only line end."""
     known = re.IGNORECASE | re.MULTILINE | re.DOTALL
@@ -392,139 +445,44 @@ def java_regex(pattern: str, case: bool = True, flags: int = 0) -> str:
 
 
 # -- reading the text -----------------------------------------------------------------------
-def _allowed(node: ast.AST) -> bool:
-    match node:
-        case ast.Constant(value=value):
-            return value is None or type(value) in (str, int, float, bool)
-        case ast.Name():
-            return True
-        case ast.UnaryOp(op=ast.Not() | ast.Invert() | ast.USub() | ast.UAdd(), operand=inner):
-            return _allowed(inner)
-        case ast.BoolOp(values=values):
-            return all(map(_allowed, values))
-        case ast.BinOp(left=left, op=op, right=right):
-            return isinstance(op, ARITHMETIC) and _allowed(left) and _allowed(right)
-        case ast.Compare(left=left, ops=ops, comparators=rest):
-            fine = not any(isinstance(op, (ast.Is, ast.IsNot)) for op in ops)
-            return fine and all(map(_allowed, (left, *rest)))
-        case ast.List() | ast.Tuple():
-            return _literal_list(node)
-        case ast.Call(func=ast.Attribute(value=ast.Attribute(value=ast.Name(), attr="str"), attr=name)):
-            return name in TEXT_METHODS and all(map(_literal_node, node.args)) and _options(node)
-        case ast.Call(func=ast.Attribute(value=ast.Name(), attr="isna" | "notna")):
-            return not node.args and _options(node)
-        case ast.Call(func=ast.Attribute(value=ast.Name(), attr="isin"), args=[values]):
-            return _literal_list(values) and _options(node)
-    return False
-
-
-def _literal_node(node: ast.AST) -> bool:
-    match node:
-        case ast.UnaryOp(op=ast.USub() | ast.UAdd(), operand=ast.Constant(value=number)):
-            return type(number) in (int, float)
-    return isinstance(node, ast.Constant) and _allowed(node)
-
-
-def _literal_list(node: ast.AST) -> bool:
-    return isinstance(node, (ast.List, ast.Tuple)) and all(map(_literal_node, node.elts))
-
-
-def _options(node: ast.Call) -> bool:
-    return all(kw.arg in ("case", "na", "regex") and _literal_node(kw.value) for kw in node.keywords)
-
-
-def _gives_condition(node: ast.AST) -> bool:
-    match node:
-        case ast.Compare() | ast.Call():
-            return True
-        case ast.BoolOp(values=values):
-            return all(map(_gives_condition, values))
-        case ast.UnaryOp(op=ast.Not() | ast.Invert(), operand=inner):
-            return _gives_condition(inner)
-    return False
-
-
-def _take_quoted(text: str) -> tuple[str, dict[str, str]]:
-    """Swap each back-ticked column name for an identifier of our own."""
-    stem = "quoted_column"
-    while stem in text:
-        stem += "_"
-    pieces = text.split("`")
-    if len(pieces) % 2 == 0:
-        raise _NotAllowed
-    names: dict[str, str] = {}
-    for spot in range(1, len(pieces), 2):
-        name, before, after = pieces[spot], pieces[spot - 1][-1:], pieces[spot + 1][:1]
-        if not name or set(name) & set("'\"\\#\r\n"):
-            raise _NotAllowed
-        if re.search(r"\w", before + after):
-            raise _NotAllowed
-        pieces[spot] = f"{stem}{len(names)}"
-        names[pieces[spot]] = name
-    return "".join(pieces), names
-
-
-def _words_for_signs(source: str) -> str:
-    """``&`` and ``|`` bind like ``and`` and ``or`` in this language, so spell them that way."""
-    swaps = [
-        (token.start[1], " and " if token.string == "&" else " or ")
-        for token in tokenize.generate_tokens(io.StringIO(source).readline)
-        if token.type == tokenize.OP and token.string in "&|"
-    ]
-    for at, word in reversed(swaps):
-        source = source[:at] + word + source[at + 1 :]
-    return source
-
-
-def _refuse_personal(text: str, column: str) -> NotComputable:
-    return NotComputable(
-        f"filter {text!r} names column {column!r}, which looks like personal data and cannot be "
-        f"used in reports: {NEXT_STEP}"
-    )
-
-
-def _parse(text: str, kinds: dict[str, str], pii: frozenset[str]) -> tuple[ast.AST, dict[str, str]]:
-    for column in sorted(pii):
-        if re.search(rf"(?<!\w){re.escape(column)}(?!\w)", text):
-            raise _refuse_personal(text, column)
+SPELT = {"&": "and", "|": "or"}  # these signs bind like the words
+BACKTICKED = re.compile(r"(?<!\w)`([^`'\"\\#\r\n]+)`(?!\w)")
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A condition's syntax tree, and the column behind each name that stands for a back-ticked one."""
+
+    tree: ast.expr
+    quoted: dict[str, str]
+
+
+def read_condition(text: str) -> Condition:
+    """Parse one line; raises ``_NotAllowed`` for text that is no expression of the language's shape."""
+    if len(text.splitlines()) > 1:
+        raise _NotAllowed("it has more than one line")
+    longest = max(map(len, re.findall("_+", text)), default=0)
+    quoted: dict[str, str] = {}
+
+    def stand_in(found: re.Match) -> str:
+        name = f"{'_' * (longest + 1)}{len(quoted)}"  # more underscores in a row than the text has
+        quoted[name] = found[1]
+        return name
+
+    source = BACKTICKED.sub(stand_in, text).strip()
+    if "`" in source:
+        raise _NotAllowed("a back-tick does not enclose a column name")
     try:
-        source, quoted = _take_quoted(text)
-        if len(text.splitlines()) > 1:
-            raise _NotAllowed
-        tree = ast.parse(_words_for_signs(source.strip()).strip(), mode="eval").body
-        if not (_allowed(tree) and _gives_condition(tree)):
-            raise _NotAllowed
-        names = [n.id for n in ast.walk(tree) if isinstance(n, ast.Name)]
-    except (SyntaxError, ValueError, tokenize.TokenError) as problem:
-        detail = getattr(problem, "msg", None) or "invalid syntax"
-        raise NotComputable(f"filter {text!r} failed: {detail}") from None
-    except (_NotAllowed, RecursionError):
-        raise NotComputable(
-            f"filter {text!r} uses syntax the engine does not allow: {ALLOWED}"
-        ) from None
-    for name in names:
-        column = quoted.get(name, name)
-        if column in pii:
-            raise _refuse_personal(text, column)
-        if column not in kinds:
-            raise NotComputable(
-                f"filter {text!r} uses {column!r}, which is not a column of the dataset "
-                "(see profile_dataset)"
-            )
-    return tree, quoted
-
-
-def _check_patterns(df: DataFrame, tree: ast.AST, text: str) -> None:
-    """Let the JVM read each regex once, on a literal, so a bad one fails here and not in a task."""
-    for node in ast.walk(tree):
-        match node:
-            case ast.Call(func=ast.Attribute(attr="contains"), args=[ast.Constant(value=str(pat)), *_]):
-                try:
-                    df.sparkSession.sql(
-                        "SELECT rlike('', :pattern)", args={"pattern": java_regex(pat)}
-                    ).collect()
-                except Exception:
-                    raise _Unsuitable from None
+        tokens = list(tokenize.generate_tokens(io.StringIO(source).readline))
+        signs = [t.type == tokenize.OP and t.string in SPELT for t in tokens]
+        spelt = [(tokenize.NAME, SPELT[t.string]) if sign else t[:2] for t, sign in zip(tokens, signs)]
+        return Condition(ast.parse(tokenize.untokenize(spelt).strip(), mode="eval").body, quoted)
+    except (SyntaxError, ValueError, tokenize.TokenError, RecursionError, MemoryError):
+        raise _NotAllowed("it is no complete expression") from None
+
+
+def _mentions(text: str, column: str) -> bool:
+    return re.search(rf"(?<!\w){re.escape(column)}(?!\w)", text) is not None
 
 
 def compile_filter(
@@ -537,20 +495,32 @@ def compile_filter(
     """The condition as a boolean Column (NULL stands for false), and the memberships it needs."""
     if text is None or text == "":
         return F.lit(True), []
-    text, kinds = str(text), families(df)
-    tree, quoted = _parse(text, kinds, frozenset(map(str, pii)))
-    compiler = Compiler(kinds, quoted, tuple(within), prefix)
+    text, personal = str(text), {str(name) for name in pii}
     try:
-        _check_patterns(df, tree, text)
-        condition = compiler.operand(tree)
-        if condition.kind != "bool":
-            raise _Unsuitable
-    except (_Unsuitable, _NotAllowed, RecursionError):
+        # a personal column is refused wherever its name stands, in a literal too
+        for name in sorted(personal):
+            if _mentions(text, name):
+                raise _Personal(name)
+        condition = read_condition(text)
+        compiler = Compiler(
+            families(df), condition.quoted, tuple(within), prefix, personal=personal, spark=df.sparkSession
+        )
+        return compiler.condition(condition.tree).column, compiler.memberships
+    except _Personal as found:
+        raise NotComputable(
+            f"the condition {text!r} reads {found.args[0]!r}, a column of personal data, which no report may use; {NEXT_STEP}"
+        ) from None
+    except _Unknown as found:
+        raise NotComputable(
+            f"the condition {text!r} reads {found.args[0]!r}, but the dataset has no such column ({SEE_COLUMNS})"
+        ) from None
+    except (_NotAllowed, RecursionError) as found:
+        why = f" ({found.args[0]})" if isinstance(found, _NotAllowed) and found.args else ""
+        raise NotComputable(f"the condition {text!r} is outside the filter language{why}; {ALLOWED}") from None
+    except _Unsuitable:
         raise NotComputable(
-            f"filter {text!r} could not be evaluated on this dataset: check with profile_dataset "
-            "that its columns hold the types it compares (.str needs a text column)"
+            f"the condition {text!r} does not fit the types of its columns ({SEE_COLUMNS}); .str is for text columns"
         ) from None
-    return condition.column, compiler.memberships
 
 
 def with_memberships(df: DataFrame, needed: Sequence[Membership]) -> DataFrame:

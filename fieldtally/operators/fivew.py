@@ -1,9 +1,9 @@
 """The Who-What-Where-When-Whom matrix: distinct beneficiaries per place, month and activity.
 
-Rows are unfolded by activity and reduced to the keys, the id, and one bit per category of each
-disaggregation column. Grouping by (keys, id) with ``bit_or`` first spreads a busy place or month by id and
-is combined before the shuffle; the grouping by keys after it counts ids and bits, which gives the wide
-table at once: no pivot, no join, and one record per beneficiary however many columns are broken down.
+Rows are unfolded by activity and reduced once to the distinct (keys, id, categories), with the number of rows each
+stands for. This reduction is spread by id, combined before the shuffle and written to the shared folder; labels,
+matrix and reach read it there. The matrix groups it by (keys, id) into one bit per category and then counts ids
+and bits per keys, which gives the wide table at once: no pivot, no join.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.errors import ReportError
+from fieldtally.errors import NotComputable, ReportError
 from fieldtally.functions.categories import category_key, ordered_labels
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.dates import month_bucket, parse_dates
 from fieldtally.functions.text import split_activities
+from fieldtally.operators.measures import check_column
 from fieldtally.plans.specs import five_w_problems
+from fieldtally.session import staged
 
 BITS = 62  # categories held by one bigint mask
-MAX_LABELS = 10_000  # columns; Spark's own limit for a pivot
 
 
 @dataclass(frozen=True)
@@ -64,13 +65,10 @@ def read_spec(spec: Mapping) -> FiveWSpec:
 
 def check_columns(df: DataFrame, spec: FiveWSpec, pii: Sequence[str]) -> None:
     for name in [*spec.where, spec.when, spec.what, spec.id_field, *spec.dimensions]:
-        if name in pii:
-            raise ReportError(
-                f"column {name!r} looks like personal data and a 5W cannot use it: pick another "
-                "column, or rename it in the clean copy if it holds no personal data"
-            )
-        if name not in df.columns:
-            raise ReportError(f"column {name!r} not found in the dataset (see profile_dataset)")
+        try:
+            check_column(df, name, pii)
+        except NotComputable as problem:
+            raise ReportError(f"the 5W cannot be made: {problem.reason}") from None
 
 
 def _keys(df: DataFrame, spec: FiveWSpec) -> list[Column]:
@@ -96,53 +94,48 @@ def reach(df: DataFrame, spec: FiveWSpec) -> DataFrame:
     )
 
 
-def categories(df: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
-    """Category labels per dimension among rows with an activity.
+def reduced(df: DataFrame, spec: FiveWSpec) -> DataFrame:
+    """Distinct ``(keys, __id, __c0, __c1, ..)`` with the number of rows behind each; no activity is a NULL one."""
+    facts = df.select(
+        *_keys(df, spec), col(spec.id_field).alias("__id"),
+        *(category_key(col(name)).alias(f"__c{n}") for n, name in enumerate(spec.dimensions)),
+        activities(df, spec).alias("__activities"),
+    )
+    kept = [col(name) for name in facts.columns if name != "__activities"]
+    rows = facts.select(*kept, F.explode_outer("__activities").alias("Activity"))
+    return rows.groupBy(*map(col, rows.columns)).agg(F.count(F.lit(1)).alias("__rows"))
 
-    They become output columns. More of them than a table can have stop the report; ``five_w_long`` takes
-    any number.
-    """
+
+def categories(once: DataFrame, spec: FiveWSpec) -> dict[str, list[str]]:
+    """Category labels per dimension among the reduced rows with an activity; they become output columns."""
     if not spec.dimensions:
         return {}
     labels = F.array(*(
-        F.struct(F.lit(n).alias("at"), category_key(col(name)).alias("label"))
-        for n, name in enumerate(spec.dimensions)
+        F.struct(F.lit(n).alias("at"), F.col(f"__c{n}").alias("label")) for n in range(len(spec.dimensions))
     ))
-    distinct = df.filter(F.size(activities(df, spec)) > 0).select(F.inline(labels)).distinct()
-    found = distinct.take(MAX_LABELS + 1)
-    if len(found) > MAX_LABELS:
-        raise ReportError(
-            f"columns {spec.dimensions} have more than {MAX_LABELS} categories, too many for one column "
-            "each: disaggregate by another column, or use the long form"
-        )
+    found = once.filter(F.col("Activity").isNotNull()).select(F.inline(labels)).distinct().collect()
     return {
         name: ordered_labels([row.label for row in found if row.at == n])
         for n, name in enumerate(spec.dimensions)
     }
 
 
-def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row per key set, sorted; absent categories are zero; constants first."""
+def matrix(once: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per key set, sorted, from the reduced rows; absent categories are zero; constants first."""
     masks: dict[str, Column] = {}
     bits: list[tuple[str, str, int]] = []
     for at, name in enumerate(spec.dimensions):
         for start in range(0, len(labels[name]), BITS):
             chunk, mask = list(labels[name][start : start + BITS]), f"__m{at}_{start}"
-            place = F.array_position(F.array(*map(F.lit, chunk)), category_key(col(name)))
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - 1).cast("int"))
-            masks[mask] = F.when(place > 0, bit).otherwise(F.lit(0))
+            # a label is found by hash, not by trying one after the other
+            places = F.create_map(*(F.lit(v) for bit, label in enumerate(chunk) for v in (label, 1 << bit)))
+            masks[mask] = F.coalesce(F.try_element_at(places, F.col(f"__c{at}")).cast("bigint"), F.lit(0).cast("bigint"))
             bits += [(f"{name}={label}", mask, bit) for bit, label in enumerate(chunk)]
-    # everything is computed once per row, before it is repeated for each activity
-    facts = df.select(
-        *_keys(df, spec), col(spec.id_field).alias("__id"),
-        *(value.alias(mask) for mask, value in masks.items()),
-        activities(df, spec).alias("__activities"),
-    )
-    kept = [col(name) for name in facts.columns if name != "__activities"]
-    rows = facts.select(*kept, F.explode("__activities").alias("Activity"))
     keys = [col(key) for key in spec.keys]
-    by_id = rows.groupBy(*keys, F.col("__id"))
-    per_id = by_id.agg(*(F.bit_or(mask).alias(mask) for mask in masks)) if masks else rows.distinct()
+    rows = once.filter(F.col("Activity").isNotNull())
+    per_id = rows.groupBy(*keys, F.col("__id")).agg(
+        F.max("__rows").alias("__rows"), *(F.bit_or(value).alias(mask) for mask, value in masks.items())
+    )
     has_id = F.col("__id").isNotNull()
     table = per_id.groupBy(*keys).agg(
         F.count("__id").alias("Beneficiaries"),
@@ -156,6 +149,15 @@ def matrix(df: DataFrame, spec: FiveWSpec, labels: Mapping[str, Sequence[str]])
     ).orderBy(*keys)
 
 
+def reach_of(once: DataFrame) -> DataFrame:
+    """One row from the reduced rows: distinct beneficiaries with an activity, and rows without any."""
+    has = F.col("Activity").isNotNull()
+    by_id = once.groupBy(F.when(has, F.col("__id")).alias("id")).agg(F.sum(F.when(~has, F.col("__rows"))).alias("none"))
+    return by_id.agg(
+        F.count("id").alias("unique_reach"), F.coalesce(F.sum("none"), F.lit(0)).alias("rows_without_activity")
+    )
+
+
 def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFrame:
     """``(keys, dimension, category, beneficiaries)``: the same counts, any number of categories.
 
@@ -194,11 +196,10 @@ def five_w(
 ) -> FiveW:
     """The matrix, sorted by its keys, and its one-row summary.
 
-    Without ``labels`` the category labels are looked up first, in a pass over only the activity and
-    disaggregation columns.
+    The source is read once: the reduced rows are written to the shared folder, and category labels (unless given),
+    matrix and summary come from there.
     """
     plan = read_spec(spec)
     check_columns(df, plan, pii)
-    if labels is None:
-        labels = categories(df, plan)
-    return FiveW(matrix(df, plan, labels), reach(df, plan))
+    once = staged(reduced(df, plan), "five-w")
+    return FiveW(matrix(once, plan, categories(once, plan) if labels is None else labels), reach_of(once))

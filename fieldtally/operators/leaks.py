@@ -1,4 +1,8 @@
-"""Leak audit: does any personal value of one table occur in the text of another?"""
+"""Leak audit: does any personal value of one table occur in the text of another?
+
+A value is looked for by the hash of its words: the logs' runs of words meet the values in an equi-join on 64-bit
+numbers, distinct within each log, and only what meets is compared as text. No pair of a value and a log is formed.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.text import PHONE_SEARCH
+from fieldtally.session import staged
 
 # Fixed value: what separates words.
 WORD = r"[^\p{L}\p{M}\p{N}_]+"
@@ -20,24 +25,22 @@ def phone_keys(text: Column) -> Column:
     return F.transform(found, lambda phone: F.regexp_replace(phone, r"\D", ""))
 
 
-def word_keys(text: Column, length: int) -> Column:
-    """Every run of ``length`` words, lower case, joined by single blanks."""
-    words = F.filter(F.split(F.lower(text), WORD), lambda word: word != "")
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.filter(F.split(F.lower(text), WORD), lambda word: word != "")
 
-    def runs(of: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(of) - (length - 1))
-        joined = F.transform(starts, lambda at: F.array_join(F.slice(of, at, length), " "))
-        return F.when(F.size(of) >= length, joined)
 
-    # bound as a lambda variable, the words are split once per text and not once per run
-    return F.element_at(F.transform(F.array(words), runs), 1)
+def _runs(words: Column, length: int) -> Column:
+    """Every run of ``length`` words."""
+    starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
+    return F.when(F.size(words) >= length, F.transform(starts, lambda at: F.slice(words, at, length)))
 
 
-def _known(keys: DataFrame) -> DataFrame:
-    """The distinct secret keys, broadcast only once their number and size are known to be small."""
-    known = keys.distinct()
+def _known(keys: DataFrame, column: str = "key") -> DataFrame:
+    """Distinct keys, broadcast only once their number and size are known to be small."""
+    known = staged(keys.distinct(), "leak-keys")
     size = known.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")
     ).first()
     small = size.rows <= BROADCAST_KEYS and size.bytes <= BROADCAST_BYTES
     return F.broadcast(known) if small else known
@@ -45,19 +48,58 @@ def _known(keys: DataFrame) -> DataFrame:
 
 def leaked_phones(secrets: DataFrame, secret: str, logs: DataFrame, log_id: str, text: str) -> DataFrame:
     """``(log_id, key)`` for each phone of ``secrets`` seen in a log text, however it is spaced."""
-    seen = logs.select(F.col(log_id).alias("log_id"), F.explode(phone_keys(F.col(text))).alias("key"))
+    phones = F.explode(F.array_distinct(phone_keys(F.col(text))))
+    seen = logs.select(F.col(log_id).alias("log_id"), phones.alias("key"))
     known = _known(secrets.select(F.explode(phone_keys(F.col(secret))).alias("key")))
     return seen.join(known, "key", "left_semi").select("log_id", "key").distinct()
 
 
+def _found(keys: DataFrame, logs: DataFrame, log_id: str, text: str) -> DataFrame:
+    """``(log_id, key)`` of keys ``(key, probe, length)`` whose words stand together in a log.
+
+    ``probe`` is a run of ``length`` words inside the key; a log that has the run is compared with the whole key.
+    """
+    keyed = keys.select("key", "length", F.xxhash64("probe").alias("hash"))
+    known = _known(keyed)
+    lengths = sorted(r.length for r in keyed.select("length").distinct().collect())  # at most the run length
+    if not lengths:
+        return logs.select(F.col(log_id).alias("log_id"), F.lit("").alias("key")).limit(0)
+    named = logs.select(F.col(log_id).alias("log_id"), words_of(F.col(text)).alias("words"))
+    hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*(
+        F.transform(_runs(F.col("words"), n), lambda run: F.xxhash64(run)) for n in lengths
+    )))))
+    hits = staged(
+        named.select("log_id", F.explode(hashes).alias("hash")).join(known, "hash").select("log_id", "key").distinct(),
+        "leak-hits",
+    )
+    # only logs with a hit are read as text again
+    spelt = named.select("log_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("text"))
+    compared = hits.join(spelt, "log_id").where(F.contains("text", F.concat(F.lit(" "), F.col("key"), F.lit(" "))))
+    return compared.select("log_id", "key").distinct()
+
+
 def leaked_names(
     secrets: DataFrame, secret: str, logs: DataFrame, log_id: str, text: str, words: int
 ) -> DataFrame:
-    """``(log_id, key)`` for each run of words of the secret texts seen in a log text.
+    """``(log_id, key)`` for each run of ``words`` words of the secret texts seen in a log text.
 
-    The runs of the two sides meet in an equi-join on the run itself, so no pair of a secret and a log is
-    ever formed. With few secrets the logs are not shuffled at all, only the hits are.
+    A secret with fewer words is one run of its own length, so none goes unaudited.
     """
-    seen = logs.select(F.col(log_id).alias("log_id"), F.explode(word_keys(F.col(text), words)).alias("key"))
-    known = _known(secrets.select(F.explode(word_keys(F.col(secret), words)).alias("key")))
-    return seen.join(known, "key", "left_semi").select("log_id", "key").distinct()
+    spelt = secrets.select(words_of(F.col(secret)).alias("words")).where(F.size("words") > 0)
+    runs = F.coalesce(_runs(F.col("words"), words), F.array("words"))
+    keys = spelt.select(F.explode(runs).alias("probe"))
+    keys = keys.select(F.array_join("probe", " ").alias("key"), "probe", F.size("probe").alias("length"))
+    return _found(keys, logs, log_id, text)
+
+
+def leaked_values(
+    secrets: DataFrame, secret: str, logs: DataFrame, log_id: str, text: str, words: int = 8
+) -> DataFrame:
+    """``(log_id, key)`` for each whole secret value seen in a log text; a part of a value is no leak.
+
+    ``words`` is how many words at the start of a value are looked up; the rest is compared afterwards.
+    """
+    spelt = secrets.select(words_of(F.col(secret)).alias("words")).where(F.size("words") > 0)
+    probe = F.slice("words", 1, words)
+    keys = spelt.select(F.array_join("words", " ").alias("key"), probe.alias("probe"), F.size(probe).alias("length"))
+    return _found(keys, logs, log_id, text)

@@ -29,7 +29,7 @@ from fieldtally.errors import NotComputable
 from fieldtally.functions.categories import category_key
 from fieldtally.functions.columns import col, families, sql_text
 from fieldtally.functions.numbers import to_number
-from fieldtally.operators.filters import NEXT_STEP, Membership, compile_filter, with_memberships
+from fieldtally.operators.filters import NEXT_STEP, SEE_COLUMNS, Membership, compile_filter, with_memberships
 
 BITS = 62  # conditions held by one bigint mask
 LANE, CATEGORY = "__lane", "__category"
@@ -89,14 +89,12 @@ class Conditions:
 
 def check_column(df: DataFrame, column: object, pii: Sequence[str]) -> str:
     """The column's exact name, or the reason why a report cannot use it."""
-    if not isinstance(column, str) or not column:
-        raise NotComputable("the measure names no column")
-    if column in pii:
-        raise NotComputable(
-            f"column {column!r} looks like personal data and cannot be used in reports: {NEXT_STEP}"
-        )
-    if column not in df.columns:
-        raise NotComputable(f"column {column!r} not found in the dataset (see profile_dataset)")
+    if not column or not isinstance(column, str):
+        raise NotComputable("a column name is missing")
+    usable = column in df.columns and column not in pii
+    if not usable:
+        why = f"holds personal data, which no report may use; {NEXT_STEP}" if column in pii else f"is no column of the dataset ({SEE_COLUMNS})"
+        raise NotComputable(f"{column!r} {why}")
     return column
 
 
@@ -109,7 +107,7 @@ def parts_of(measure: Mapping, conditions: Conditions) -> tuple[Part, ...]:
         for key in ("numerator", "denominator"):
             block = measure.get(key)
             if not isinstance(block, Mapping):
-                raise NotComputable(f"percent needs a {key} block")
+                raise NotComputable(f"a percentage without its {key}")
             parts.append(Distinct(check_column(df, block.get("field"), pii), block.get("filter") or None))
     else:
         field, where = measure.get("field"), measure.get("filter") or None
@@ -119,9 +117,9 @@ def parts_of(measure: Mapping, conditions: Conditions) -> tuple[Part, ...]:
             parts = [Rows(field, where)]
         elif aggregation not in ("count_unique", "sum"):
             conditions[where]
-            raise NotComputable(f"unknown aggregation {aggregation!r}")
+            raise NotComputable(f"{aggregation!r} is no aggregation")
         elif field is None:
-            raise NotComputable(f"{aggregation} needs a field")
+            raise NotComputable(f"{aggregation} is of one column, and none is named")
         else:
             parts = [Distinct(field, where) if aggregation == "count_unique" else Total(field, where)]
     for part in parts:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.text import is_personal, redact, redaction_count
@@ -21,7 +21,6 @@ SAMPLE = 50
 SHARE = 0.3
 
 _NAMES = re.compile("|".join(map(re.escape, NAME_WORDS)), re.IGNORECASE)
-HEAD = 4 * SAMPLE  # rows that settle every column that is not mostly empty
 
 
 def named_personal(columns: Sequence[str]) -> list[str]:
@@ -43,43 +42,39 @@ def _candidates(df: DataFrame) -> dict[str, str]:
     return {n: k for n, k in families(df).items() if n not in named and k in ("text", "whole", "real")}
 
 
+def _content_order(df: DataFrame) -> list[Column]:
+    """An order of rows that follows from their content alone, so no partitioning changes it."""
+    return [F.xxhash64(*map(col, df.columns))]
+
+
 def pii_sample(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """``(column, value)``: the first values of each column in the given order.
+    """``(column, value)``: the first values of each column in the given order (without one: by content).
 
-    Each column is one pruned scan that keeps the first rows per task before they meet; nothing is sorted
-    or shuffled as a whole.
+    One scan: cells are unfolded by column and each task keeps the first ones of every column before they meet.
+    Equal places are settled by the value.
     """
     kinds = families(df)
-    frames = [
-        df.filter(col(name).isNotNull()).orderBy(*order).limit(SAMPLE).select(
-            F.lit(name).alias("column"), _as_text(col(name), kinds[name]).alias("value")
-        )
-        for name in columns
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    cells = F.array(*(
+        F.struct(F.lit(name).alias("__column"), _as_text(col(name), kinds[name]).alias("__value")) for name in columns
+    ))
+    rows = df.select("*", F.inline(cells)).where(F.col("__value").isNotNull())
+    first = Window.partitionBy("__column").orderBy(*(order or _content_order(df)), "__value")
+    ranked = rows.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= SAMPLE)
+    return ranked.select(F.col("__column").alias("column"), F.col("__value").alias("value"))
 
 
 def pii_detect(df: DataFrame, order: Sequence[Column] = ()) -> list[str]:
     """Names of personal-data columns: by name, else by the share of hits among the first values.
 
-    Without ``order`` the first values are those of the source's own file order, so this normally reads
-    the head of one file. Only hit flags reach the driver, never a cell.
+    Without ``order`` "first" is decided by the rows' content, so the answer does not depend on how the frame is
+    partitioned. Only column names reach the driver, never a cell.
     """
-    candidates = _candidates(df)
     found = set(named_personal(df.columns))
+    candidates = list(_candidates(df))
     if candidates:
-        flags = {n: is_personal(_as_text(col(n), k)) for n, k in candidates.items()}
-        source = df.orderBy(*order) if order else df
-        head = source.select(*(flag.alias(f"f{n}") for n, flag in enumerate(flags.values()))).limit(HEAD)
-        rows = head.collect()
-        for n, (name, flag) in enumerate(flags.items()):
-            hits = [row[n] for row in rows if row[n] is not None][:SAMPLE]
-            if len(hits) < SAMPLE and len(rows) == HEAD:
-                # a mostly empty column: look further for its own first values
-                rest = source.filter(col(name).isNotNull()).select(flag.alias("hit")).limit(SAMPLE)
-                hits = [row.hit for row in rest.collect()]
-            if hits and sum(hits) / len(hits) >= SHARE:
-                found.add(name)
+        share = F.avg(is_personal(F.col("value")).cast("int"))
+        hits = pii_sample(df, order, candidates).groupBy("column").agg(share.alias("share"))
+        found |= {row["column"] for row in hits.where(F.col("share") >= SHARE).collect()}
     return [name for name in df.columns if name in found]
 
 
@@ -87,11 +82,25 @@ def drop_pii(df: DataFrame, pii: Sequence[str]) -> DataFrame:
     return df.select(*(col(name) for name in df.columns if name not in set(pii)))
 
 
-def redact_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Redact the text columns (all of them by default)."""
-    texts = [n for n, k in families(df).items() if k == "text"] if columns is None else columns
-    return df.withColumns({name: redact(col(name)) for name in texts}) if texts else df
+def shown(df: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """For every column what may be shown of it, and how many hits were taken out.
 
-
-def redactions(df: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, (F.coalesce(redaction_count(col(c)), F.lit(0)) for c in columns))
+    Texts are redacted; nested cells are shown as redacted JSON; a number that reads like a phone is not shown.
+    """
+    out = {}
+    for f in df.schema.fields:
+        value, kind = col(f.name), families(df)[f.name]
+        if kind == "text":
+            out[f.name] = (redact(value), redaction_count(value))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            text = F.to_json(value)
+            out[f.name] = (redact(text), redaction_count(text))
+        elif kind in ("whole", "real"):
+            hit = is_personal(_as_text(value, kind))
+            out[f.name] = (F.when(~hit, value), hit.cast("int"))
+        elif isinstance(f.dataType, T.BinaryType):
+            text = F.try_validate_utf8(value.cast("string"))
+            out[f.name] = (redact(text), redaction_count(text))
+        else:
+            out[f.name] = (value, F.lit(0))
+    return out

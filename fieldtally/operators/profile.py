@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.columns import col, families
+from fieldtally.operators.indicators import evaluate_indicators
+from fieldtally.operators.period import Period, scope
 from fieldtally.operators.pii import pii_detect
 
 # Fixed value: a column with more distinct values is not listed.
@@ -43,7 +45,9 @@ def _value_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: ``(column, dtype, null_rate, pii, n_values, values, min, max)``.
+    """One row per column: ``(column, dtype, n_rows, null_rate, pii, n_values, values, min, max)``.
+
+    ``n_rows`` is the number of rows of the dataset, the same in every row.
 
     First pass: missing rates, ranges and a distinct-count sketch of every column, one row in all. Second
     pass: exact distinct values of the columns the sketch shows to be near or under the limit.
@@ -54,6 +58,7 @@ def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
     numeric = [c for c in open_columns if kinds[c] in ("whole", "real", "bool")]
     spots = {c: n for n, c in enumerate(df.columns)}
     row = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
         *(F.avg(col(c).isNull().cast("int")).alias(f"null_{spots[c]}") for c in df.columns),
         *(F.approx_count_distinct(col(c), RSD).alias(f"near_{spots[c]}") for c in open_columns),
         *(F.min(col(c).cast("double")).alias(f"min_{spots[c]}") for c in numeric),
@@ -80,7 +85,7 @@ def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
     listed = F.col("n_values")
     short = F.coalesce(listed <= MAX_VALUES, F.lit(False)) & ~F.col("pii")
     return base.select(
-        "column", "dtype", F.round("rate", 4).alias("null_rate"), "pii",
+        "column", "dtype", F.lit(row["n_rows"]).cast("bigint").alias("n_rows"), F.round("rate", 4).alias("null_rate"), "pii",
         F.when(short, listed).alias("n_values"),
         F.when(short, F.col("values")).alias("values"),
         F.when(~short, F.col("min")).alias("min"),
@@ -96,14 +101,6 @@ def group_counts(df: DataFrame, by: Sequence[str], id_field: str) -> DataFrame:
     return per_id.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.count("__id").alias("n_unique"))
 
 
-def id_counts(df: DataFrame, id_field: str) -> DataFrame:
-    """``(id, copies)`` for every non-missing id."""
-    return (
-        df.filter(col(id_field).isNotNull())
-        .groupBy(col(id_field).alias("id")).agg(F.count(F.lit(1)).alias("copies"))
-    )
-
-
 def dup_report(df: DataFrame, id_field: str) -> DataFrame:
     """One row: rows, distinct ids, surplus copies, ids that repeat, rows without an id."""
     per_id = df.groupBy(col(id_field).alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -143,6 +140,28 @@ def period_compare(
     })
 
 
+def compare_measure(
+    df: DataFrame, measure: Mapping, first: Period, second: Period, by: str | None = None, pii: Sequence[str] = ()
+) -> DataFrame:
+    """Any measure in two periods side by side: ``(category, first_value, second_value, difference, ratio)``.
+
+    Without ``by`` there is one row and no category. A category that only one period has is missing in the other.
+    """
+    item = {"code": "c", "measure": {"dataset": "rows", **measure}, "disaggregation": [by] if by else []}
+    sides = []
+    for period, name in ((first, "first_value"), (second, "second_value")):
+        run = evaluate_indicators(scope(df, period), [item], pii, "rows")
+        rows = run.breakdown() if by else run.summary().select(F.lit(None).cast("string").alias("category"), F.col("actual").alias("value"))
+        sides.append(rows.select(F.col("category").alias(f"c_{name}"), F.col("value").alias(name)))
+    left, right = sides
+    both = left.join(right, F.col("c_first_value").eqNullSafe(F.col("c_second_value")), "full_outer")
+    return both.select(
+        F.coalesce("c_first_value", "c_second_value").alias("category"), "first_value", "second_value",
+        (F.col("second_value") - F.col("first_value")).alias("difference"),
+        F.try_divide("second_value", "first_value").alias("ratio"),
+    )
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack frames by column name; a column a frame lacks is missing there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -88,12 +88,12 @@ def ensure_row_ids(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, id_field: str, order: Sequence[Column]) -> DataFrame:
-    """The first row of every id in the given order; rows without an id all stay.
+    """The first row of every id in the given order; rows without an id all stay. Ties are settled by content.
 
     The rank limit is applied inside each task before the shuffle, so a hot id costs one row per task.
     Rows without an id take no part in the shuffle.
     """
-    first = Window.partitionBy(col(id_field)).orderBy(*order)
+    first = Window.partitionBy(col(id_field)).orderBy(*order, content_hash(df))
     ranked = df.filter(col(id_field).isNotNull()).withColumn("__rank", F.row_number().over(first))
     kept = ranked.filter(F.col("__rank") == 1).drop("__rank")
     if not df.schema[id_field].nullable:

@@ -2,48 +2,22 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldtally.functions.text import DOCUMENT_CAP, cap_chars
 
-# Rows shown of a CSV document, and the marker after them.
-ROW_CAP = 200
-OMITTED = "[... more rows omitted ...]\n"
-
-
-@F.pandas_udf(T.StringType())
-def _csv_as_text(contents: pd.Series) -> pd.Series:
-    """Quoting rules of CSV need a reader; each file is one cell and stops at the row cap."""
-
-    def render(content: str) -> str:
-        lines = []
-        for n, row in enumerate(csv.reader(io.StringIO(content, newline=""))):
-            if n >= ROW_CAP:
-                lines.append(OMITTED)
-                break
-            lines.append("\t".join(row) + "\n")
-        return "".join(lines)
 
-    return contents.map(render, na_action="ignore")
-
-
-def doc_text(value: Column, name: Column | None = None, cap: int = DOCUMENT_CAP) -> Column:
+def doc_text(value: Column, cap: int = DOCUMENT_CAP) -> Column:
     """Text of a document, its tail replaced by a marker past the cap."""
-    if name is not None:
-        value = F.when(F.lower(name).endswith(".csv"), _csv_as_text(value)).otherwise(value)
     return cap_chars(value, cap)
 
 
 def scan_documents(spark: SparkSession, path: str, cap: int = DOCUMENT_CAP) -> DataFrame:
-    """``(name, text)`` for every text, Markdown and CSV file below ``path``; one row per file."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,txt,csv}")
+    """``(name, text)`` for every text and Markdown file below ``path``; one row per file.
+
+    Tables in CSV files are read by ``scan_csv``.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,txt}")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return files.select(name.alias("name"), F.col("value")).select(
-        "name", doc_text(F.col("value"), F.col("name"), cap).alias("text")
-    )
+    return files.select(name.alias("name"), doc_text(F.col("value"), cap).alias("text"))

@@ -9,16 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.columns import WHOLE, col
+from fieldtally.sources.pages import BESIDE, DAMAGED, marked
 
 # The kinds a summary counts.
 COUNTED = {"tool_use": "tool_calls", "code_executed": "code_runs", "pii_block": "pii_blocks"}
 LOG_SCHEMA = "ts string, kind string, cost_usd double"
 
 
+def _lines(spark: SparkSession, path: str, schema: T.StructType | str | None) -> DataFrame:
+    reader = spark.read.option("columnNameOfCorruptRecord", DAMAGED)
+    if schema is None:
+        schema = reader.json(path).schema
+    return reader.schema(marked((T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)).json(path)
+
+
 def log_scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All records below ``path``; the payload is open, so keys may differ by kind."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path)
+    """All records below ``path``; the payload is open, so keys may differ by kind.
+
+    A line that is no readable object is no record; ``log_damage`` counts those.
+    """
+    lines = _lines(spark, path, schema)
+    return lines.where(col(DAMAGED).isNull()).drop(DAMAGED, BESIDE)
+
+
+def log_damage(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, lines, damaged)`` of every log file."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    lines = _lines(spark, path, LOG_SCHEMA).select(file.alias("file"), "*")
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count(F.coalesce(DAMAGED, BESIDE)).alias("damaged"))
 
 
 def log_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,31 +24,57 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
+# The reader keeps the text of a damaged record in the first; it must be asked for a second column as well.
+DAMAGED, BESIDE = "__damaged", "__beside"
+MARKS = [T.StructField(DAMAGED, T.StringType()), T.StructField(BESIDE, T.StringType())]
+
+
+def marked(fields: Iterable[T.StructField]) -> T.StructType:
+    """A schema that also takes what cannot be read."""
+    return T.StructType([*(f for f in fields if f.name != DAMAGED), *MARKS])
+
+
+def _refuse_damaged(read: DataFrame, what: str) -> None:
+    """An error that names the files with unreadable JSON, never their text."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    bad = read.withColumn("__file", file).where(col(DAMAGED).isNotNull()).groupBy("__file").agg(F.count(BESIDE))
+    names = [r["__file"] for r in bad.orderBy("__file").limit(5).collect()]
+    if names:
+        raise ReportError(f"{what} cannot be read in {', '.join(names)}: pull the pages again")
+
+
+def _no_rows() -> ReportError:
+    return ReportError("0 submissions in the pages: there is nothing to pull.")
+
+
 def scan_json_pages(
     spark: SparkSession, path: str, wrapped: bool = True, schema: T.StructType | str | None = None
 ) -> DataFrame:
     """All rows of all landed page files below ``path``.
 
     ``wrapped`` pages are ``{"results": [row, ...]}``; the others are bare arrays. Keys may differ from
-    row to row: the table has their union. A given ``schema`` (of one row) saves the inference pass.
+    row to row: the table has their union. A given ``schema`` (of one row) saves the inference pass. A page that
+    cannot be read, or was cut off, stops the pull with its file name; so does a pull without rows.
     """
-    reader = spark.read.option("multiLine", True)
+    row = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", DAMAGED)
+    if row is None:
+        fields = [f for f in reader.json(path).schema.fields if f.name != DAMAGED]
+    else:
+        fields = [T.StructField("results", T.ArrayType(row))] if wrapped else list(row.fields)
+    pages = reader.schema(marked(fields)).json(path)
+    _refuse_damaged(pages, "JSON")
+    if not fields:
+        raise _no_rows()
     if wrapped:
-        if schema is not None:
-            row = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-            reader = reader.schema(T.StructType([T.StructField("results", T.ArrayType(row))]))
-        pages = reader.json(path)
-        results = pages.schema["results"].dataType if "results" in pages.columns else None
-        if results is None or not isinstance(results, T.ArrayType) or not isinstance(
-            results.elementType, T.StructType
-        ):
-            raise ReportError("0 submissions in the pages: there is nothing to pull.")
-        return flat(pages.select(F.explode("results").alias("row")).select("row.*"))
-    if schema is not None:
-        reader = reader.schema(schema)
-    rows = reader.json(path)
-    if not rows.columns:
-        raise ReportError("0 submissions in the pages: there is nothing to pull.")
+        kind = next((f.dataType for f in fields if f.name == "results"), None)
+        if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
+            raise _no_rows()
+        rows = pages.select(F.explode("results").alias("row")).select("row.*")
+    else:
+        rows = pages.drop(DAMAGED, BESIDE)
+    if rows.isEmpty():
+        raise _no_rows()
     return flat(rows)
 
 
@@ -56,21 +82,23 @@ def rows_to_table(rows: DataFrame, column: str, schema: T.StructType | str | Non
     """A table from one JSON object per row of a text column: the union of keys, absent keys NULL.
 
     With ``schema`` the objects are parsed in place. Without it they are written once to the shared
-    folder, where Spark's JSON reader infers the union.
+    folder, where Spark's JSON reader infers the union. Objects that cannot be read stop it with their number.
     """
     spark = rows.sparkSession
     objects = rows.select(col(column).alias("value")).filter(F.col("value").isNotNull())
     if schema is not None:
-        return flat(objects.select(F.from_json("value", schema).alias("row")).select("row.*"))
-    path = scratch_path(spark, "rows")
-    objects.write.text(path)
-    return flat(spark.read.json(path))
-
-
-def literal_rows(spark: SparkSession, rows: Sequence[Mapping], schema: str) -> DataFrame:
-    """A small frame from Python dicts; absent keys are NULL, no rows give an empty frame."""
-    names = T.StructType.fromDDL(schema).names
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        parsed = F.from_json("value", marked(fields), {"columnNameOfCorruptRecord": DAMAGED})
+        table = objects.select(parsed.alias("row")).select("row.*")
+    else:
+        path = scratch_path(spark, "rows")
+        objects.write.text(path)
+        reader = spark.read.option("columnNameOfCorruptRecord", DAMAGED)
+        table = reader.schema(marked(reader.json(path).schema.fields)).json(path)
+    bad = table.agg(F.count(col(DAMAGED)).alias("n"), F.count(BESIDE)).first().n
+    if bad:
+        raise ReportError(f"{bad} of the rows of {column!r} are no JSON objects that can be read")
+    return flat(table.drop(DAMAGED, BESIDE))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -39,6 +39,7 @@ def sink_clean(df: DataFrame, root: str, name: str) -> str:
     if name.endswith("_clean"):
         raise ReportError(f"{name!r} is a clean copy already: clean the raw table")
     path = _below(root, f"{name}_clean")
+    # names that the driver's file index holds anyway; overwriting what is read would lose it, and Spark lets it happen
     if any(_bare(f).startswith(_bare(path) + "/") for f in df.inputFiles()):
         raise ReportError(f"{name!r}: the clean copy cannot be built from itself")
     df.write.mode("overwrite").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
 REAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -34,21 +34,26 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return nan_to_null(reader.parquet(path))
 
 
+SURPLUS = "__surplus"
+
+
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
     """A CSV table with a header, missing-value tokens as NULL, and typed columns.
 
-    Without ``schema`` one extra pass decides per column between bigint, double, boolean and string;
-    dates stay text. ``multiline=False`` lets big files without line breaks inside cells be split.
+    Without ``schema`` a pass over the cells decides per column between bigint, double, boolean and string; whole
+    numbers beyond bigint stay text, as do dates. Files are split, so a cell may hold a line break only with
+    ``multiline=True`` (one task per file). A file that breaks this, or has a row with more cells than the header,
+    is refused by its name.
     """
-    text = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"',
-        enforceSchema=False,
-    )
-    text = text.select(
-        *(F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in text.columns)
-    )
+    options = {"header": True, "inferSchema": False, "multiLine": multiline, "quote": '"', "escape": '"'}
+    names = spark.read.csv(path, enforceSchema=False, **options).columns
+    # one more column than the header has takes the cells that would be dropped without a word
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
+    text = spark.read.csv(path, schema=wide, enforceSchema=True, **options)
+    _refuse_damage(spark, text, path, multiline)
+    text = text.select(*(F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in names))
     if schema is None:
         return cast_cells(text, _cell_types(text))
     if isinstance(schema, str):
@@ -56,6 +61,22 @@ def scan_csv(
     return cast_cells(text, {f.name: f.dataType.simpleString() for f in schema.fields if f.name in text.columns})
 
 
+def _refuse_damage(spark: SparkSession, text: DataFrame, path: str, multiline: bool) -> None:
+    """An error that names the files, and no cell of them, if rows would be misread."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    wide = text.where(col(SURPLUS).isNotNull()).select(file.alias("file"), F.lit("a row has more cells than the header").alias("why"))
+    if not multiline:
+        lines = spark.read.text(path)
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        broken = lines.where(quotes % 2 == 1).select(
+            file.alias("file"), F.lit("a cell holds a line break: read it with multiline=True").alias("why")
+        )
+        wide = wide.unionByName(broken)
+    found = wide.distinct().orderBy("file", "why").limit(5).collect()
+    if found:
+        raise ReportError("; ".join(f"{r.file}: {r.why}" for r in found))
+
+
 def _cell_types(text: DataFrame) -> dict[str, str]:
     """One row of tests over all cells: the narrowest type every present cell fits."""
     tests = []
@@ -64,14 +85,17 @@ def _cell_types(text: DataFrame) -> dict[str, str]:
         tests += [
             F.count(cell).alias(f"n{n}"),
             F.bool_and(cell.rlike(WHOLE)).alias(f"w{n}"),
+            F.bool_and(F.when(cell.isNotNull(), strip(cell).try_cast("bigint").isNotNull())).alias(f"i{n}"),
             F.bool_and(cell.rlike(REAL)).alias(f"r{n}"),
             F.bool_and(cell.isin(*BOOLEAN)).alias(f"b{n}"),
         ]
     row = text.agg(*tests).first() if tests else None
     types = {}
     for n, c in enumerate(text.columns):
-        if row[f"n{n}"] == 0 or row[f"r{n}"]:
-            types[c] = "bigint" if row[f"n{n}"] and row[f"w{n}"] else "double"
+        if row[f"n{n}"] and row[f"w{n}"]:
+            types[c] = "bigint" if row[f"i{n}"] else "string"  # a double would round a long id
+        elif row[f"n{n}"] == 0 or row[f"r{n}"]:
+            types[c] = "double"
         else:
             types[c] = "boolean" if row[f"b{n}"] else "string"
     return types
@@ -90,6 +114,7 @@ class Catalog:
     """Datasets by name. ``<name>_clean`` is preferred over ``<name>``."""
 
     tables: Mapping[str, DataFrame]
+    orders: Mapping[str, Sequence[str]] = field(default_factory=dict)  # what "first" means in a table
     _pii: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
@@ -110,7 +135,7 @@ class Catalog:
     def personal(self, table: str) -> list[str]:
         """Personal-data columns of a table, looked up once on the whole table."""
         if table not in self._pii:
-            self._pii[table] = pii_detect(self.tables[table])
+            self._pii[table] = pii_detect(self.tables[table], [col(c) for c in self.orders.get(table, ())])
         return self._pii[table]
 
     def load(self, name: str, period: Period | None = None) -> Loaded:

@@ -134,7 +134,7 @@ def _refuse_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt_status", SURVEY + """
 SELECT '1' AS code, 'computed' AS part, NULL AS reason
-UNION ALL SELECT '2', 'not_computable', 'no measure block: add one to the registry'
+UNION ALL SELECT '2', 'not_computable', 'it has no measure yet: the registry says what, not how'
 UNION ALL SELECT '3', 'not_computable', 'Dataset ''ghost'' not found. Available: survey'
 UNION ALL SELECT '4', 'not_computable', 'the denominator is 0: there is nothing to divide by'
 UNION ALL SELECT '5', 'not_computable', 'column ''priority'' has ' || count(priority) || ' non-numeric values: it cannot be summed'

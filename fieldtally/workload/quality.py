@@ -13,7 +13,7 @@ from fieldtally.functions.text import (
 from fieldtally.operators.cleaning import (
     CleaningPlan, category_normalize, clean_dataset, date_bounds, impossible_to_null, spelling_map,
 )
-from fieldtally.operators.leaks import leaked_names
+from fieldtally.operators.leaks import leaked_names, leaked_phones, leaked_values, words_of
 from fieldtally.operators.pii import pii_detect, pii_sample
 from fieldtally.operators.profile import dup_report, null_rates, profile, top_category, union_all
 from fieldtally.plans.adhoc import adhoc_sql
@@ -35,18 +35,18 @@ def _ranged(column: str, dtype: str) -> str:
   min({column})::DOUBLE, max({column})::DOUBLE FROM survey"""
 
 
-@query("profile", SURVEY + " UNION ALL ".join([
+@query("profile", SURVEY + ", stated AS (" + " UNION ALL ".join([
     _listed("region", "string"), _listed("country", "string"), _listed("segment", "string"),
     _listed("priority", "string"), _ranged("record_id", "bigint"), _ranged("household_id", "bigint"),
     _ranged("amount", "double"),
     "SELECT 'resp_phone', 'string', 0.0, true, NULL, NULL, NULL",
-]))
+]) + ") SELECT *, (SELECT count(*) FROM survey) AS n_rows FROM stated")
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = survey(spark, sf_dir).select(*PROFILED).withColumn(
         "resp_phone", F.concat(F.lit("+380"), F.lpad(F.col("household_id").cast("string"), 9, "0"))
     )
     return profile(rows, pii=["resp_phone"]).select(
-        "column", "dtype", "null_rate", "pii", F.array_join("values", "|").alias("values"), "min", "max"
+        "column", "dtype", "n_rows", "null_rate", "pii", F.array_join("values", "|").alias("values"), "min", "max"
     )
 
 
@@ -271,22 +271,55 @@ def _words(text: str) -> str:
     return rf"[w FOR w IN string_split_regex(lower({text}), '[^\p{{L}}\p{{M}}\p{{N}}_]+') IF w <> '']"
 
 
-def _runs(source: str, key: str) -> str:
-    return f"""SELECT DISTINCT {key} AS id, array_to_string(words[i:i + 7], ' ') AS run FROM (
-      SELECT {key}, words, unnest(range(1, len(words) - 6)) AS i FROM (
-        SELECT {key}, {_words('text')} AS words FROM {source}))"""
+# Benchmark texts, and the first one to three words of some as secrets that are shorter than a run.
+SECRETS = f"""
+WITH spelt AS (SELECT item_id, {_words('text')} AS words FROM benchmark), secrets AS (
+  SELECT words FROM spelt WHERE len(words) > 0 UNION ALL SELECT words[4:4 + item_id % 3] FROM spelt WHERE len(words) > 8
+), logs AS (
+  SELECT doc_id, ' ' || array_to_string(words, ' ') || ' ' AS text FROM (SELECT doc_id, {_words('text')} AS words FROM documents)
+)"""
 
 
-@query("leak_audit", f"""
-WITH seen AS ({_runs('documents', 'doc_id')}), known AS ({_runs('benchmark', 'item_id')})
-SELECT id AS log_id, count(*) AS n_runs FROM seen WHERE run IN (SELECT run FROM known) GROUP BY id""")
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    words = words_of(F.col("text"))
+    short = F.array_join(F.slice(words, 4, (F.col("item_id") % 3 + 1).cast("int")), " ")
+    return items.select("text").union(items.where(F.size(words) > 8).select(short))
+
+
+@query("leak_audit", SECRETS + """, runs AS (
+  SELECT DISTINCT array_to_string(words[i:i + 7], ' ') AS run FROM (
+    SELECT words, unnest(range(1, greatest(len(words) - 6, 2))) AS i FROM secrets))
+SELECT doc_id AS log_id, count(*) AS n_runs FROM logs JOIN runs ON contains(text, ' ' || run || ' ') GROUP BY doc_id""")
 def _leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = leaked_names(
-        table(spark, sf_dir, "benchmark"), "text", table(spark, sf_dir, "documents"), "doc_id", "text", 8
+        _secrets(spark, sf_dir), "text", table(spark, sf_dir, "documents"), "doc_id", "text", 8
     )
     return hits.groupBy("log_id").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
+@query("leak_audit_values", SECRETS + """, keys AS (SELECT DISTINCT array_to_string(words, ' ') AS key FROM secrets)
+SELECT doc_id AS log_id, key FROM logs JOIN keys ON contains(text, ' ' || key || ' ')""")
+def _leak_audit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_values(_secrets(spark, sf_dir), "text", table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("leak_audit_phones", """
+WITH known AS (SELECT DISTINCT '0' || lpad((c_custkey * 37)::VARCHAR, 9, '0') AS key FROM customer)
+SELECT doc_id AS log_id, '0' || lpad(doc_id::VARCHAR, 9, '0') AS key FROM documents
+WHERE '0' || lpad(doc_id::VARCHAR, 9, '0') IN (SELECT key FROM known)""")
+def _leak_audit_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("tel: 0"), F.lpad((F.col("c_custkey") * 37).cast("string"), 9, "0"), F.lit(" (home)")).alias("phone")
+    )
+    logs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("text", F.lit(" call 0"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("text")
+    )
+    ours = leaked_phones(people, "phone", logs, "doc_id", "text")
+    # a document may hold a phone of somebody by itself: only the one written into it is compared
+    return ours.where(F.col("key") == F.concat(F.lit("0"), F.lpad(F.col("log_id").cast("string"), 9, "0")))
+
+
 @query("adhoc_sql", """
 SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS balance, '[REDACTED]' AS contact
 FROM customer GROUP BY c_mktsegment""")

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.functions.categories import category_key, category_order
 from fieldtally.functions.columns import col
 from fieldtally.functions.dates import month_bucket
 from fieldtally.functions.numbers import progress_pct
-from fieldtally.operators.fivew import activities, five_w, reach, read_spec
+from fieldtally.operators.fivew import activities, five_w, five_w_long, reach, read_spec
 from fieldtally.operators.indicators import evaluate_indicators
 from fieldtally.operators.measures import evaluate_measure
 from fieldtally.operators.period import Period, in_period, source_info
-from fieldtally.operators.profile import group_counts, period_compare
+from fieldtally.operators.places import with_place
+from fieldtally.operators.profile import compare_measure, group_counts, period_compare
 from fieldtally.plans.report import evaluate_registry, limit_preview, suppress_high_card
 from fieldtally.sources.tables import Catalog
 from fieldtally.workload.base import ACTIVITY, FIVE_W, SURVEY, query, segment_columns, survey, table
@@ -220,6 +221,29 @@ def _period_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_compare(rows, "household_id", july, august, ["region"]).withColumn("ratio", F.round("ratio", 9))
 
 
+@query("period_compare_measure", SURVEY + """
+SELECT coalesce(segment, '(missing)') AS category, round(a, 2) AS first_value, round(b, 2) AS second_value,
+       round(b - a, 2) AS difference, round(b / a, 9) AS ratio FROM (
+  SELECT segment,
+    sum(amount) FILTER (priority <> '5-LOW' AND visit_date >= TIMESTAMP '1997-01-01' AND visit_date < TIMESTAMP '1998-01-01') AS a,
+    sum(amount) FILTER (priority <> '5-LOW' AND visit_date >= TIMESTAMP '1998-01-01' AND visit_date < TIMESTAMP '1999-01-01') AS b
+  FROM survey GROUP BY segment)""")
+def _period_compare_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = [Period("visit_date", date(y, 1, 1), date(y, 12, 31)) for y in (1997, 1998)]
+    measure = {"aggregation": "sum", "field": "amount", "filter": "priority != '5-LOW'"}
+    sides = compare_measure(survey(spark, sf_dir), measure, *years, by="segment")
+    digits = {"first_value": 2, "second_value": 2, "difference": 2, "ratio": 9}
+    return sides.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
+@query("five_w_long", ACTIVITY + """
+SELECT region, country, "Period", "Activity", NULL AS dimension, NULL AS category,
+       count(DISTINCT household_id) AS beneficiaries FROM activity GROUP BY ALL
+UNION ALL SELECT region, country, "Period", "Activity", 'segment', seg, count(DISTINCT household_id) FROM activity GROUP BY ALL""")
+def _five_w_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return five_w_long(survey(spark, sf_dir, services=True), FIVE_W)
+
+
 @query("join_left_equi", ACTIVITY + """, total AS (
   SELECT region, "Activity", count(DISTINCT household_id) AS n FROM activity GROUP BY ALL
 ), part AS (
@@ -243,10 +267,7 @@ SELECT category, n, row_number() OVER (ORDER BY category = '(missing)', category
 FROM (SELECT coalesce(segment, '(missing)') AS category, count(*) AS n FROM survey GROUP BY 1)""")
 def _sort_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _category_key(spark, sf_dir)
-    # one row per category of a report
-    return counted.withColumn(
-        "place", F.row_number().over(Window.orderBy(*category_order(F.col("category")))).cast("bigint")
-    )
+    return with_place(counted, *category_order(F.col("category")))
 
 
 @query("sort_group_keys", SURVEY + """
@@ -255,10 +276,7 @@ FROM (SELECT region, coalesce(segment, '(missing)') AS seg, count(*) AS n FROM s
 def _sort_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = survey(spark, sf_dir).select("region", category_key(col("segment")).alias("seg"))
     counted = rows.groupBy("region", "seg").agg(F.count(F.lit(1)).alias("n"))
-    # the place is counted over regions and segments, one row each
-    return counted.withColumn(
-        "place", F.row_number().over(Window.orderBy("region", "seg")).cast("bigint")
-    ).orderBy("region", "seg")
+    return with_place(counted, F.col("region"), F.col("seg")).orderBy("region", "seg")
 
 
 @query("limit_preview", ACTIVITY + """, matrix AS (

@@ -1,16 +1,19 @@
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.errors import ReportError
 from fieldtally.functions.categories import MISSING, category_key, ordered_labels, spelling_key
-from fieldtally.functions.numbers import progress_pct
+from fieldtally.functions.numbers import progress_pct, shown_number
 from fieldtally.functions.text import cap_bytes, cap_chars, is_personal, redact, redaction_count, strip_control
 from fieldtally.operators.cleaning import CleaningPlan, category_normalize, clean_dataset, date_bounds
-from fieldtally.operators.leaks import leaked_names, leaked_phones
+from fieldtally.operators.leaks import leaked_names, leaked_phones, leaked_values
+from fieldtally.operators.period import Period
 from fieldtally.operators.pii import drop_pii, pii_detect, pii_sample
-from fieldtally.operators.profile import dup_report, null_rates, profile, top_category
+from fieldtally.operators.profile import compare_measure, dup_report, null_rates, profile, top_category
+from fieldtally.operators.places import with_place
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
 from fieldtally.operators import rowids
 from fieldtally.plans.adhoc import adhoc_sql, ask
@@ -209,43 +212,127 @@ def test_date_bounds_on_text(spark):
     assert date_bounds(df, {"t": (None, "2026-12-31")}).filter("t = 'soon'").count() == 1
 
 
-def test_leaks(spark):
-    people = spark.createDataFrame([("Олена Коваль", "+380 67 123 45 67"), ("Іван Ткач", "0501112233")], "n string, p string")
-    logs = spark.createDataFrame(
-        [(1, "call +380671234567 now"), (2, "ОЛЕНА  КОВАЛЬ came"), (3, "Олена came, Коваль left"), (4, "")],
-        "i int, t string",
-    )
-    assert [(r.log_id, r.key) for r in leaked_phones(people, "p", logs, "i", "t").collect()] == [(1, "380671234567")]
-    assert [(r.log_id, r.key) for r in leaked_names(people, "n", logs, "i", "t", 2).collect()] == [(2, "олена коваль")]
+LOGS = [
+    (1, "ring +380671234567 or +380 67 123 45 67"), (2, "ОЛЕНА  КОВАЛЬ came"), (3, "Олена came, Коваль left"), (4, ""), (5, None),
+    (6, "the quick brown dog"), (7, "see the quick, brown FOX!"), (8, "Ada wrote"), (9, "Adan wrote"),
+]
+
+
+@pytest.fixture(scope="module")
+def logs(spark):
+    return spark.createDataFrame(LOGS, "i int, t string")
+
+
+def hits(found):
+    return sorted(map(tuple, found.select("log_id", "key").collect()))
+
 
+def test_leaked_phones(spark, logs):
+    people = spark.createDataFrame([("+380 67 123 45 67",), ("0501112233",), (None,)], "p string")
+    assert hits(leaked_phones(people, "p", logs, "i", "t")) == [(1, "380671234567")]
 
-def test_adhoc(spark, households):
-    catalog = Catalog({"hh": households})
-    answer = adhoc_sql(spark, catalog, "SELECT oblast, count(*) AS n, '0501112233' AS x FROM hh GROUP BY oblast")
-    assert {(r.oblast, r.n, r.x) for r in answer.collect()} == {("X", 2, "[REDACTED]"), ("Y", 3, "[REDACTED]")}
-    with pytest.raises(Exception, match="resp_phone"):
-        adhoc_sql(spark, catalog, "SELECT resp_phone FROM hh")
-    assert adhoc_sql(spark, catalog, "SELECT a.oblast FROM hh a, hh b, hh c").count() == 50
 
+def test_leaked_runs_and_whole_values(spark, logs):
+    people = spark.createDataFrame([("Олена Коваль",), ("the quick brown fox",), ("Ada",), ("...",), (None,)], "n string")
+    short = [(2, "олена коваль"), (8, "ada")]
+    assert hits(leaked_names(people, "n", logs, "i", "t", 3)) == sorted([*short, (6, "the quick brown"), (7, "the quick brown"), (7, "quick brown fox")])
+    for words in (1, 2, 8):  # a part of a value is no leak, however few of its words are looked up
+        assert hits(leaked_values(people, "n", logs, "i", "t", words)) == sorted([*short, (7, "the quick brown fox")])
+    assert hits(leaked_names(people.where("n IS NULL"), "n", logs, "i", "t", 3)) == []
 
-def test_adhoc_notes_and_byte_cap(spark, households):
-    catalog = Catalog({"hh": households})
-    out = ask(spark, catalog, "SELECT h.oblast, '0501112233 +380671234567' AS x FROM hh h, hh b, hh c ORDER BY 1")
-    assert tuple(out.notes.first()) == (125, 50, 75, 250)
-    assert [r.oblast for r in out.table.collect()] == ["X"] * 50
+
+def test_adhoc(spark, wells):
+    catalog = Catalog({"wells": wells}, {"wells": ["well_no"]})
+    answer = adhoc_sql(spark, catalog, "SELECT kind, count(*) AS n, '0501112233' AS x FROM wells WHERE kind IS NOT NULL GROUP BY kind")
+    assert {tuple(r) for r in answer.collect()} == {("dug", 2, "[REDACTED]"), ("bored", 3, "[REDACTED]")}
+    assert adhoc_sql(spark, catalog, "SELECT a.kind FROM wells a, wells b, wells c").count() == 50
+    assert not spark.catalog.tableExists("wells")  # the views are gone
+
+
+def test_adhoc_notes_and_byte_cap(spark, wells):
+    catalog = Catalog({"wells": wells})
+    out = ask(spark, catalog, "SELECT a.depth, '0501112233 +380671234567' AS x FROM wells a, wells b, wells c ORDER BY 1")
+    assert tuple(out.notes.first()) == (216, 50, 166, 432)
+    assert {r.depth for r in out.table.collect()} == {8, 12}
     small = ask(spark, catalog, "SELECT id, repeat('x', 40) AS t FROM range(30) ORDER BY id DESC", size=100)
     assert [r.id for r in small.table.collect()] == [29, 28] and small.notes.first().hidden == 28
     one = ask(spark, catalog, "SELECT repeat('x', 400) AS t", size=100)
     assert one.table.first().t == "x" * 100
 
 
-def test_adhoc_reads_no_files(spark, households, tmp_path):
-    spark.range(1).write.parquet(str(tmp_path / "p"))
+def test_adhoc_redacts_every_cell(spark, wells):
+    row = adhoc_sql(spark, Catalog({"wells": wells}), """
+        SELECT array('a', '+380 67 123 45 67') AS l, named_struct('p', '0501112233', 'q', 5) AS s, map('0501112233', 1) AS m,
+               380671234567 AS n, 42 AS k, 1.5 AS d, cast('0501112233' AS binary) AS b FROM wells LIMIT 1""").first()
+    assert (row.l, row.s, row.m) == ('["a","[REDACTED]"]', '{"p":"[REDACTED]","q":5}', '{"[REDACTED]":1}')
+    assert row.n is None and row.k == 42 and float(row.d) == 1.5 and row.b == "[REDACTED]"
+
+
+@pytest.mark.parametrize("query", [
+    "SELECT * FROM hidden", "DROP VIEW hidden", "CREATE TABLE x AS SELECT 1", "SELECT 1; SELECT 2", "SHOW TABLES", "INSERT INTO wells VALUES (1)",
+    "SELECT 1 AS a) UNION ALL (SELECT name FROM hidden", "SELECT (SELECT max(name) FROM hidden) AS m", "WITH w AS (SELECT * FROM hidden) SELECT * FROM w",
+    "WITH hidden AS (SELECT 1 AS a) SELECT * FROM hidden", "SELECT depth, depth FROM wells", "SELECT * FROM wells WHERE kind IN (SELECT name FROM hidden)",
+    "SELECT * FROM parquet.`/tmp`", "not sql",
+])
+def test_adhoc_reads_its_own_views_only(spark, wells, query):
+    spark.createDataFrame([("+380 67 123 45 67",)], "name string").createOrReplaceTempView("hidden")
     with pytest.raises(Exception):
-        adhoc_sql(spark, Catalog({"hh": households}), f"SELECT * FROM parquet.`{tmp_path}/p`")
-    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+        ask(spark, Catalog({"wells": wells}), query).table.collect()
+    assert spark.table("hidden").count() == 1 and spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_adhoc_may_name_a_part(spark, wells):
+    got = adhoc_sql(spark, Catalog({"wells": wells}), "WITH dug AS (SELECT * FROM wells WHERE kind = 'dug') SELECT count(*) AS n FROM dug")
+    assert got.first().n == 2
+    with pytest.raises(Exception, match="owner_phone"):
+        adhoc_sql(spark, Catalog({"wells": wells}), "SELECT owner_phone FROM wells")
+
+
+def test_personal_columns_do_not_depend_on_partitions(spark):
+    rows = [(n, "0501112233" if n % 4 == 0 else "none", None if n % 50 else "0501112233") for n in range(4000)]
+    df = spark.createDataFrame(rows, "n int, often string, seldom string")
+    whole = [(n, "0501112233" if n < 20 else "none") for n in range(4000)]
+    ordered = spark.createDataFrame(whole, "n int, head string")
+    for frame in (df, df.repartition(7), df.repartition(3, "often")):
+        assert pii_detect(frame) == pii_detect(df) and "seldom" in pii_detect(frame)
+    for frame in (ordered, ordered.repartition(9)):
+        assert pii_detect(frame, [F.col("n")]) == ["head"] and pii_detect(frame, [F.col("n").desc()]) == []
+        assert Catalog({"o": frame}, {"o": ["n"]}).personal("o") == ["head"]
+
+
+def test_unknown_dataset_message(spark, wells):
+    with pytest.raises(ReportError, match="Available: wells"):
+        Catalog({"wells": wells}).stripped("other")
+
+
+def test_cleaning_counts_what_is_missing_afterwards(spark):
+    rows = [("a", 5, "x"), ("a", 5, "x"), ("b", None, "x"), ("c", 999, "y"), ("d", 7, "y"), ("d", 700, "y")]
+    tables = []
+    for given in (rows, rows[::-1]):
+        frame = spark.createDataFrame(given, "id string, age int, at string")
+        out = clean_dataset(frame, CleaningPlan(order=["at"], id_field="id", bounds={"age": (0, 120)}, key_fields=["age"]))
+        kept = {r.id: r.age for r in out.table.collect()}
+        missing = next(r for r in out.report.collect() if r.action == "missing values")
+        assert missing.affected == sum(v is None for v in kept.values()) and kept["b"] is kept["c"] is None
+        tables.append(kept)
+    assert tables[0] == tables[1]  # a tie is settled by content, not by arrival
+
+
+def test_profile_counts_rows(spark, wells):
+    assert {r.n_rows for r in profile(wells, ["owner_phone"]).collect()} == {6}
+
+
+def test_compare_any_measure(spark):
+    df = spark.createDataFrame([("2024-01-05", "a", 2.0), ("2024-01-20", "b", 3.0), ("2024-02-03", "a", 5.0)], "d string, g string, x double")
+    months = [Period("d", date(2024, m, 1), date(2024, m, 28)) for m in (1, 2)]
+    total = compare_measure(df, {"aggregation": "sum", "field": "x"}, *months).first()
+    assert (total.category, total.first_value, total.second_value, total.difference, total.ratio) == (None, 5.0, 5.0, 0.0, 1.0)
+    rows = {r.category: (r.first_value, r.second_value) for r in compare_measure(df, {"aggregation": "count"}, *months, by="g").collect()}
+    assert rows == {"a": (1.0, 1.0), "b": (1.0, None)}
 
 
-def test_unknown_dataset_message(spark, households):
-    with pytest.raises(ReportError, match="Available: hh"):
-        Catalog({"hh": households}).stripped("other")
+def test_places_and_shown_numbers(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
+    assert all(r.place == r.v + 1 for r in with_place(df, F.col("v")).collect())
+    numbers = spark.createDataFrame([(2.0,), (-3.0,), (1.23456,), (None,), (1e16,)], "x double")
+    assert [r[0] for r in numbers.select(shown_number(F.col("x"))).collect()] == ["2", "-3", "1.2346", None, "1.0E16"]
