@@ -11,7 +11,7 @@ Only hashes of windows are exploded. Texts are looked at again for rows that hav
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import by_keys
@@ -22,16 +22,17 @@ LITERAL = 5  # words of a window that are no placeholder, at least; shorter item
 SHARE = 0.25  # part of an item's windows that a leak shows, at least
 MAX_BROADCAST = 1_000_000  # benchmark windows (a hash and two numbers each) that are broadcast, at most
 
-MARK = ""  # stands before the kind of a slot and its value; taken out of the texts first
+MARK = "\ue000"  # stands before the kind of a slot and its value; taken out of the texts first
 BLANK = "[\\x09-\\x0D\\x20]"
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles|meters|metres|feet|ft|inches|hours|hour|minutes|seconds|days|weeks|years|" \
     "dollars|euros|cents|percent|liters|litres|ml|degrees|mph|kmh"
 STEPS = (  # (pattern, replacement) in the syntax that Java and RE2 share
-    (f"(^|{BLANK})([$€£]?[0-9])", f"\\1{MARK}n\\2"),
+    (f"{BLANK}+", " "),
+    ("(^| )([$€£]?[0-9])", f"\\1{MARK}n\\2"),
     ("([\\p{Ll},;] )(\\p{Lu})", f"\\1{MARK}p\\2"),
-    (f"({MARK}n[^\\x09-\\x0D\\x20]* )({UNITS})([^\\p{{L}}]|$)", f"\\1{MARK}u\\2\\3"),
+    (f"({MARK}n[^ ]* )({UNITS})([^\\p{{L}}]|$)", f"\\1{MARK}u\\2\\3"),
 )
-DROPPED = f"[^\\p{{L}}\\p{{N}}{MARK}\\x09-\\x0D\\x20]+"
+DROPPED = f"[^\\p{{L}}\\p{{N}}{MARK} ]+"
 
 
 def marked_words(text: Column) -> Column:
@@ -40,8 +41,7 @@ def marked_words(text: Column) -> Column:
     for pattern, replacement in STEPS:
         out = F.regexp_replace(out, pattern, replacement.replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
     out = F.regexp_replace(F.lower(out), DROPPED, "")
-    out = F.regexp_replace(out, f"^{BLANK}+|{BLANK}+$", "")
-    return F.split(out, f"{BLANK}+")
+    return F.split(F.trim(out), " +")
 
 
 def template(words: Column) -> Column:
@@ -59,16 +59,18 @@ def _windows(words: Column, size: Column | int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """One row per window: item_id, at (from 0), size, windows (of the item), hash and the marked words."""
+    """One row per telling window: item_id, at (from 0), size, windows (telling ones of the item), hash, marked words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked_words(F.col("text")).alias("words"))
     items = items.distinct().where(F.col("item_id").isNotNull() & (F.size("words") >= literal)).withColumn(
         "size", F.least(F.lit(window), F.size("words"))
     )
     starts = F.sequence(F.lit(0), F.size("words") - F.col("size"))
-    rows = items.withColumn("windows", F.size("words") - F.col("size") + 1).withColumn("at", F.explode(starts))
-    rows = rows.withColumn("item_words", F.slice("words", F.col("at") + 1, F.col("size"))).drop("words")
+    rows = items.withColumn("at", F.explode(starts))
+    rows = rows.withColumn("item_words", F.slice("words", F.col("at") + 1, F.col("size")))
     shown = F.filter("item_words", lambda w: ~w.startswith(MARK))
-    return rows.where(F.size(shown) >= literal).withColumn("hash", F.xxhash64(template(F.col("item_words"))))
+    telling = rows.where(F.size(shown) >= literal)  # the others could be anything; an item's share is of these
+    counted = telling.withColumn("windows", F.count("*").over(Window.partitionBy("item_id", "words")))
+    return counted.drop("words").withColumn("hash", F.xxhash64(template(F.col("item_words"))))
 
 
 def _row_key() -> Column:
@@ -144,3 +146,50 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns unchanged."""
     bad = staged(leaks(docs, benchmark).select("row_key").distinct(), "benchmark-leaks")
     return by_keys(docs, bad, _row_key(), "left_anti")
+
+
+def _sql_words(text: str) -> str:
+    out = f"translate(coalesce({text}, ''), '{MARK}', '')"
+    for pattern, replacement in STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    return f"string_split_regex(trim(regexp_replace(lower({out}), '{DROPPED}', '', 'g')), ' +')"
+
+
+def _sql_template(words: str) -> str:
+    return f"list_transform({words}, lambda w: CASE WHEN starts_with(w, '{MARK}') THEN substr(w, 1, 2) ELSE w END)"
+
+
+ORACLE = f"""
+WITH sized AS (
+  SELECT *, least({WINDOW}, len(words)) AS size FROM (
+    SELECT DISTINCT item_id, {_sql_words('text')} AS words FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(words) >= {LITERAL}
+), parts AS (
+  SELECT item_id, words, place, size, words[place + 1:place + size] AS item_words
+  FROM (SELECT *, unnest(range(0, len(words) - size + 1)) AS place FROM sized)
+), good AS (
+  SELECT *, {_sql_template('item_words')} AS kind, count(*) OVER (PARTITION BY item_id, words) AS windows FROM parts
+  WHERE len(list_filter(item_words, lambda w: NOT starts_with(w, '{MARK}'))) >= {LITERAL}
+), keyed AS (
+  SELECT row_number() OVER () AS k, doc_id, words FROM (SELECT DISTINCT doc_id, text, {_sql_words('text')} AS words FROM documents)
+), spread AS (
+  SELECT k, doc_id, size, pos, words[pos + 1:pos + size] AS doc_words FROM (
+    SELECT *, unnest(range(0, len(words) - size + 1)) AS pos FROM keyed, (SELECT DISTINCT size FROM good) WHERE len(words) >= size)
+), hits AS (
+  SELECT k, doc_id, item_id, windows, pos - place AS shift,
+         list_filter(list_zip(item_words, doc_words), lambda p: starts_with(p[1], '{MARK}')) AS slots
+  FROM (SELECT *, {_sql_template('doc_words')} AS kind FROM spread) JOIN (SELECT * EXCLUDE (words) FROM good) USING (size, kind)
+), met AS (
+  SELECT k, item_id, shift, s[1] AS item_word, min(s[2]) AS low, max(s[2]) AS high
+  FROM (SELECT k, item_id, shift, unnest(slots) AS s FROM hits) GROUP BY ALL
+), slotted AS (
+  SELECT k, item_id, shift, max((low <> high)::INT) AS broken, count(*) AS slots, sum((low <> item_word)::INT) AS changed
+  FROM met GROUP BY k, item_id, shift
+), aligned AS (
+  SELECT h.k, h.doc_id, h.item_id, h.windows, count(*) AS n, coalesce(max(s.slots), 0) AS slots, coalesce(max(changed), 0) AS changed
+  FROM hits h LEFT JOIN slotted s USING (k, item_id, shift) WHERE coalesce(broken, 0) = 0
+  GROUP BY h.k, h.doc_id, h.item_id, h.windows, h.shift
+)
+SELECT doc_id, item_id, n AS n_windows, windows AS item_windows, slots AS n_slots, changed AS n_changed FROM aligned
+QUALIFY row_number() OVER (PARTITION BY k, item_id ORDER BY n DESC, changed, slots DESC) = 1 AND n >= windows * {SHARE}
+"""

@@ -171,7 +171,7 @@ def train(
     An id that stands in several rows is trained on once, with the smallest of its number rows.
     """
     chosen = training_labels(labels, label, modulus, held_out, sample)  # bounded by ``sample`` rows
-    known = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("label_id")
     ).select("doc_id", "text", F.col("label").alias("_label"))
 
@@ -180,11 +180,12 @@ def train(
 
     read = (
         map_texts(known, rows, "doc_id long, label int, x array<double>", "_label")
-        .groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("row")).select("row.*").orderBy("x", "label")
+        .groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("row")).select("row.*")
         .toPandas()
     )
-    x = np.array(read["x"].tolist(), float).reshape(len(read), len(NAMES))
-    return fit(x, read["label"].to_numpy(float))
+    rows = sorted(zip(map(tuple, read["x"]), read["label"].tolist()))  # the same order in every run
+    x = np.array([r[0] for r in rows], float).reshape(len(rows), len(NAMES))
+    return fit(x, np.array([r[1] for r in rows], float))
 
 
 def score(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:

@@ -90,4 +90,5 @@ def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_pages(table(spark, sf_dir, "pages"))
 
 
+ORACLES["op8_template_decontamination"] = decontaminate.ORACLE
 ORACLES["op9_bloom_cascade"] = url_cascade.ORACLE

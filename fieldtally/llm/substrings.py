@@ -261,7 +261,8 @@ def _matched(runs: DataFrame, length: int) -> DataFrame:
         ]
         return pd.DataFrame({
             "shard": streamed["shard"], "content": streamed["content"],
-            "starts": [[a for a, _ in f] for f in found], "ends": [[b for _, b in f] for f in found],
+            "starts": pd.Series([[a for a, _ in f] for f in found], streamed.index, object),
+            "ends": pd.Series([[b for _, b in f] for f in found], streamed.index, object),
         })
 
     schema = "shard int, content binary, starts array<int>, ends array<int>"

@@ -201,7 +201,7 @@ def train(
     """
     found = Toxicity(log_model(character_counts(docs)))
     chosen = training_labels(labels, label, modulus, held_out, sample)  # bounded by ``sample`` rows
-    known = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("label_id")
     ).select("doc_id", "text", F.col("label").alias("_label"))
     held: dict[str, Restorer] = {}
