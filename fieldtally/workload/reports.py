@@ -17,7 +17,8 @@ from fieldtally.operators.measures import evaluate_measure
 from fieldtally.operators.period import Period, in_period, source_info
 from fieldtally.operators.places import with_place
 from fieldtally.operators.profile import compare_measure, group_counts, period_compare
-from fieldtally.plans.report import evaluate_registry, limit_preview, suppress_high_card
+from fieldtally.plans.report import evaluate_registry, five_w_report, limit_preview, suppress_high_card
+from fieldtally.session import scratch_path
 from fieldtally.sources.tables import Catalog
 from fieldtally.workload.base import ACTIVITY, FIVE_W, SURVEY, query, segment_columns, survey, table
 
@@ -244,6 +245,41 @@ def _five_w_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return five_w_long(survey(spark, sf_dir, services=True), FIVE_W)
 
 
+@query("five_w_report", ACTIVITY + f"""
+SELECT 'Relief Org' AS "Organization", 'P-1' AS "Project", region, country, "Period", "Activity",
+       count(DISTINCT household_id) AS "Beneficiaries", {segment_columns()}, '2026-09-14' AS day,
+       (SELECT count(DISTINCT household_id) FROM activity WHERE {IN_PERIOD}) AS unique_reach,
+       (SELECT count(*) FROM survey WHERE {IN_PERIOD}) AS rows_in_scope
+FROM activity WHERE {IN_PERIOD} GROUP BY region, country, "Period", "Activity" """)
+def _five_w_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = five_w_report(Catalog({"survey": survey(spark, sf_dir, services=True)}), FIVE_W, PERIOD)
+    paths = report.save(scratch_path(spark, "report"), date(2026, 9, 14))
+    matrix, summary, source = (spark.read.parquet(paths[name]) for name in ("matrix", "summary", "source"))
+    # summary and account are one row each
+    facts = summary.select("unique_reach").join(F.broadcast(source.select("rows_in_scope")))
+    day = F.col("report_date").cast("string").alias("day")
+    return matrix.select(*[c for c in matrix.columns if c != "report_date"], day).join(F.broadcast(facts))
+
+
+@query("registry_report", SURVEY + f""", scoped AS MATERIALIZED (SELECT * FROM survey WHERE {IN_PERIOD}), parts AS (
+  {_broken_down("1.1", "region", "count(DISTINCT household_id)")}
+  UNION ALL {_broken_down("1.1", "segment", "count(DISTINCT household_id)")}
+  UNION ALL {_broken_down("1.4", "country", "count(*) FILTER (region <> 'ASIA' AND amount >= 50000 AND amount < 200000)")})
+SELECT 'breakdown' AS "table", code, dimension, category, value FROM parts
+UNION ALL SELECT 'not_computable', code, NULL, NULL, NULL FROM (SELECT unnest(['2.1', '2.2']) AS code)
+UNION ALL SELECT 'sources', 'survey', NULL, NULL, (SELECT count(*) FROM scoped)""")
+def _registry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = evaluate_registry(spark, _registry(), Catalog({"survey": survey(spark, sf_dir)}), PERIOD)
+    paths = run.save(scratch_path(spark, "report"), date(2026, 9, 14))
+    parts, missing, sources = (spark.read.parquet(paths[n]) for n in ("breakdown", "not_computable", "sources"))
+    rows = parts.where(F.col("code").isin("1.1", "1.4")).select(F.lit("breakdown").alias("table"), "code", "dimension", "category", "value")
+    rows = rows.unionByName(missing.select(F.lit("not_computable").alias("table"), "code"), allowMissingColumns=True)
+    scope_rows = F.col("rows_in_scope").cast("double").alias("value")
+    return rows.unionByName(
+        sources.select(F.lit("sources").alias("table"), F.col("dataset").alias("code"), scope_rows), allowMissingColumns=True
+    )
+
+
 @query("join_left_equi", ACTIVITY + """, total AS (
   SELECT region, "Activity", count(DISTINCT household_id) AS n FROM activity GROUP BY ALL
 ), part AS (
