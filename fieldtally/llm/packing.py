@@ -261,7 +261,8 @@ def pack(
     """
     spark: SparkSession = docs.sparkSession
     cut = pieces(docs, vocabulary, end_id, capacity, with_ids)
-    histogram, rows = ranked(cut if with_ids else cut.drop("ids"))
+    # written first: range partitioning looks at its input twice, and texts shall be encoded once
+    histogram, rows = ranked(staged(cut if with_ids else cut.drop("ids"), "packing-pieces"))
     assignments, _ = plan(histogram, capacity)
     places = spark.createDataFrame(
         assignments, "length long, _from long, _to long, _sequence long, _offset long"
