@@ -197,7 +197,7 @@ def train(
 ) -> Toxicity:
     """Learn the language model from all texts, weights from labelled texts whose remainder is not ``held_out``.
 
-    An id that stands in several rows counts once for each.
+    Texts of the same words and label count once, or the words of a much-copied text would all look telling.
     """
     found = Toxicity(log_model(character_counts(docs)))
     chosen = training_labels(labels, label, modulus, held_out, sample)  # bounded by ``sample`` rows
@@ -213,8 +213,8 @@ def train(
 
     read = staged(
         map_texts(known, rows, "doc_id long, label int, words array<string>", "_label").withColumn(
-            "row", F.xxhash64("doc_id", "words")
-        ),
+            "row", F.xxhash64("words")
+        ).dropDuplicates(["row", "label"]),
         "toxicity-words",
     )
     sizes = {r["label"]: r["n"] for r in read.groupBy("label").agg(F.count("*").alias("n")).collect()}
