@@ -36,6 +36,10 @@ def _runs(words: Column, length: int) -> Column:
     return F.when(F.size(words) >= length, F.transform(starts, lambda at: F.slice(words, at, length)))
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda word: F.xxhash64(word))
+
+
 def _known(keys: DataFrame, column: str = "key") -> DataFrame:
     """Distinct keys, broadcast only once their number and size are known to be small."""
     known = staged(keys.distinct(), "leak-keys")
@@ -59,17 +63,19 @@ def _found(keys: DataFrame, logs: DataFrame, log_id: str, text: str) -> DataFram
 
     ``probe`` is a run of ``length`` words inside the key; a log that has the run is compared with the whole key.
     """
-    keyed = keys.select("key", "length", F.xxhash64("probe").alias("hash"))
+    keyed = keys.select("key", "length", F.xxhash64(_hashed(F.col("probe"))).alias("hash"))
     known = _known(keyed)
     lengths = sorted(r.length for r in keyed.select("length").distinct().collect())  # at most the run length
     if not lengths:
         return logs.select(F.col(log_id).alias("log_id"), F.lit("").alias("key")).limit(0)
     named = logs.select(F.col(log_id).alias("log_id"), words_of(F.col(text)).alias("words"))
     hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*(
-        F.transform(_runs(F.col("words"), n), lambda run: F.xxhash64(run)) for n in lengths
+        F.transform(_runs(F.col("hashed"), n), lambda run: F.xxhash64(run)) for n in lengths
     )))))
+    # the words of a text are hashed once; runs are hashes of these numbers
+    numbered = named.select("log_id", _hashed(F.col("words")).alias("hashed"))
     hits = staged(
-        named.select("log_id", F.explode(hashes).alias("hash")).join(known, "hash").select("log_id", "key").distinct(),
+        numbered.select("log_id", F.explode(hashes).alias("hash")).join(known, "hash").select("log_id", "key").distinct(),
         "leak-hits",
     )
     # only logs with a hit are read as text again
