@@ -29,7 +29,7 @@ def log_scan(spark: SparkSession, path: str, schema: T.StructType | str | None =
     A line that is no readable object is no record; ``log_damage`` counts those.
     """
     lines = _lines(spark, path, schema)
-    return lines.where(col(DAMAGED).isNull()).drop(DAMAGED, BESIDE)
+    return lines.where(F.coalesce(DAMAGED, BESIDE).isNull()).drop(DAMAGED, BESIDE)
 
 
 def log_damage(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from fieldtally.operators.rowids import ROW_ID, derived_ids, keep_first
 from fieldtally.plans.report import evaluate_registry
 from fieldtally.session import scratch_path
 from fieldtally.sources.documents import doc_text
-from fieldtally.sources.logs import LOG_SCHEMA, log_scan, log_summary
+from fieldtally.sources.logs import LOG_SCHEMA, log_damage, log_scan, log_summary
 from fieldtally.sources.pages import rows_to_table, scan_json_pages
 from fieldtally.sources.sinks import sink_clean, sink_pull
 from fieldtally.sources.synthetic import synthetic_survey
@@ -65,6 +65,19 @@ def _scan_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_json_pages(spark, _landed_pages(spark, sf_dir))
 
 
+@query("scan_json_bare_pages", """
+SELECT event_id, user_id, event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events""")
+def _scan_json_bare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "bare-pages")
+    row = F.struct(
+        "event_id", "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value")
+    )
+    pages = table(spark, sf_dir, "events").groupBy((F.floor(F.col("event_id") / PAGE)).alias("page"))
+    arrays = pages.agg(F.to_json(F.collect_list(row)).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
+    return scan_json_pages(spark, path, wrapped=False)
+
+
 @query("union_pages", """
 SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type""")
 def _union_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +174,19 @@ def _log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_summary(log, ["user_id"])
 
 
+@query("log_damage", """
+SELECT count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS damaged,
+       count(*) FILTER (event_id % 97 <> 0) AS events FROM events""")
+def _log_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "damaged-log")
+    line = F.to_json(F.struct(F.lit("tool_use").alias("kind"), "event_id", F.col("event_type").alias("text")))
+    cut = F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 25)).otherwise(line)
+    table(spark, sf_dir, "events").select(cut.alias("value")).write.text(path)
+    events = log_summary(log_scan(spark, path, LOG_SCHEMA)).select(F.col("events"))
+    counted = log_damage(spark, path).agg(F.sum("lines").alias("lines"), F.sum("damaged").alias("damaged"))
+    return counted.join(F.broadcast(events))  # one row each
+
+
 def _without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer rows cut to two columns, so that most are copies of one another; some cells are missing."""
     return table(spark, sf_dir, "customer").select(
