@@ -178,9 +178,11 @@ def sketches(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _visited(docs: DataFrame, first: DataFrame) -> DataFrame:
     """row, doc_id, text and shared anchors of the documents that share an anchor with another one."""
     anchors = first.select("row", "doc_id", F.explode("anchors").alias("anchor"))
+    # written before it is joined, here and below: a join of two plain shuffles is one whose hot keys can be split
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    shared = staged(shared.select("anchor"), "substring-shared")
     lists = staged(
-        anchors.join(shared.select("anchor"), "anchor").groupBy("row").agg(F.collect_set("anchor").alias("shared")),
+        anchors.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("shared")),
         "substring-anchors",
     )
     kept = by_keys(_keyed(docs), lists.select("row"), "row", "left_semi").dropDuplicates(["row"])
@@ -307,14 +309,15 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     bounded_batches(docs.sparkSession)
     all_rows = staged(sketches(docs, length, gram), "substring-sketches")
     named = all_rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= length))
-    first = named.groupBy("content").agg(F.min("doc_id").alias("first"))
+    first = staged(named.groupBy("content").agg(F.min("doc_id").alias("first")), "substring-first")
     marked = named.select("row", "doc_id", "content").distinct().join(first, "content")
     copies = marked.where("doc_id > first").select("row", F.lit(True).alias("copy"))
     originals = named.dropDuplicates(["row"]).join(marked.where("doc_id = first").select("row"), "row")
     visited = _visited(docs, originals)
     windows = _windows(visited, length, gram)
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owned = windows.join(owners.where("owner < last").select("hash", "owner"), "hash")
+    owners = staged(owners.where("owner < last").select("hash", "owner"), "substring-owners")
+    owned = windows.join(owners, "hash")
     hits = owned.groupBy("row").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
     lost = _without(visited, _matched(_runs(visited, hits, length), length))
     nothing = F.lit(hashlib.sha256(b"").digest())
