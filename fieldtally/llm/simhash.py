@@ -28,7 +28,7 @@ RADIUS = 3
 SEED = 42
 BLOCK = 150_000  # distinct fingerprints in a block; a task holds two blocks
 TILE = 1024  # fingerprints of one side compared in one step
-EDGES = 1 << 19  # links held before they are reduced to a forest
+EDGES = 1 << 17  # links held before they are reduced to a forest
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -89,7 +89,7 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> n
     a = _Tiles(left, parts)
     b = a if right is None else _Tiles(right, parts)
     shift = 0 if right is None else len(left)
-    held, size = [], 0
+    held, size, label = [], 0, np.arange(n)
     for t in range(len(a.counts)):
         apart = np.abs(b.counts - a.counts[t]).sum(1)
         near = np.nonzero(apart <= radius)[0]
@@ -108,12 +108,15 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> n
                 i, j = rows[i], columns[j]
                 if right is None:
                     i, j = i[i < j], j[i < j]
-                if len(i):
-                    held.append(np.stack([a.order[i], b.order[j] + shift], 1))
-                    size += len(i)
+                i, j = a.order[i], b.order[j] + shift
+                new = label[i] != label[j]  # a dense group is joined after a few of its links
+                if new.any():
+                    held.append(np.stack([i[new], j[new]], 1))
+                    size += int(new.sum())
                 if size > EDGES:
                     held = [forest(np.concatenate(held), n)]
-                    size = len(held[0])
+                    label[held[0][:, 0]] = held[0][:, 1]
+                    size = 0
     return forest(np.concatenate(held), n) if held else np.zeros((0, 2), np.int64)
 
 
@@ -174,21 +177,27 @@ def components(edges: DataFrame, label: str = "simhash-links") -> DataFrame:
     edges = staged(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label
     )
-    while True:
-        after = staged(_small_star(_large_star(edges)), label)
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
-            break
+    before = None
+    while before != (now := _digest(edges)):  # edges are distinct, so an equal digest is an equal set
+        before = now
+        edges = staged(_small_star(_large_star(edges)), label)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v"), F.col("v")).distinct()
     )
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of edges and two sums over their hashes, the same in any order."""
+    one, two = F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))
+    sums = [F.sum(h.cast("decimal(38,0)")) for h in (one, two)]
+    return tuple(edges.agg(F.count("*"), *sums).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or the node itself)."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written before it is joined: a join of two plain shuffles is one whose hot keys can be split
+    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

@@ -60,6 +60,17 @@ def test_tiles_find_the_components_of_all_pairs(n):
     assert (label == expected).all()
 
 
+def test_a_dense_group_is_joined_without_all_its_pairs():
+    rng = np.random.default_rng(9)
+    near = np.unique([sum(1 << int(b) for b in set(rng.integers(0, 24, 2))) for _ in range(5000)]).astype(np.uint64)
+    far = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    bits = np.unique(np.concatenate([near, far]))
+    found = links(bits, None)
+    label = np.arange(len(bits))
+    label[found[:, 0]] = found[:, 1]
+    assert len(found) < len(bits) and (label == labels_of(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3)).all()
+
+
 def test_star_rounds_join_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 501), (501, 500)]
     found = simhash.components(spark.createDataFrame(edges, "u long, v long"))
