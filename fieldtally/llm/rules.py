@@ -20,7 +20,8 @@ from fieldtally.session import staged
 KEEP = 0.5
 FIRST = (0.999, 0.4)  # accuracies on good and on bad texts to start from
 FIRST_SHARE = 0.85
-BOUNDS = ((0.998, 0.9999), (0.2, 0.9999))  # of the accuracies: a rule says bad of what hardly any good text shows
+BOUNDS = ((0.5, 0.9999), (0.01, 0.9999))  # of the accuracies
+PRIOR = 20  # votes that the accuracies to start from count as: they steady a rule that hardly votes
 ROUNDS = 200
 
 # A rule: name, value of the facts, good up to or from, bad beyond; between them it abstains.
@@ -67,7 +68,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES))
         found = []
         for weight, right, first, bounds in zip((good * counts, (1 - good) * counts), (1, -1), FIRST, BOUNDS):
             voted, correct = weight @ (v != 0), weight @ (v == right)
-            found.append(np.clip((correct + first) / (voted + 1), *bounds))
+            found.append(np.clip((correct + PRIOR * first) / (voted + PRIOR), *bounds))
         accuracy = np.array(found)
         share = float(np.clip((good @ counts + 1) / (counts.sum() + 2), 0.01, 0.99))
         if np.abs(accuracy - before).max() < 1e-9:

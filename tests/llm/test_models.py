@@ -122,6 +122,21 @@ def test_estimation_finds_the_accuracies():
     assert np.mean(kept == good) > 0.97
 
 
+@pytest.mark.parametrize("false_alarms", [0.02, 0.05, 0.1])
+def test_a_rule_with_false_alarms_does_not_drop_good_texts(false_alarms):
+    rng = np.random.default_rng(3)
+    good = rng.random(20_000) < 0.85
+    wrong = np.array([0.001] * 4 + [false_alarms] + [0.001] * 6)
+    ballots = np.where(np.where(good[:, None], rng.random((20_000, 11)) < wrong, rng.random((20_000, 11)) < 0.3), -1, 1)
+    each = np.array([rules.pattern(b) for b in ballots])
+    patterns, counts = np.unique(each, return_counts=True)
+    accuracy, share = rules.estimate(patterns, counts.astype(float))
+    assert abs(accuracy[0][4] - (1 - false_alarms)) < 0.01 and abs(share - 0.85) < 0.02
+    kept = rules.posterior(rules.ballots(each), accuracy, share) >= 0.5
+    assert kept[good & (ballots[:, 4] == -1) & ((ballots == -1).sum(1) == 1)].all()
+    assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.06
+
+
 def test_rules_keep_clean_texts_and_drop_junk(spark):
     got = QUERIES["op3_weak_supervision"](spark, SF_LARGER).toPandas()
     labels = spark.read.parquet(f"{SF_LARGER}/labels.parquet").toPandas()
