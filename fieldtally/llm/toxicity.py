@@ -2,10 +2,11 @@
 
 *Language model.* Counts of four neighbouring characters over every document, summed by Spark (at most 28^4 rows).
 
-*Channel.* A disguised stretch is a lattice of characters: a symbol stands for one of its letters or is noise, a run of
-three or more equal letters for one or two, a separator between single letters for nothing or a blank. Viterbi finds
-the likeliest path under the language model. Stretches with one path only, nearly all of a text, need no decoding;
-numpy finds the others: a symbol before a letter, three equal letters, three single characters in a row.
+*Channel.* A disguised stretch is a lattice of characters: a symbol stands for one of its letters or is noise, a digit
+for one of its letters or itself, a run of three or more equal letters or symbols for one or two, a separator between
+single letters for nothing or a blank. Viterbi finds the likeliest path under the language model, in time linear in
+the stretch. Stretches with one path only, nearly all of a text, need no decoding; numpy finds the texts with others: a
+symbol beside a letter or digit, three equal letters, three single characters in a row.
 
 *Score.* Words that mark toxic training texts get log-odds weights; a logistic model maps what a text has of them to
 a probability. Words count in their written and in their restored form.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ SAMPLE = 20_000  # labelled texts that weights are learnt from, at most
 LEXICON = 2_000  # weighted words, at most
 LEAST_TEXTS = 3  # training texts that a weighted word stands in
 LEAST_G2 = 20.0  # evidence against chance that a weighted word needs
-NOISE = -9.0  # log-probability of a symbol that stands for nothing
+NOISE = -9.0  # log-probability of a symbol that stands for nothing, of a digit among letters that is one, of a letter in a number
 
 # Letters that a symbol may stand for.
 LEET = {
@@ -44,9 +46,16 @@ CLASS[128:] = 27
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in LEET]] = True
 BLANK_OUT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-DECORATION = re.compile(rb"([*$%&#!|+@])\1{2,}")
-STRETCH = re.compile(rb"[a-z0-9@$!|+\x80-\xff]*[a-z0-9@$\x80-\xff]")  # an ending ! is a mark
-SPACED = re.compile(rb"(?<![a-z0-9\x80-\xff])[a-z0-9@$!|](?:[ ._*-][a-z0-9@$!|]){2,}(?![a-z0-9\x80-\xff])")
+DIGIT = np.zeros(256, bool)
+DIGIT[48:58] = True
+DECORATION = re.compile(rb"([*%&#])\1{2,}")
+_LETTER = rb"[a-z]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}"
+STRETCH = re.compile(  # a whole word with a symbol or three equal letters; each word is tried once, from its start
+    rb"(?<![a-z0-9@$!|+\x80-\xff])(?:(%b)(?!\1\1))*+(?:[0-9@$!|+]|(%b)\2\2)[a-z0-9@$!|+\x80-\xff]*" % (_LETTER, _LETTER)
+)
+ALNUM = re.compile(rb"[a-z0-9\x80-\xff]")
+LETTERS = re.compile(rb"(%b)\1\1" % _LETTER)
+SPACED = re.compile(rb"(?<![a-z0-9\x80-\xff])[a-z0-9@$!|+](?:[ ._*-][a-z0-9@$!|+]){2,}(?![a-z0-9\x80-\xff])")
 RUNS = re.compile(r"(.)\1*")
 
 
@@ -84,12 +93,25 @@ def _class(char: str) -> int:
 def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
     """The readings of each run of equal characters, with the channel's log-probability."""
     units = []
+    worded = any(c.isalpha() for c in stretch)  # else a number or price: there a letter is what hardly occurs
+    letter, noise = (0.0, NOISE) if worded else (NOISE, 0.0)
     for run in RUNS.finditer(stretch):
         char, k = run[1], len(run[0])
         if char in LEET:
-            for _ in range(min(k, 2) if k > 2 else k):
-                readings = [(c, 0.0) for c in LEET[char]]
-                units.append(readings + [("", NOISE)] * (not char.isdigit()))
+            other = [(char if char.isdigit() else "", noise)]
+            if k <= 2 and not (char == "!" and run.end() == len(stretch)):
+                units += [[(c, letter) for c in LEET[char]] + other] * k
+                continue
+            readings = [("".join(c), letter) for c in product(LEET[char], repeat=min(k, 2))]
+            if k > 2:
+                readings += [(c, letter) for c in LEET[char]]
+            if char.isdigit():
+                readings.append((run[0], noise))
+            elif char == "!" and run.end() == len(stretch):
+                readings.append(("", 0.0))  # a mark
+            else:
+                readings += [("", noise), (" ", noise)]
+            units.append(readings)
         elif spaced and char in " ._*-":
             units.append([("", 0.0), (" ", 0.0)])
         elif k > 2 and char.isalpha():
@@ -100,22 +122,31 @@ def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 
 def decode(stretch: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest reading of a stretch under channel and language model (Viterbi over the last three classes)."""
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    """The likeliest reading of a stretch under channel and language model (Viterbi over the last three classes).
+
+    A path is its last reading and the path before it; of equally likely ones the first stands.
+    """
+    flat, last = memoryview(np.ascontiguousarray(model).reshape(-1)), SIZE**3
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for readings in lattice(stretch, spaced):
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for state, (score, text) in states.items():
-            for letters, cost in readings:
+        coded = [(letters, cost, [_class(c) for c in letters]) for letters, cost in readings]
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in states.items():
+            for letters, cost, classes in coded:
                 at, total = state, score + cost
-                for char in letters:
-                    c = _class(char)
-                    total += float(model[*at, c])
-                    at = (*at[1:], c)
-                found = (total, text + letters)
-                if at not in after or found > after[at]:
-                    after[at] = found
+                for c in classes:
+                    at = at * SIZE + c
+                    total += flat[at]
+                    at %= last
+                if at not in after or total > after[at][0]:
+                    after[at] = (total, (letters, path))
         states = after
-    return max((score + float(model[*at, 0]), text) for at, (score, text) in states.items())[1]
+    path = max(((score + flat[at * SIZE], path) for at, (score, path) in states.items()), key=lambda x: x[0])[1]
+    parts = []
+    while path:
+        parts.append(path[0])
+        path = path[1]
+    return "".join(reversed(parts))
 
 
 class Restorer:
@@ -134,30 +165,24 @@ class Restorer:
     @staticmethod
     def _disguised(body: bytes) -> bool:
         raw = np.frombuffer(body, np.uint8)
-        if len(raw) < 3:
+        if len(raw) < 2:
             return False
-        c = CLASS[raw]
-        letter, symbol = c > 0, SYMBOL[raw]
-        if (symbol[:-1] & letter[1:]).any() or (letter[:-1] & symbol[1:]).any():
+        letter, symbol = CLASS[raw] > 0, SYMBOL[raw]
+        word = letter | symbol | DIGIT[raw]
+        plain = letter | DIGIT[raw]
+        if (symbol[:-1] & plain[1:]).any() or (plain[:-1] & symbol[1:]).any():
             return True
-        if (letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])).any():
+        if LETTERS.search(body) if letter[raw >= 128].any() else (
+            letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+        ).any():
             return True
-        word = letter | symbol
         alone = word & ~np.append(word[1:], False) & ~np.insert(word[:-1], 0, False)
         return bool((alone[4:] & alone[2:-2] & alone[:-4]).any()) if len(raw) > 4 else False
 
     def _restored(self, body: bytes) -> bytes:
         body = DECORATION.sub(b" ", body)
         body = SPACED.sub(lambda m: self._reading(m[0], True), body)
-        return STRETCH.sub(lambda m: self._reading(m[0], False) if self._odd(m[0]) else m[0], body)
-
-    @staticmethod
-    def _odd(word: bytes) -> bool:
-        """More letters than symbols, and a symbol or three equal letters: a word in disguise."""
-        symbols = sum(b < 97 for b in word)
-        if symbols:
-            return 2 <= len(word) - symbols and symbols <= 2 * (len(word) - symbols) and len(word) <= 24
-        return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+        return STRETCH.sub(lambda m: self._reading(m[0], False) if ALNUM.search(m[0]) else m[0], body)
 
     def _reading(self, stretch: bytes, spaced: bool) -> bytes:
         key = (stretch, spaced)

@@ -197,6 +197,22 @@ def test_decoding():
     assert restorer.words("") == set()
 
 
+def test_decoding_of_heavy_disguises():
+    text = ("an idiot said shit to a stupid asshole and the idiot went home in a fit, a bit late, he saw it " * 40).encode()
+    c = toxicity.CLASS[np.frombuffer(b"\n\n\n" + text, np.uint8)].astype(int)
+    counts = np.bincount(((c[:-3] * 28 + c[1:-2]) * 28 + c[2:-1]) * 28 + c[3:], minlength=28**4).reshape((28,) * 4)
+    restorer = toxicity.Restorer(toxicity.log_model(counts))
+    for shown, word in (("id|ot", "idiot"), ("1d107", "idiot"), ("5h17", "shit"), ("idio+", "idiot"), ("a$$$hole", "asshole"),
+                        ("sh!+!!", "shit"), ("i d i o +", "idiot"), ("s" + "t" + "u" * 3 + "p" + "1" * 23 + "d", "stupid")):
+        assert word.encode() in restorer.words(shown) and word.encode() in restorer.words(f"you {shown} there"), shown
+    assert b"stoopid" in restorer.words("st" + "0" * 23 + "pid") or b"stopid" in restorer.words("st" + "0" * 23 + "pid")
+    for number in ("455", "2024", "in 1907", "10 11 12", "+1 743 555"):
+        assert restorer.words(number) <= {b"in"}, number
+    assert restorer.words("saw it! $$$ || +++") == {b"saw", b"it"}
+    assert toxicity.Restorer._disguised("äää".encode()) and not toxicity.Restorer._disguised("ää öö".encode())
+    assert len(toxicity.decode("a1" * 20_000, restorer.model)) == 40_000
+
+
 def test_toxicity_query_and_awkward(spark):
     got = QUERIES["op5_noisy_channel_toxicity"](spark, SF_LARGER).toPandas()
     assert len(got) == 1000 and got["held_out"].tolist() == [held(i, 3, 1) for i in got["doc_id"]]
