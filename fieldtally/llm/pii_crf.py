@@ -2,8 +2,9 @@
 
 *Base.* Emails, IP addresses, cards and phones are found by fixed patterns; these spans always stand.
 
-*Field.* The nodes of a text are its base spans and what else could be personal data: long digit runs, spaced digit
-groups, and addresses with ``at`` and ``dot`` spelt out. Labels are O and the four kinds. Three potentials, trained on
+*Field.* The nodes of a text are its base spans and what else could be personal data: the digit groups of a number that
+a base span of the text shows, too, long digit runs, spaced digit groups, and addresses with ``at`` and ``dot`` spelt
+out. Labels are O and the four kinds. Three potentials, trained on
 all documents with the base spans as labels, are log-odds of counts and clipped:
 
 * a node's own: how often nodes of its shape have each label;
@@ -52,7 +53,10 @@ GROUPS = re.compile(r"\(?[0-9]{2,}[).\- ][0-9().\- ]{2,}[0-9]")
 SPELT = re.compile(
     r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({](?:dot|DOT)[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}"
 )
+RUN = re.compile(r"[0-9](?:[().\-/: ]*[0-9])*")  # all that may be one number or several side by side
+NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})(?![0-9])")  # in a row
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 
 Span = tuple[int, int]
 
@@ -145,8 +149,9 @@ def nodes(text: str, base: dict[str, list[Span]]) -> Nodes:
     taken = sorted((a, b, 1 + k) for k, kind in enumerate(KINDS) for a, b in base[kind])
     found = list(taken)
     if DIGIT.search(text):
-        found += _free(GROUPS, text, found, 7, 15)
-        found += _free(BARE, text, found, 7)
+        found += _known(text, base["card"] + base["phone"], found)
+        found += _between(GROUPS, text, found, 7, 15)
+        found += _between(BARE, text, found, 7)
     if "(" in text or "[" in text or "{" in text:
         found += _free(SPELT, text, found)
     found.sort()
@@ -155,6 +160,69 @@ def nodes(text: str, base: dict[str, list[Span]]) -> Nodes:
                  [label for *_, label in found])
 
 
+def _gaps(text: str, taken: list) -> Iterator[Span]:
+    """The stretches between the spans in ``taken``."""
+    at = 0
+    for a, b, *_ in sorted(taken):
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < len(text):
+        yield at, len(text)
+
+
+def _known(text: str, spans: list[Span], taken: list) -> list:
+    """Runs of whole digit groups outside ``taken`` that end in the last nine digits of one of ``spans``.
+
+    Of several starts the one with most digits of the known number is taken, else the one with fewest digits.
+    """
+    numbers: dict[str, set[str]] = {}
+    for a, b in spans:
+        digits = _digits(text[a:b])
+        numbers.setdefault(digits[-9:], set()).add(digits)
+    out = []
+    lengths = {len(k) for k in numbers}
+    for lo, hi in _gaps(text, taken) if numbers else ():
+        for run in RUN.finditer(text, lo, hi):
+            groups = [g.span() for g in DIGITS.finditer(text, *run.span())]
+            free = 0
+            for j, (_, end) in enumerate(groups):
+                digits, best = "", None
+                for i in range(j, free - 1, -1):
+                    digits = text[slice(*groups[i])] + digits
+                    if len(digits) > 19:
+                        break
+                    for n in lengths:
+                        full = numbers.get(digits[-n:], ()) if len(digits) >= n else ()
+                        whole = any(f.endswith(digits) for f in full)
+                        if full and (best is None or whole):
+                            best = i
+                if best is not None:
+                    start = groups[best][0]
+                    start -= start > lo and text[start - 1] == "("
+                    if not _cut(text, start, end):
+                        out.append((start, end, 0))
+                        free = j + 1
+    return out
+
+
+def _cut(text: str, start: int, end: int) -> bool:
+    """Whether a span begins or ends inside a digit group."""
+    before, after = text[max(start - 1, 0) : start + 1], text[end - 1 : end + 1]
+    return (start > 0 and bool(DIGITS.fullmatch(before))) or (end < len(text) and bool(DIGITS.fullmatch(after)))
+
+
+def _between(pattern: re.Pattern, text: str, taken: list, least: int, most: int = 1 << 30) -> list:
+    """Matches in the gaps of ``taken`` with a fitting number of digits; of a longer match the numbers inside it."""
+    out = []
+    for lo, hi in _gaps(text, taken):
+        for m in pattern.finditer(text, lo, hi):
+            n = len(_digits(m[0]))
+            inside = [m] if n <= most else NUMBER.finditer(text, *m.span())
+            out += [(*x.span(), 0) for x in inside if n >= least and not _cut(text, *x.span())]
+    return out
+
+
 def _free(pattern: re.Pattern, text: str, taken: list, least: int = 0, most: int = 1 << 30) -> list:
     """Matches that overlap nothing in ``taken`` and have a fitting number of digits."""
     taken, at, out = sorted(taken), 0, []

@@ -63,6 +63,27 @@ def test_a_repeated_number_takes_the_label_of_its_base_span():
     }
 
 
+@pytest.mark.parametrize("beside", [
+    "call {}. 555 987 6543", "555 987 6543 {}", "on 2024-05-01 {}", "10.0.0.1 {}", "12 {}", "{} {}", "{} 12 2024-05-01",
+    "a 7 {} 2 {} 3", "{}, 555 987 6543 555 987 6544 {}", "4111111111111111 {}", "id 123456789012 {}",
+])
+def test_a_known_number_beside_other_numbers(beside):
+    for shown in ("555 123 4567", "(555) 123-4567", "5551234567", "1 555 123 4567"):
+        text = "write to +1 555 123 4567; " + beside.replace("{}", shown)
+        assert added(text, trained()) == {"phone": [shown] * beside.count("{}")}, text
+
+
+def test_numbers_in_a_row_are_nodes():
+    def parts(text):
+        return [text[a:b] for a, b in nodes(text, base_spans(text)).spans]
+
+    assert parts("call 555 123 4567. 555 987 6543") == ["555 123 4567", "555 987 6543"]
+    assert parts("on 2024-05-01 555 123 4567") == ["2024-05-01", "555 123 4567"]
+    assert parts("10.0.0.1 555 123 4567") == ["10.0.0.1", "555 123 4567"]
+    for text in ("1 " * 50_000, "555 123 4567 " * 20_000, "+1 555 123 4567, " + "555 123 4567 " * 20_000):
+        nodes(text, base_spans(text))
+
+
 def test_texts_of_a_batch_do_not_touch():
     one, two = "call +1 743 555 3824", "number 17435553824 here"
     spans = [s for _, s in all_spans([one, two], trained())]
