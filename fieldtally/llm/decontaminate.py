@@ -4,7 +4,8 @@ A text becomes a template: numbers, names and units turn into typed placeholders
 punctuation. Windows of the benchmark's templates are joined with the windows of all documents by hash and then
 compared word by word. A question whose numbers or names were exchanged still has the same template; whether the match
 is one question with other values is seen from its slots: along one alignment every benchmark value must have become one
-and the same document value. Alignments that break this are no leak.
+and the same document value. Alignments that break this are no leak. Short items and windows that are
+mostly slots could be anything once their values change, so they count only word for word, values included.
 
 Only hashes of windows are exploded. Texts are looked at again for rows that have a match.
 """
@@ -18,7 +19,7 @@ from fieldtally.llm.common import by_keys
 from fieldtally.session import staged
 
 WINDOW = 8  # words of a window; a shorter item is one window of its own length
-LITERAL = 5  # words of a window that are no placeholder, at least; shorter items cannot be told from chance
+LITERAL = 5  # words of a window that are no placeholder, at least, for slots to change; other windows are looked for word for word
 SHARE = 0.25  # part of an item's windows that a leak shows, at least
 MAX_BROADCAST = 1_000_000  # benchmark windows (a hash and two numbers each) that are broadcast, at most
 
@@ -49,28 +50,47 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
 
 
-def _windows(words: Column, size: Column | int) -> Column:
-    """Hash of every run of ``size`` template words, in order."""
-    size = F.lit(size) if isinstance(size, int) else size
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
+def plain(words: Column) -> Column:
+    """The words without marks: a capital at the beginning of an item may be a name in the middle of a text."""
+    return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 3, 1 << 30)).otherwise(w))
+
+
+def _literal(words: Column) -> Column:
+    """How many words are no slot."""
+    return F.size(F.filter(words, lambda w: ~w.startswith(MARK)))
+
+
+def _windows(shown: Column, bare: Column, size: int, literal: int) -> Column:
+    """Hash of every run of ``size`` words, in order: of the template where slots may change, else of the plain words."""
+    starts = F.when(F.size(bare) >= size, F.sequence(F.lit(1), F.size(bare) - size + 1)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
+    if size < literal:
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(shown, i, size)))
+    return F.transform(
+        starts,
+        lambda i: F.when(_literal(F.slice(bare, i, size)) >= literal, F.xxhash64(F.slice(bare, i, size)))
+        .otherwise(F.xxhash64(F.slice(shown, i, size))),
+    )
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
-    """One row per telling window: item_id, at (from 0), size, windows (telling ones of the item), hash, marked words."""
+    """One row per window: item_id, at (from 0), size, telling, windows (telling ones of the item), all_windows, hash, marked words.
+
+    In telling windows slots may change; an item without a word has no window.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked_words(F.col("text")).alias("words"))
-    items = items.distinct().where(F.col("item_id").isNotNull() & (F.size("words") >= literal)).withColumn(
+    items = items.distinct().where(F.col("item_id").isNotNull() & (F.array_join("words", "") != "")).withColumn(
         "size", F.least(F.lit(window), F.size("words"))
     )
     starts = F.sequence(F.lit(0), F.size("words") - F.col("size"))
     rows = items.withColumn("at", F.explode(starts))
     rows = rows.withColumn("item_words", F.slice("words", F.col("at") + 1, F.col("size")))
-    shown = F.filter("item_words", lambda w: ~w.startswith(MARK))
-    telling = rows.where(F.size(shown) >= literal)  # the others could be anything; an item's share is of these
-    counted = telling.withColumn("windows", F.count("*").over(Window.partitionBy("item_id", "words")))
-    return counted.drop("words").withColumn("hash", F.xxhash64(template(F.col("item_words"))))
+    rows = rows.withColumn("telling", _literal(F.col("item_words")) >= literal)
+    item = Window.partitionBy("item_id", "words")
+    counted = rows.withColumn("windows", F.count_if("telling").over(item)).withColumn("all_windows", F.count("*").over(item))
+    shown = F.when(F.col("telling"), template(F.col("item_words"))).otherwise(plain(F.col("item_words")))
+    return counted.drop("words").withColumn("hash", F.xxhash64(shown))
 
 
 def _row_key() -> Column:
@@ -83,8 +103,9 @@ def leaks(
 ) -> DataFrame:
     """Per document and leaked item: row_key, doc_id, item_id, n_windows, item_windows, n_slots, n_changed.
 
-    ``n_windows`` counts the item's windows found along consistent alignments, ``n_slots`` the distinct slot values met
-    there and ``n_changed`` those that the document gives another value. NULL and empty texts leak nothing, a row
+    ``n_windows`` counts the item's telling windows found along consistent alignments, ``n_slots`` the distinct slot values met there and ``n_changed`` those that the document
+    gives another value. Where these are less than the share, all windows that match word for word are counted against
+    all of the item's, so a short item leaks if it stands there unchanged. NULL and empty texts leak nothing, a row
     without doc_id is reported with doc_id NULL, repeated rows once; without documents or items nothing leaks.
     """
     parts = staged(benchmark_windows(benchmark, window, literal), "benchmark-windows")
@@ -96,10 +117,10 @@ def leaks(
     )
     known = parts.select("hash", "size", "item_id", "at")
     known = F.broadcast(known) if counted <= MAX_BROADCAST else known
-    bare = keyed.withColumn("words", template(F.col("words")))
+    bare = keyed.withColumn("bare", template(F.col("words"))).withColumn("shown", plain(F.col("words")))
     found = None
     for size in sizes:
-        windows = bare.select("row_key", "doc_id", F.posexplode(_windows(F.col("words"), size)).alias("pos", "hash"))
+        windows = bare.select("row_key", "doc_id", F.posexplode(_windows(F.col("shown"), F.col("bare"), size, literal)).alias("pos", "hash"))
         hits = windows.join(known.where(F.col("size") == size), "hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
@@ -111,34 +132,46 @@ def leaks(
     compared = (
         hits.join(again.dropDuplicates(["row_key"]), "row_key")
         .withColumn("doc_words", F.slice("words", F.col("pos") + 1, F.col("size"))).drop("words", "hash")
-        .join(parts.select("item_id", "at", "size", "windows", "item_words"), ["item_id", "at", "size"])
-        .where(template(F.col("doc_words")) == template(F.col("item_words")))
+        .join(
+            parts.select("item_id", "at", "size", "telling", "windows", "all_windows", "item_words"), ["item_id", "at", "size"]
+        )
+        .withColumn("exact", plain(F.col("doc_words")) == plain(F.col("item_words")))
+        .where(F.col("exact") | (F.col("telling") & (template(F.col("doc_words")) == template(F.col("item_words")))))
         .withColumn("shift", F.col("pos") - F.col("at"))
     )
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].startswith(MARK))
     compared = staged(compared.withColumn("slots", slots).drop("doc_words", "item_words"), "benchmark-compared")
     one = ["row_key", "item_id", "shift"]
-    values = compared.select(*one, F.explode("slots").alias("s")).select(*one, "s.*").groupBy(*one, "item_words").agg(
-        F.min("doc_words").alias("least"), F.max("doc_words").alias("most")
-    )
-    slotted = values.groupBy(*one).agg(
-        F.max((F.col("least") != F.col("most")).cast("int")).alias("broken"),
-        F.count("*").alias("slots_here"),
-        F.sum((F.col("least") != F.col("item_words")).cast("long")).alias("changed_here"),
+    values = compared.where("telling").select(*one, F.explode("slots").alias("s")).select(*one, "s.*")
+    values = values.groupBy(*one, "item_words").agg(F.min("doc_words").alias("least"), F.max("doc_words").alias("most"))
+    broken = values.where(F.col("least") != F.col("most")).groupBy(*one).agg(F.collect_list("item_words").alias("broken"))
+    judged = compared.join(broken, one, "left").withColumn(
+        "sound", F.col("telling") & F.col("broken").isNull()
     )
-    aligned = (
-        compared.groupBy(*one, "doc_id", "windows").agg(F.count("*").alias("windows_here")).join(slotted, one, "left")
-        .where(F.coalesce("broken", F.lit(0)) == 0)
+
+    def met(which: str) -> Column:
+        """The distinct pairs of values in the slots of some windows: at most the item's slots."""
+        return F.array_distinct(F.flatten(F.collect_set(F.when(F.col(which), F.col("slots")))))
+
+    aligned = judged.groupBy(*one, "doc_id", "windows", "all_windows").agg(
+        F.count_if("sound").alias("sound_here"), F.count_if("exact").alias("exact_here"),
+        met("sound").alias("sound_slots"), met("exact").alias("exact_slots"),
     )
+    changed = F.size(F.filter("sound_slots", lambda p: p["item_words"] != p["doc_words"]))
+
+    def tally(n: str, of: str, slots: str, changed: Column) -> Column:
+        return F.when((F.col(n) > 0) & (F.col(n) >= F.col(of) * share), F.struct(
+            F.col(n).alias("n_windows"), (-changed).cast("long").alias("kept"), F.size(slots).cast("long").alias("n_slots"),
+            F.col(of).cast("long").alias("item_windows"),
+        ))
+
     # of several alignments of one item the longest tells
-    best = aligned.groupBy("row_key", "doc_id", "item_id", F.col("windows").cast("long").alias("item_windows")).agg(
-        F.max(F.struct(
-            F.col("windows_here").alias("n_windows"), (-F.coalesce("changed_here", F.lit(0))).alias("kept"),
-            F.coalesce("slots_here", F.lit(0)).alias("n_slots"),
-        )).alias("b")
-    )
-    return best.where(F.col("b.n_windows") >= F.col("item_windows") * share).select(
-        "row_key", "doc_id", "item_id", "b.n_windows", "item_windows", "b.n_slots", (-F.col("b.kept")).alias("n_changed")
+    best = aligned.groupBy("row_key", "doc_id", "item_id", "windows", "all_windows").agg(
+        F.max(tally("sound_here", "windows", "sound_slots", changed)).alias("s"),
+        F.max(tally("exact_here", "all_windows", "exact_slots", F.lit(0))).alias("e"),
+    ).withColumn("b", F.coalesce("s", "e"))
+    return best.where(F.col("b").isNotNull()).select(
+        "row_key", "doc_id", "item_id", "b.n_windows", "b.item_windows", "b.n_slots", (-F.col("b.kept")).alias("n_changed")
     )
 
 

@@ -84,6 +84,15 @@ def test_verbatim_and_changed_questions(spark):
     assert found[1, 70][2:] == (4, 0) and found[3, 70][2:] == (4, 3) and found[1, 70][0] == found[1, 70][1]
 
 
+def test_short_and_slot_dense_items_word_for_word(spark):
+    before, after = prose(52, 30), prose(53, 30)
+    sums, names = "What is 12 plus 15 times 3?", "so Ann, Bob, Carl, Dora, Emil, Finn, Gus, Hal, Ida have 7 8 9"
+    docs = [(1, f"{before} {sums} {after}"), (2, f"{before} {sums.replace('15', '16')} {after}"), (3, f"{before} so {names} {after}"),
+            (4, f"{before} two plus two {after}"), (5, f"{before} two plus three {after}"), (6, ""), (7, before)]
+    found = leaks(spark, docs, [(1, sums), (2, names), (3, "Two plus two?"), (4, ""), (5, " ? ")])
+    assert set(found) == {(1, 1), (3, 2), (4, 3)} and found[1, 1] == (1, 1, 3, 0)
+
+
 def test_partial_short_and_repeated_items(spark):
     item = prose(60, 40)
     words = item.split()
