@@ -4,7 +4,7 @@ A text becomes a template: numbers, names and units turn into typed placeholders
 punctuation. Windows of the benchmark's templates are joined with the windows of all documents by hash and then
 compared word by word. A question whose numbers or names were exchanged still has the same template; whether the match
 is one question with other values is seen from its slots: along one alignment every benchmark value must have become one
-and the same document value. Alignments that break this are no leak. Short items and windows that are
+and the same document value. Windows that hold a value that breaks this do not count. Short items and windows that are
 mostly slots could be anything once their values change, so they count only word for word, values included.
 
 Only hashes of windows are exploded. Texts are looked at again for rows that have a match.
@@ -103,7 +103,8 @@ def leaks(
 ) -> DataFrame:
     """Per document and leaked item: row_key, doc_id, item_id, n_windows, item_windows, n_slots, n_changed.
 
-    ``n_windows`` counts the item's telling windows found along consistent alignments, ``n_slots`` the distinct slot values met there and ``n_changed`` those that the document
+    ``n_windows`` counts the item's telling windows found along one alignment without those that hold a slot value with
+    two values in the document, ``n_slots`` the distinct slot values met there and ``n_changed`` those that the document
     gives another value. Where these are less than the share, all windows that match word for word are counted against
     all of the item's, so a short item leaks if it stands there unchanged. NULL and empty texts leak nothing, a row
     without doc_id is reported with doc_id NULL, repeated rows once; without documents or items nothing leaks.
@@ -145,8 +146,9 @@ def leaks(
     values = compared.where("telling").select(*one, F.explode("slots").alias("s")).select(*one, "s.*")
     values = values.groupBy(*one, "item_words").agg(F.min("doc_words").alias("least"), F.max("doc_words").alias("most"))
     broken = values.where(F.col("least") != F.col("most")).groupBy(*one).agg(F.collect_list("item_words").alias("broken"))
+    held = F.transform("slots", lambda p: p["item_words"])
     judged = compared.join(broken, one, "left").withColumn(
-        "sound", F.col("telling") & F.col("broken").isNull()
+        "sound", F.col("telling") & ~F.coalesce(F.arrays_overlap(held, "broken"), F.lit(False))
     )
 
     def met(which: str) -> Column:

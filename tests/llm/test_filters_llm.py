@@ -103,6 +103,14 @@ def test_partial_short_and_repeated_items(spark):
     assert found[3, 1] == found[6, 1] == (33, 33, 0, 0) and found[4, 2][:2] == (1, 1)
 
 
+def test_one_inconsistent_value_takes_out_its_windows_only(spark):
+    item = f"{prose(61, 20)} with 120 more {prose(62, 25)} and 120 less {prose(63, 9)}"
+    docs = [(1, f"{prose(64, 20)} {item.replace('120 less', '121 less')} {prose(65, 20)}"), (2, item)]
+    found = leaks(spark, docs, [(1, item)])
+    assert set(found) == {(1, 1), (2, 1)} and found[2, 1][0] == found[2, 1][1]
+    assert found[2, 1][1] * 0.25 <= found[1, 1][0] < found[2, 1][1] and found[1, 1][3] == 0
+
+
 def plain_leaks(docs, items):
     """Verbatim runs of eight words, for texts without slots."""
     import re
