@@ -1 +1 @@
-"""Training-data operators: ten corpus filters, each a Spark job over whole texts."""
+"""Training-data operators, each a Spark job over whole texts."""

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import decontaminate, packing, pii_crf, quality_gam, rules, simhash, substrings, token_files, toxicity, url_cascade
+from fieldtally.llm import (
+    conversations, cutting_stock, decontaminate, lexical_search, packing, pii_crf, quality_gam, rules, simhash, substrings,
+    token_files, toxicity, url_cascade,
+)
 from fieldtally.llm.common import bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,5 +93,25 @@ def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_pages(table(spark, sf_dir, "pages"))
 
 
+@register
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the rows' damage: its faults, the cheapest edits, and the repaired text's hash."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+@register
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 ids, id 0 after each, without padding."""
+    return cutting_stock.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
 ORACLES["op8_template_decontamination"] = decontaminate.ORACLE
 ORACLES["op9_bloom_cascade"] = url_cascade.ORACLE
+ORACLES["op11_lexical_search"] = lexical_search.ORACLE
+ORACLES["op12_conversation_repair"] = conversations.ORACLE

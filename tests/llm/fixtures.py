@@ -61,6 +61,6 @@ def rows_of(frame, *columns: str) -> list[tuple]:
 
 def oracle(sql: str, sf: str = SF):
     db = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return db.execute(sql).df()
