@@ -1,8 +1,10 @@
-"""Landed submission pages (JSON) and rows with differing keys."""
+"""Landed submission pages (JSON) and rows with differing keys.
 
-from __future__ import annotations
+Pages are read once: their rows go to the shared folder as VARIANT, beside a mark for what could not be read. Damage and the
+union of keys come from one pass over that copy, and so does the table.
+"""
 
-from collections.abc import Iterable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,37 +12,10 @@ from pyspark.sql import types as T
 
 from fieldtally.errors import ReportError
 from fieldtally.functions.columns import col
-from fieldtally.session import scratch_path
-
-
-def flat(df: DataFrame) -> DataFrame:
-    """Nested cells (attachments, coordinates) as JSON text: a table holds plain values only."""
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    return df.select(
-        *(
-            F.to_json(col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else col(f.name)
-            for f in df.schema.fields
-        )
-    )
-
-
-# The reader keeps the text of a damaged record in the first; it must be asked for a second column as well.
-DAMAGED, BESIDE = "__damaged", "__beside"
-MARKS = [T.StructField(DAMAGED, T.StringType()), T.StructField(BESIDE, T.StringType())]
-
+from fieldtally.session import staged
+from fieldtally.sources.open_json import as_fields, fields_of, flat, is_object, json_object, union_of_keys
 
-def marked(fields: Iterable[T.StructField]) -> T.StructType:
-    """A schema that also takes what cannot be read."""
-    return T.StructType([*(f for f in fields if f.name != DAMAGED), *MARKS])
-
-
-def _refuse_damaged(read: DataFrame, what: str) -> None:
-    """An error that names the files with unreadable JSON, never their text."""
-    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    bad = read.withColumn("__file", file).where(col(DAMAGED).isNotNull()).groupBy("__file").agg(F.count(BESIDE))
-    names = [r["__file"] for r in bad.orderBy("__file").limit(5).collect()]
-    if names:
-        raise ReportError(f"{what} cannot be read in {', '.join(names)}: pull the pages again")
+NAMED = 5  # damaged files that an error names
 
 
 def _no_rows() -> ReportError:
@@ -52,53 +27,56 @@ def scan_json_pages(
 ) -> DataFrame:
     """All rows of all landed page files below ``path``.
 
-    ``wrapped`` pages are ``{"results": [row, ...]}``; the others are bare arrays. Keys may differ from
-    row to row: the table has their union. A given ``schema`` (of one row) saves the inference pass. A page that
-    cannot be read, or was cut off, stops the pull with its file name; so does a pull without rows.
+    ``wrapped`` pages are ``{"results": [row, ...]}``; the others are bare arrays (or one row). Keys may differ from
+    row to row: the table has their union, with a key of several types as text. A given ``schema`` (of one row) names the columns
+    instead; a cell of another type is missing. A page that cannot be read, was cut off, or holds a row that is no object
+    stops the pull with its file name; so does a pull without rows. A page is one task's text; a row is at most 16 MB.
     """
-    row = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    reader = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", DAMAGED)
-    if row is None:
-        fields = [f for f in reader.json(path).schema.fields if f.name != DAMAGED]
-    else:
-        fields = [T.StructField("results", T.ArrayType(row))] if wrapped else list(row.fields)
-    pages = reader.schema(marked(fields)).json(path)
-    _refuse_damaged(pages, "JSON")
-    if not fields:
-        raise _no_rows()
+    files = spark.read.text(path, wholetext=True).where(F.trim("value", F.lit(" \t\r\n")) != "")
+    options = {"columnNameOfCorruptRecord": "damaged"}
     if wrapped:
-        kind = next((f.dataType for f in fields if f.name == "results"), None)
-        if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
-            raise _no_rows()
-        rows = pages.select(F.explode("results").alias("row")).select("row.*")
+        parsed = F.from_json("value", "results array<variant>, damaged string", options)
+        pages = files.select(parsed.alias("page"), "_metadata.file_path").select(
+            "file_path", F.col("page.results").alias("rows"), (F.col("page").isNull() | F.col("page.damaged").isNotNull()).alias("bad")
+        )
     else:
-        rows = pages.drop(DAMAGED, BESIDE)
-    if rows.isEmpty():
+        one = json_object(F.col("value"))
+        rows = F.coalesce(F.from_json("value", "array<variant>"), F.when(one.isNotNull(), F.array(one)))
+        pages = files.select("_metadata.file_path", rows.alias("rows")).withColumn("bad", F.col("rows").isNull())
+    broken = F.when(F.col("bad"), F.array(F.lit(None).cast("variant")))
+    rows = pages.select("file_path", F.explode(F.coalesce(broken, F.col("rows"))).alias("row"))
+    held = staged(rows.withColumn("bad", ~is_object(F.col("row"))), "page-rows")
+    known = held.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.schema_of_variant_agg("row").alias("keys")
+    ).first()
+    if known["bad"]:
+        file = F.element_at(F.split("file_path", "/"), -1).alias("file")
+        names = [r["file"] for r in held.where("bad").select(file).distinct().orderBy("file").limit(NAMED).collect()]
+        raise ReportError(f"JSON cannot be read in {', '.join(names)}: pull the pages again")
+    if not known["n"]:
         raise _no_rows()
-    return flat(rows)
+    if schema is None:
+        fields = union_of_keys(known["keys"], T.StringType())
+        if not fields:
+            raise _no_rows()
+        return held.select(*fields_of(F.col("row"), fields))
+    return flat(held.select(*fields_of(F.col("row"), as_fields(schema))))
 
 
 def rows_to_table(rows: DataFrame, column: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A table from one JSON object per row of a text column: the union of keys, absent keys NULL.
 
-    With ``schema`` the objects are parsed in place. Without it they are written once to the shared
-    folder, where Spark's JSON reader infers the union. Objects that cannot be read stop it with their number.
+    The objects are written once to the shared folder, where their keys are counted together (or ``schema`` names the
+    columns) and the table is read. A NULL is no row; objects that cannot be read stop it with their number.
     """
-    spark = rows.sparkSession
-    objects = rows.select(col(column).alias("value")).filter(F.col("value").isNotNull())
+    objects = rows.select(col(column).alias("value")).where(F.col("value").isNotNull())
+    held = staged(objects.select(json_object(F.col("value")).alias("row")), "object-rows")
+    known = held.agg(F.count_if(F.col("row").isNull()).alias("bad"), F.schema_of_variant_agg("row").alias("keys")).first()
+    if known["bad"]:
+        raise ReportError(f"{known['bad']} of the rows of {column!r} are no JSON objects that can be read")
     if schema is not None:
-        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
-        parsed = F.from_json("value", marked(fields), {"columnNameOfCorruptRecord": DAMAGED})
-        table = objects.select(parsed.alias("row")).select("row.*")
-    else:
-        path = scratch_path(spark, "rows")
-        objects.write.text(path)
-        reader = spark.read.option("columnNameOfCorruptRecord", DAMAGED)
-        table = reader.schema(marked(reader.json(path).schema.fields)).json(path)
-    bad = table.agg(F.count(col(DAMAGED)).alias("n"), F.count(BESIDE)).first().n
-    if bad:
-        raise ReportError(f"{bad} of the rows of {column!r} are no JSON objects that can be read")
-    return flat(table.drop(DAMAGED, BESIDE))
+        return flat(held.select(*fields_of(F.col("row"), as_fields(schema))))
+    return held.select(*fields_of(F.col("row"), union_of_keys(known["keys"], T.StringType())))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -140,49 +140,57 @@ def _doc_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session_log(spark: SparkSession, sf_dir: str) -> str:
-    """Events as a session log: JSON lines whose payload differs by kind."""
+    """Events as a session log, JSON lines whose payload differs by kind: some costs are words, some lines cut or no object."""
     kinds = {"click": "tool_use", "view": "code_executed", "error": "pii_block", "purchase": "result"}
     kind = F.coalesce(
         *(F.when(F.col("event_type") == event, name) for event, name in kinds.items()), F.lit("user_message")
     )
+    sold = F.when(F.col("event_type") == "purchase", F.col("value"))
+    shared = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), kind.alias("kind"), "event_id", "user_id"]
+    line = F.when(
+        F.col("event_id") % 13 == 0, F.to_json(F.struct(*shared, F.when(sold.isNotNull(), "n/a").alias("cost_usd")))
+    ).otherwise(F.to_json(F.struct(*shared, sold.alias("cost_usd"))))
+    line = F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 25)).when(F.col("event_id") % 101 == 0, "[1, 2]").otherwise(line)
     path = scratch_path(spark, "log")
-    table(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), kind.alias("kind"), "event_id", "user_id",
-        F.when(F.col("event_type") == "purchase", F.col("value")).alias("cost_usd"),
-    ).write.json(path)
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
     return path
 
 
-KIND = """CASE event_type WHEN 'click' THEN 'tool_use' WHEN 'view' THEN 'code_executed'
-  WHEN 'error' THEN 'pii_block' WHEN 'purchase' THEN 'result' ELSE 'user_message' END"""
+LOGGED = """
+WITH logged AS (
+  SELECT event_id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,
+         CASE event_type WHEN 'click' THEN 'tool_use' WHEN 'view' THEN 'code_executed' WHEN 'error' THEN 'pii_block'
+           WHEN 'purchase' THEN 'result' ELSE 'user_message' END AS kind,
+         CASE WHEN event_type = 'purchase' AND event_id % 13 <> 0 THEN value END AS cost_usd
+  FROM events WHERE event_id % 97 <> 0 AND event_id % 101 <> 0
+)"""
+SUMMED = """count(*) AS events, count(*) FILTER (kind = 'tool_use') AS tool_calls,
+       count(*) FILTER (kind = 'code_executed') AS code_runs, count(*) FILTER (kind = 'pii_block') AS pii_blocks,
+       round(coalesce(sum(cost_usd) FILTER (kind = 'result'), 0), 6) AS cost_usd"""
 
 
-@query("log_scan", f"""
-SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, {KIND} AS kind,
-       CASE WHEN event_type = 'purchase' THEN value END AS cost_usd FROM events""")
+@query("log_scan", LOGGED + "SELECT event_id, ts, kind, cost_usd FROM logged")
 def _log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_scan(spark, _session_log(spark, sf_dir)).select("event_id", "ts", "kind", "cost_usd")
+    return log_scan(spark, _session_log(spark, sf_dir), "event_id bigint, ts string, kind string, cost_usd double")
 
 
-@query("log_summary", """
-SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS tool_calls,
-       count(*) FILTER (event_type = 'view') AS code_runs, count(*) FILTER (event_type = 'error') AS pii_blocks,
-       round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 6) AS cost_usd
-FROM events GROUP BY user_id""")
+@query("log_summary", LOGGED + f"SELECT user_id, {SUMMED} FROM logged GROUP BY user_id")
 def _log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log_scan(spark, _session_log(spark, sf_dir), LOG_SCHEMA + ", user_id bigint")
     return log_summary(log, ["user_id"])
 
 
+@query("log_summary_open", LOGGED + f"SELECT {SUMMED} FROM logged")
+def _log_summary_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_summary(log_scan(spark, _session_log(spark, sf_dir)))
+
+
 @query("log_damage", """
-SELECT count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS damaged,
-       count(*) FILTER (event_id % 97 <> 0) AS events FROM events""")
+SELECT count(*) AS lines, count(*) FILTER (event_id % 97 = 0 OR event_id % 101 = 0) AS damaged,
+       count(*) FILTER (event_id % 97 <> 0 AND event_id % 101 <> 0) AS events FROM events""")
 def _log_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "damaged-log")
-    line = F.to_json(F.struct(F.lit("tool_use").alias("kind"), "event_id", F.col("event_type").alias("text")))
-    cut = F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 25)).otherwise(line)
-    table(spark, sf_dir, "events").select(cut.alias("value")).write.text(path)
-    events = log_summary(log_scan(spark, path, LOG_SCHEMA)).select(F.col("events"))
+    path = _session_log(spark, sf_dir)
+    events = log_scan(spark, path, LOG_SCHEMA).agg(F.count(F.lit(1)).alias("events"))
     counted = log_damage(spark, path).agg(F.sum("lines").alias("lines"), F.sum("damaged").alias("damaged"))
     return counted.join(F.broadcast(events))  # one row each
 

@@ -80,13 +80,42 @@ def write_pages(path, pages):
 
 
 def test_wrapped_pages(spark, tmp_path):
+    """Wells by page: keys that differ, one with two types, an odd name, a nested cell and a whole number beyond 64 bits."""
     path = write_pages(tmp_path / "k", [
-        {"count": 3, "next": "x", "results": [{"_uuid": "u1", "group/a": 1}, {"_uuid": "u2", "_geo": [1.5, 2.5]}]},
-        {"count": 3, "next": None, "results": [{"_uuid": "u3", "b": "x"}]},
+        {"results": [{"well": "w1", "depth/m": 12, "it's": True}, {"well": "w2", "at": [3.5, -7.25], "note": None}], "more": 1},
+        {"count": 2, "results": [{"well": "w3", "depth/m": 0.5, "tag": "x"}, {"well": "w4", "tag": 7, "serial": 10**20}]},
+        {"detail": "nothing here"},
     ])
-    rows = {r["_uuid"]: r for r in scan_json_pages(spark, path).collect()}
-    assert set(rows) == {"u1", "u2", "u3"} and rows["u1"]["group/a"] == 1 and rows["u3"]["group/a"] is None
-    assert rows["u2"]["_geo"] == "[1.5,2.5]"
+    got = scan_json_pages(spark, path)
+    assert dict(got.dtypes) == {"well": "string", "depth/m": "double", "it's": "boolean", "at": "string", "note": "string",
+                                "tag": "string", "serial": "decimal(21,0)"}
+    rows = {r["well"]: r.asDict() for r in got.collect()}
+    assert sorted(rows) == ["w1", "w2", "w3", "w4"] and rows["w1"]["depth/m"] == 12.0 and rows["w1"]["it's"] is True
+    assert rows["w2"]["at"] == "[3.5,-7.25]" and [rows[w]["tag"] for w in sorted(rows)] == [None, None, "x", "7"]
+    assert int(rows["w4"]["serial"]) == 10**20
+    typed = scan_json_pages(spark, path, schema="well string, tag int, at array<double>")
+    assert {r.well: (r.tag, r.at) for r in typed.collect()} == {
+        "w1": (None, None), "w2": (None, "[3.5,-7.25]"), "w3": (None, None), "w4": (7, None)}
+
+
+def scans(frame) -> int:
+    return frame._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    path = write_pages(tmp_path / "once", [{"results": [{"a": n}]} for n in range(5)])
+    frame = scan_json_pages(spark, path)
+    for page in (tmp_path / "once").iterdir():
+        page.unlink()
+    assert sorted(r.a for r in frame.collect()) == list(range(5)) and scans(frame) == 1
+
+
+@pytest.mark.parametrize("page", ['{"results": [{"a": 1}, 5]}', '{"results": {"a": 1}}', '{"results": [null]}', "[1"])
+def test_pages_with_rows_that_are_no_objects(spark, tmp_path, page):
+    write_pages(tmp_path / "odd", [{"results": [{"a": 1}]}])
+    (tmp_path / "odd" / "z.json").write_text(page, encoding="utf-8")
+    with pytest.raises(ReportError, match="z.json"):
+        scan_json_pages(spark, str(tmp_path / "odd"))
 
 
 def test_bare_pages(spark, tmp_path):
@@ -130,11 +159,31 @@ def test_damaged_objects_are_counted(spark):
         assert "+380" not in str(refusal.value)
 
 
-def test_damaged_log_lines_are_no_events(spark, tmp_path):
-    (tmp_path / "s.jsonl").write_text('{"kind": "tool_use"}\n{"kind": "tool\n{"kind": "user"}\n', encoding="utf-8")
+ODD_LOG = """{"kind": "result", "cost_usd": "n/a"}
+{"kind": "result", "cost_usd": 0.25, "tool": {"name": "map"}}
+{"kind": "result", "cost_usd": 3}
+
+   	
+{"kind": "tool_use", "tool": "map", "n": 1}
+{"kind": "tool
+[{"kind": "tool_use"}]
+17
+  {"kind": "pii_block", "ts": 5, "n": 99999999999999999999999}  """
+
+
+@pytest.mark.parametrize("schema", [None, "ts string, kind string, cost_usd double", "kind string, n int, cost_usd double"])
+def test_odd_lines_and_fields(spark, tmp_path, schema):
+    """A field of another type is missing, a line without an object is damage, whatever is read."""
+    (tmp_path / "s.jsonl").write_text(ODD_LOG, encoding="utf-8")
     (tmp_path / "t.jsonl").write_text('{"kind": "user"}\n', encoding="utf-8")
-    assert log_summary(log_scan(spark, str(tmp_path))).first().events == 3
-    assert sorted(map(tuple, log_damage(spark, str(tmp_path)).collect())) == [("s.jsonl", 3, 1), ("t.jsonl", 1, 0)]
+    log = log_scan(spark, str(tmp_path), schema)
+    assert log.count() == len(log.collect()) == len(log.select("kind").collect()) == log.filter("kind IS NOT NULL").count() == 6
+    assert tuple(log_summary(log).first()) == (6, 1, 0, 1, 3.25)
+    assert sorted(map(tuple, log_damage(spark, str(tmp_path)).collect())) == [("s.jsonl", 8, 3), ("t.jsonl", 1, 0)]
+    if schema and "n int" in schema:
+        assert sorted(r.n or 0 for r in log.collect()) == [0, 0, 0, 0, 0, 1]
+    if schema and "ts" in schema:
+        assert {r.ts for r in log.collect()} == {None, "5"}
 
 
 def test_rows_to_table(spark):
@@ -146,7 +195,8 @@ def test_rows_to_table(spark):
 
 
 def test_pull_replaces_and_gives_ids(spark, tmp_path):
-    assert safe_name("Household Survey (v2)!") == "household_survey_v2"
+    names = {" Wells — north/2026 ": "wells_north_2026", "a-b.c": "a-b_c", "ЇЖА №1": "їжа_1", "__x__": "x"}
+    assert {name: safe_name(name) for name in names} == names
     root = str(tmp_path)
     assert sink_pull(spark.range(5).selectExpr("id % 2 AS v"), root, "My Form") == 5
     assert sink_pull(spark.createDataFrame([(1,), (2,)], "v int"), root, "My Form") == 2
@@ -204,19 +254,22 @@ def test_period_arguments():
             parse_period(*args)
 
 
+DAYS = {  # what stands in the column, and whether the day is in June to August: None is no date
+    "1 June 2026": True, "2026-06-01T00:00:00Z": True, "2026-05-31T23:59:59Z": False, "31.08.2026": True, "2026-08-31 23:59:59": True,
+    "2026-09-01T00:30:00+01:00": True, "2026-08-31T23:30:00-01:00": False, "soon": None, "2026-13-45": None, "  ": None,
+}
+
+
 def test_scope_and_account(spark):
-    df = spark.createDataFrame(
-        [("a", "2026-05-31"), ("b", "2026-06-01"), ("c", "2026-08-31 18:30"), ("d", "not a date"),
-         ("e", "2026-09-01"), ("f", "2026-06-01T01:00:00+03:00"), ("g", None)],
-        "id string, when string",
-    )
-    assert sorted(r.id for r in scope(df, SUMMER).collect()) == ["b", "c"]
-    info = source_info(df, SUMMER, "hh").first()
-    assert (info.rows_total, info.rows_in_scope, info.rows_excluded_by_period, info.rows_bad_date) == (7, 2, 5, 2)
-    assert info.warning is None
-    assert source_info(df.filter("id = 'a'"), SUMMER, "hh").first().warning == "no rows in scope"
-    everything = source_info(df, None, "hh").first()
-    assert (everything.rows_in_scope, everything.rows_bad_date) == (7, 0)
+    df = spark.createDataFrame([(n, text) for n, text in enumerate([*DAYS, None])], "visit int, when string")
+    inside = [n for n, known in enumerate(DAYS.values()) if known]
+    assert sorted(r.visit for r in scope(df, SUMMER).collect()) == inside
+    info = source_info(df, SUMMER, "visits").first()
+    counted = (info.rows_total, info.rows_in_scope, info.rows_excluded_by_period, info.rows_bad_date)
+    assert counted == (len(df.collect()), len(inside), len(DAYS) + 1 - len(inside), 4) and info.warning is None
+    assert source_info(df.filter("visit = 2"), SUMMER, "visits").first().warning == "no rows in scope"
+    everything = source_info(df, None, "visits").first()
+    assert (everything.rows_in_scope, everything.rows_bad_date) == (len(DAYS) + 1, 0)
 
 
 def test_period_reaches_the_parquet_reader(spark, tmp_path):
@@ -264,22 +317,24 @@ def test_numbers_are_no_dates_and_months(spark):
 
 
 def test_documents(spark, tmp_path):
-    (tmp_path / "logframe.md").write_text("# Logframe\nIndicator 1.1 target 2500", encoding="utf-8")
-    (tmp_path / "big.txt").write_text("слово " * 10_000, encoding="utf-8")
-    (tmp_path / "x.exe").write_bytes(b"MZ")
+    """Texts by file name, cut at 30,000 characters; other kinds of files are left out."""
+    (tmp_path / "wells.md").write_text("Wells\n=====\nw1 dug, 12 m", encoding="utf-8")
+    (tmp_path / "long.txt").write_text("їжак" * 7_500 + "!", encoding="utf-8")
+    (tmp_path / "exact.txt").write_text("ґ" * 30_000, encoding="utf-8")
+    (tmp_path / "map.bin").write_bytes(b"\x00\x01")
     got = {r.name: r.text for r in scan_documents(spark, str(tmp_path)).collect()}
-    assert set(got) == {"logframe.md", "big.txt"} and "target 2500" in got["logframe.md"]
-    assert got["big.txt"].endswith("\n[... document truncated ...]") and got["big.txt"].index("\n") == 30_000
+    assert sorted(got) == ["exact.txt", "long.txt", "wells.md"] and got["wells.md"].splitlines()[-1] == "w1 dug, 12 m"
+    assert got["exact.txt"] == "ґ" * 30_000 and got["long.txt"] == "їжак" * 7_500 + "\n[... document truncated ...]"
 
 
 def test_log_summary(spark, tmp_path):
-    events = [
-        {"ts": "t", "kind": "tool_use", "tool": "a"}, {"ts": "t", "kind": "code_executed", "code": "x"},
-        {"ts": "t", "kind": "pii_block", "reason": "no"}, {"ts": "t", "kind": "result", "cost_usd": 0.0123},
-        {"ts": "t", "kind": "result", "cost_usd": 0.02}, {"ts": "t", "kind": "user", "cost_usd": 9},
-    ]
-    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, events)), encoding="utf-8")
-    got = log_summary(log_scan(spark, str(tmp_path))).first()
-    assert (got.events, got.tool_calls, got.code_runs, got.pii_blocks, got.cost_usd) == (6, 1, 1, 1, 0.0323)
-    (tmp_path / "s.jsonl").write_text('{"kind": "user"}', encoding="utf-8")
-    assert log_summary(log_scan(spark, str(tmp_path))).first().cost_usd == 0.0
+    """Costs of results only; kinds beside the counted ones are events, too; one row per session with ``by``."""
+    lines = [("tool_use", None, "p"), ("tool_use", 4, "q"), ("code_executed", None, "p"), ("note", 1.5, "q"),
+             ("result", 0.004, "p"), ("result", 1, "p"), ("result", None, "q"), ("pii_block", 2, "q"), ("turn", None, "q")]
+    text = "\n".join(json.dumps({"kind": k, "session": s} | ({"cost_usd": c} if c is not None else {})) for k, c, s in lines)
+    (tmp_path / "s.jsonl").write_text(text, encoding="utf-8")
+    log = log_scan(spark, str(tmp_path))
+    assert tuple(log_summary(log).first()) == (9, 2, 1, 1, 1.004)
+    assert sorted(map(tuple, log_summary(log, ["session"]).collect())) == [("p", 4, 1, 1, 0, 1.004), ("q", 5, 1, 0, 1, 0.0)]
+    (tmp_path / "s.jsonl").write_text('{"session": "p"}', encoding="utf-8")
+    assert tuple(log_summary(log_scan(spark, str(tmp_path))).first()) == (1, 0, 0, 0, 0.0)
