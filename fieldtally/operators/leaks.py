@@ -1,7 +1,8 @@
 """Leak audit: does any personal value of one table occur in the text of another?
 
-A value is looked for by the hash of its words: the logs' runs of words meet the values in an equi-join on 64-bit
-numbers, distinct within each log, and only what meets is compared as text. No pair of a value and a log is formed.
+A value is looked for by its rarest pair of neighbouring words. Texts are split once: of the pairs of each log only those that some
+value holds are kept, as 64-bit numbers, distinct within the log. How many logs hold a pair says which of a value's pairs is the
+rarest; only logs with that one are compared with the value as text. No pair of a value and a log is formed.
 """
 
 from __future__ import annotations
@@ -36,15 +37,20 @@ def _runs(words: Column, length: int) -> Column:
     return F.when(F.size(words) >= length, F.transform(starts, lambda at: F.slice(words, at, length)))
 
 
-def _hashed(words: Column) -> Column:
-    return F.transform(words, lambda word: F.xxhash64(word))
+def _neighbours(frame: DataFrame, name: str, words: Column, single: bool) -> DataFrame:
+    """``(name, hash)``: the pairs of neighbouring words of each row, repeats included; with ``single`` also its words."""
+    # words are hashed in a step of their own: an expression inside a lambda would be computed anew for every word
+    hashed = frame.select(name, F.transform(words, lambda word: F.xxhash64(word)).alias("hashes"))
+    rest = F.greatest(F.size("hashes") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("hashes", F.lit(1), rest), F.slice("hashes", F.lit(2), rest), lambda a, b: F.xxhash64(a, b))
+    return hashed.select(name, F.explode(F.concat(pairs, "hashes") if single else pairs).alias("hash"))
 
 
 def _known(keys: DataFrame, column: str = "key") -> DataFrame:
     """Distinct keys, broadcast only once their number and size are known to be small."""
     known = staged(keys.distinct(), "leak-keys")
     size = known.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0)).alias("bytes")
     ).first()
     small = size.rows <= BROADCAST_KEYS and size.bytes <= BROADCAST_BYTES
     return F.broadcast(known) if small else known
@@ -59,27 +65,23 @@ def leaked_phones(secrets: DataFrame, secret: str, logs: DataFrame, log_id: str,
 
 
 def _found(keys: DataFrame, logs: DataFrame, log_id: str, text: str) -> DataFrame:
-    """``(log_id, key)`` of keys ``(key, probe, length)`` whose words stand together in a log.
-
-    ``probe`` is a run of ``length`` words inside the key; a log that has the run is compared with the whole key.
-    """
-    keyed = keys.select("key", "length", F.xxhash64(_hashed(F.col("probe"))).alias("hash"))
-    known = _known(keyed)
-    lengths = sorted(r.length for r in keyed.select("length").distinct().collect())  # at most the run length
-    if not lengths:
-        return logs.select(F.col(log_id).alias("log_id"), F.lit("").alias("key")).limit(0)
-    named = logs.select(F.col(log_id).alias("log_id"), words_of(F.col(text)).alias("words"))
-    hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*(
-        F.transform(_runs(F.col("hashed"), n), lambda run: F.xxhash64(run)) for n in lengths
-    )))))
-    # the words of a text are hashed once; runs are hashes of these numbers
-    numbered = named.select("log_id", _hashed(F.col("words")).alias("hashed"))
-    hits = staged(
-        numbered.select("log_id", F.explode(hashes).alias("hash")).join(known, "hash").select("log_id", "key").distinct(),
-        "leak-hits",
-    )
+    """``(log_id, key)`` of keys ``(key, probe)`` whose words stand together in a log; ``probe`` are words inside the key."""
+    keyed = staged(keys.distinct(), "leak-values")
+    single = not keyed.where(F.size("probe") == 1).isEmpty()
+    held = _neighbours(keyed.where(F.size("probe") > 1), "key", F.col("probe"), False)
+    held = held.union(_neighbours(keyed.where(F.size("probe") == 1), "key", F.col("probe"), True)).distinct()
+    known = _known(held.select("hash"), "hash")
+    named = logs.select(F.col(log_id).alias("log_id"), F.col(text).alias("text"))
+    pairs = _neighbours(named, "log_id", words_of(F.col("text")), single)
+    seen = staged(pairs.join(known, "hash", "left_semi").distinct(), "leak-pairs")
+    common = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("logs"))
+    # a pair that no log holds clears its values
+    rarest = held.join(common, "hash", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("logs", F.lit(0)), "hash")).alias("least"))
+    probes = rarest.where("least.col1 > 0").select("key", F.col("least.hash").alias("hash"))
+    hits = staged(seen.join(probes, "hash").select("log_id", "key").distinct(), "leak-hits")
     # only logs with a hit are read as text again
-    spelt = named.select("log_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("text"))
+    found = named.join(_known(hits.select("log_id"), "log_id"), "log_id", "left_semi")
+    spelt = found.select("log_id", F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" ")).alias("text"))
     compared = hits.join(spelt, "log_id").where(F.contains("text", F.concat(F.lit(" "), F.col("key"), F.lit(" "))))
     return compared.select("log_id", "key").distinct()
 
@@ -94,8 +96,7 @@ def leaked_names(
     spelt = secrets.select(words_of(F.col(secret)).alias("words")).where(F.size("words") > 0)
     runs = F.coalesce(_runs(F.col("words"), words), F.array("words"))
     keys = spelt.select(F.explode(runs).alias("probe"))
-    keys = keys.select(F.array_join("probe", " ").alias("key"), "probe", F.size("probe").alias("length"))
-    return _found(keys, logs, log_id, text)
+    return _found(keys.select(F.array_join("probe", " ").alias("key"), "probe"), logs, log_id, text)
 
 
 def leaked_values(
@@ -106,6 +107,4 @@ def leaked_values(
     ``words`` is how many words at the start of a value are looked up; the rest is compared afterwards.
     """
     spelt = secrets.select(words_of(F.col(secret)).alias("words")).where(F.size("words") > 0)
-    probe = F.slice("words", 1, words)
-    keys = spelt.select(F.array_join("words", " ").alias("key"), probe.alias("probe"), F.size(probe).alias("length"))
-    return _found(keys, logs, log_id, text)
+    return _found(spelt.select(F.array_join("words", " ").alias("key"), F.slice("words", 1, words).alias("probe")), logs, log_id, text)

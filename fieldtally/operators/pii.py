@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,25 +42,36 @@ def _candidates(df: DataFrame) -> dict[str, str]:
     return {n: k for n, k in families(df).items() if n not in named and k in ("text", "whole", "real")}
 
 
-def _content_order(df: DataFrame) -> list[Column]:
-    """An order of rows that follows from their content alone, so no partitioning changes it."""
-    return [F.xxhash64(*map(col, df.columns))]
-
-
 def pii_sample(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
-    """``(column, value)``: the first values of each column in the given order (without one: by content).
+    """``(column, value)``: the first values of each column in the given order (without one: by the rows' content).
 
-    One scan: cells are unfolded by column and each task keeps the first ones of every column before they meet.
-    Equal places are settled by the value.
+    One scan of these columns: cells are unfolded by column and each task keeps the first ones of every column before they
+    meet. Equal places are settled by the value. The content of a row is hashed once, before its cells are unfolded.
     """
     kinds = families(df)
     cells = F.array(*(
         F.struct(F.lit(name).alias("__column"), _as_text(col(name), kinds[name]).alias("__value")) for name in columns
     ))
-    rows = df.select("*", F.inline(cells)).where(F.col("__value").isNotNull())
-    first = Window.partitionBy("__column").orderBy(*(order or _content_order(df)), "__value")
-    ranked = rows.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= SAMPLE)
-    return ranked.select(F.col("__column").alias("column"), F.col("__value").alias("value"))
+    if order:
+        rows, places = df.select("*", F.inline(cells)), list(order)
+    else:
+        content = F.xxhash64(*map(col, columns)).alias("__content")
+        rows, places = df.select(content, cells.alias("__cells")).select("__content", F.inline("__cells")), [F.col("__content")]
+    first = Window.partitionBy("__column").orderBy(*places, "__value")
+    ranked = rows.where(F.col("__value").isNotNull()).withColumn("__rank", F.row_number().over(first))
+    return ranked.where(F.col("__rank") <= SAMPLE).select(F.col("__column").alias("column"), F.col("__value").alias("value"))
+
+
+def _shares(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> dict[str, tuple[int, float]]:
+    """By column how many values the sample has (none: no entry) and the share of hits; a row per column, no cell."""
+    share = F.avg(is_personal(F.col("value")).cast("int")).alias("share")
+    rows = pii_sample(df, order, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"), share).collect()
+    return {r["column"]: (r["n"], r["share"]) for r in rows}
+
+
+def _found(columns: Sequence[str], shares: dict[str, tuple[int, float]]) -> list[str]:
+    named = set(named_personal(columns))
+    return [name for name in columns if name in named or shares.get(name, (0, 0.0))[1] >= SHARE]
 
 
 def pii_detect(df: DataFrame, order: Sequence[Column] = ()) -> list[str]:
@@ -69,13 +80,30 @@ def pii_detect(df: DataFrame, order: Sequence[Column] = ()) -> list[str]:
     Without ``order`` "first" is decided by the rows' content, so the answer does not depend on how the frame is
     partitioned. Only column names reach the driver, never a cell.
     """
-    found = set(named_personal(df.columns))
     candidates = list(_candidates(df))
-    if candidates:
-        share = F.avg(is_personal(F.col("value")).cast("int"))
-        hits = pii_sample(df, order, candidates).groupBy("column").agg(share.alias("share"))
-        found |= {row["column"] for row in hits.where(F.col("share") >= SHARE).collect()}
-    return [name for name in df.columns if name in found]
+    return _found(df.columns, _shares(df, order, candidates) if candidates else {})
+
+
+def pii_of_files(spark: SparkSession, path: str) -> list[str]:
+    """Personal-data columns of a Parquet table, "first" being the order of its files by path and of their rows.
+
+    The first file decides every column that has enough values there; only the others are looked up in all files.
+    """
+    df = spark.read.parquet(path)
+    files, candidates = sorted(df.inputFiles()), list(_candidates(df))
+    if not files or not candidates:
+        return _found(df.columns, {})
+    head = spark.read.schema(df.schema).option("basePath", path).parquet(files[0])
+    shares = _shares(*_in_file_order(head, candidates), candidates)
+    sparse = [name for name in candidates if shares.get(name, (0, 0.0))[0] < SAMPLE]
+    if sparse and len(files) > 1:
+        shares |= _shares(*_in_file_order(df, sparse), sparse)
+    return _found(df.columns, shares)
+
+
+def _in_file_order(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    places = {"__file": "_metadata.file_path", "__row": "_metadata.row_index"}
+    return df.select(*map(col, columns), *(F.col(p).alias(n) for n, p in places.items())), [F.col(n) for n in places]
 
 
 def drop_pii(df: DataFrame, pii: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldtally.errors import ReportError
 from fieldtally.operators.rowids import ensure_row_ids
 from fieldtally.sources.pages import require_rows
+from fieldtally.sources.verdicts import keep_verdict
 
 
 def safe_name(name: str) -> str:
@@ -28,9 +29,13 @@ def _bare(path: str) -> str:
 
 
 def sink_pull(df: DataFrame, root: str, name: str) -> int:
-    """Write a pulled form with row ids, replacing the previous pull; returns the rows written."""
+    """Write a pulled form with row ids, replacing the previous pull; returns the rows written.
+
+    Its personal-data columns are looked up here, once, so that no report has to.
+    """
     path = _below(root, safe_name(name))
     ensure_row_ids(require_rows(df, name)).write.mode("overwrite").parquet(path)
+    keep_verdict(df.sparkSession, path)
     return df.sparkSession.read.parquet(path).count()
 
 
@@ -43,6 +48,7 @@ def sink_clean(df: DataFrame, root: str, name: str) -> str:
     if any(_bare(f).startswith(_bare(path) + "/") for f in df.inputFiles()):
         raise ReportError(f"{name!r}: the clean copy cannot be built from itself")
     df.write.mode("overwrite").parquet(path)
+    keep_verdict(df.sparkSession, path)
     return path
 
 

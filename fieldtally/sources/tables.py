@@ -14,6 +14,7 @@ from fieldtally.functions.columns import col, nan_to_null
 from fieldtally.functions.text import strip
 from fieldtally.operators.period import Period, check_period, scope, source_info
 from fieldtally.operators.pii import pii_detect
+from fieldtally.sources.verdicts import kept_verdict
 
 # Cell texts that mean "missing" in a CSV file.
 NA_TOKENS = (
@@ -123,6 +124,14 @@ class Catalog:
         known = names or [t.name for t in spark.catalog.listTables()]
         return cls({name: spark.table(name) for name in known})
 
+    @classmethod
+    def of_folder(cls, spark: SparkSession, root: str, *names: str) -> Catalog:
+        """Stored tables below ``root``, with the verdicts that the sinks kept beside them."""
+        paths = {name: f"{root.rstrip('/')}/{name}" for name in names}
+        verdicts = {name: kept_verdict(spark, path) for name, path in paths.items()}
+        tables = {name: scan_parquet(spark, path) for name, path in paths.items()}
+        return cls(tables, _pii={name: found for name, found in verdicts.items() if found is not None})
+
     def resolve(self, name: str) -> tuple[str, bool]:
         """``(table, used_clean)``."""
         if f"{name}_clean" in self.tables:
@@ -133,7 +142,7 @@ class Catalog:
         raise DatasetNotFound(f"Dataset {name!r} not found. Available: {known}")
 
     def personal(self, table: str) -> list[str]:
-        """Personal-data columns of a table, looked up once on the whole table."""
+        """Personal-data columns of a table: as kept when it was stored, else looked up once on the whole table."""
         if table not in self._pii:
             self._pii[table] = pii_detect(self.tables[table], [col(c) for c in self.orders.get(table, ())])
         return self._pii[table]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldtally.session import configure
-from fieldtally.sources.tables import scan_parquet
+from fieldtally.session import configure, scratch_path
+from fieldtally.sources.tables import Catalog, scan_parquet
+from fieldtally.sources.verdicts import keep_verdict
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,14 @@ def survey(spark: SparkSession, sf_dir: str, services: bool = False) -> DataFram
     return visits.select(*columns)
 
 
+def landed_survey(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The view as a stored table, its personal-data columns looked up when it was written."""
+    root = scratch_path(spark, "landed")
+    survey(spark, sf_dir).write.parquet(f"{root}/survey")
+    keep_verdict(spark, f"{root}/survey")
+    return Catalog.of_folder(spark, root, "survey")
+
+
 # The same view for the oracle; token order inside ``services`` does not matter to any query.
 SURVEY = """
 WITH flags AS (

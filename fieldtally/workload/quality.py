@@ -17,7 +17,9 @@ from fieldtally.operators.leaks import leaked_names, leaked_phones, leaked_value
 from fieldtally.operators.pii import pii_detect, pii_sample
 from fieldtally.operators.profile import dup_report, null_rates, profile, top_category, union_all
 from fieldtally.plans.adhoc import adhoc_sql
+from fieldtally.session import scratch_path
 from fieldtally.sources.tables import Catalog
+from fieldtally.sources.verdicts import keep_verdict
 from fieldtally.workload.base import SURVEY, query, survey, table
 
 PROFILED = ("record_id", "household_id", "region", "country", "segment", "amount", "priority")
@@ -74,6 +76,21 @@ def _pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(F.array(*flags)), "n_rows")
 
 
+@query("pii_kept", """
+SELECT unnest(['c_custkey', 'c_name', 'c_mktsegment', 'contact', 'place', 'remark']) AS "column",
+       unnest([false, true, false, true, true, false]) AS pii,
+       (SELECT count(*) FROM customer) AS n_rows""")
+def _pii_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same contacts, stored in their order; the answer is the one kept beside the table."""
+    root = scratch_path(spark, "contacts")
+    _contacts(spark, sf_dir).sort("c_custkey").write.parquet(f"{root}/contacts")
+    keep_verdict(spark, f"{root}/contacts")
+    contacts = Catalog.of_folder(spark, root, "contacts")
+    kept = spark.read.parquet(f"{root}/contacts.personal").select(F.col("name").alias("column"), F.col("personal").alias("pii"))
+    n_rows = F.count(F.lit(1)).alias("n_rows")
+    return kept.join(F.broadcast(contacts.stripped("contacts").agg(n_rows)))  # one row
+
+
 @query("pii_sample", """
 WITH contacts AS (
   SELECT c_custkey, c_mktsegment,
@@ -304,20 +321,23 @@ def _leak_audit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_values(_secrets(spark, sf_dir), "text", table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("leak_audit_phones", """
-WITH known AS (SELECT DISTINCT '0' || lpad((c_custkey * 37)::VARCHAR, 9, '0') AS key FROM customer)
-SELECT doc_id AS log_id, '0' || lpad(doc_id::VARCHAR, 9, '0') AS key FROM documents
-WHERE '0' || lpad(doc_id::VARCHAR, 9, '0') IN (SELECT key FROM known)""")
+@query("leak_audit_phones", rf"""
+WITH known AS (SELECT DISTINCT '0' || lpad((c_custkey * 37)::VARCHAR, 9, '0') AS key FROM customer), logs AS (
+  SELECT doc_id, text || ' call 0' || lpad(doc_id::VARCHAR, 9, '0') AS text FROM documents
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE.replace("'", "''")}')) AS phone FROM logs
+)
+SELECT DISTINCT doc_id AS log_id, regexp_replace(phone, '[^0-9]', '', 'g') AS key FROM found
+WHERE regexp_replace(phone, '[^0-9]', '', 'g') IN (SELECT key FROM known)""")
 def _leak_audit_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phone of a customer in every whole text; a phone is written into each to have some."""
     people = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("tel: 0"), F.lpad((F.col("c_custkey") * 37).cast("string"), 9, "0"), F.lit(" (home)")).alias("phone")
     )
     logs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat("text", F.lit(" call 0"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("text")
     )
-    ours = leaked_phones(people, "phone", logs, "doc_id", "text")
-    # a document may hold a phone of somebody by itself: only the one written into it is compared
-    return ours.where(F.col("key") == F.concat(F.lit("0"), F.lpad(F.col("log_id").cast("string"), 9, "0")))
+    return leaked_phones(people, "phone", logs, "doc_id", "text")
 
 
 @query("adhoc_sql", """

@@ -20,7 +20,7 @@ from fieldtally.operators.profile import compare_measure, group_counts, period_c
 from fieldtally.plans.report import evaluate_registry, five_w_report, limit_preview, suppress_high_card
 from fieldtally.session import scratch_path
 from fieldtally.sources.tables import Catalog
-from fieldtally.workload.base import ACTIVITY, FIVE_W, SURVEY, query, segment_columns, survey, table
+from fieldtally.workload.base import ACTIVITY, FIVE_W, SURVEY, landed_survey, query, segment_columns, survey, table
 
 PERIOD = Period("visit_date", date(1996, 1, 1), date(1999, 12, 31))
 IN_PERIOD = "visit_date >= TIMESTAMP '1996-01-01' AND visit_date < TIMESTAMP '2000-01-01'"
@@ -103,7 +103,7 @@ UNION ALL SELECT '1.4', 0, count(*) FILTER (region <> 'ASIA' AND amount >= 50000
 UNION ALL SELECT '2.1', NULL, NULL, NULL, 'not_computable'
 UNION ALL SELECT '2.2', 10, NULL, NULL, 'not_computable'""")
 def _indicator_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = evaluate_registry(spark, _registry(), Catalog({"survey": survey(spark, sf_dir)}), PERIOD)
+    run = evaluate_registry(spark, _registry(), landed_survey(spark, sf_dir), PERIOD)
     digits = F.when(F.col("code") == "1.3", F.round("actual", 2)).otherwise(F.round("actual", 6))
     return run.summary.select("code", "target", digits.alias("actual"), "progress_pct", "status")
 
@@ -126,7 +126,7 @@ def _broken_down(code: str, dimension: str, expression: str, source: str = "scop
                  "count(*) FILTER (region <> 'ASIA' AND amount >= 50000 AND amount < 200000)"),
 ]))
 def _indicator_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = evaluate_registry(spark, _registry(), Catalog({"survey": survey(spark, sf_dir)}), PERIOD)
+    run = evaluate_registry(spark, _registry(), landed_survey(spark, sf_dir), PERIOD)
     digits = F.when(F.col("code") == "1.3", F.round("value", 2)).otherwise(F.round("value", 6))
     return run.breakdown.select("code", "dimension", "category", digits.alias("value"), "reason")
 
@@ -269,7 +269,7 @@ SELECT 'breakdown' AS "table", code, dimension, category, value FROM parts
 UNION ALL SELECT 'not_computable', code, NULL, NULL, NULL FROM (SELECT unnest(['2.1', '2.2']) AS code)
 UNION ALL SELECT 'sources', 'survey', NULL, NULL, (SELECT count(*) FROM scoped)""")
 def _registry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = evaluate_registry(spark, _registry(), Catalog({"survey": survey(spark, sf_dir)}), PERIOD)
+    run = evaluate_registry(spark, _registry(), landed_survey(spark, sf_dir), PERIOD)
     paths = run.save(scratch_path(spark, "report"), date(2026, 9, 14))
     parts, missing, sources = (spark.read.parquet(paths[n]) for n in ("breakdown", "not_computable", "sources"))
     rows = parts.where(F.col("code").isin("1.1", "1.4")).select(F.lit("breakdown").alias("table"), "code", "dimension", "category", "value")

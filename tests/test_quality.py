@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 
 import pytest
@@ -17,7 +18,9 @@ from fieldtally.operators.places import with_place
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
 from fieldtally.operators import rowids
 from fieldtally.plans.adhoc import adhoc_sql, ask
+from fieldtally.sources.sinks import sink_pull
 from fieldtally.sources.tables import Catalog
+from fieldtally.sources.verdicts import keep_verdict, kept_verdict
 
 
 def texts(spark, *values):
@@ -241,6 +244,21 @@ def test_leaked_runs_and_whole_values(spark, logs):
     assert hits(leaked_names(people.where("n IS NULL"), "n", logs, "i", "t", 3)) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_against_a_plain_search(spark, seed):
+    """Few words, so pairs are common, values overlap and repeat, and a value may be one word that all logs hold."""
+    rng = random.Random(seed)
+    texts_ = [(n, " ".join(rng.choice(["a", "B", "c!", "d", "ее", "f"]) for _ in range(rng.randint(0, 30)))) for n in range(60)] + [(60, None), (61, "")]
+    values = [" ".join(rng.choice("abcdf") for _ in range(rng.randint(1, 6))) for _ in range(25)] + [None, "", "  ", "zz zz", "a", "a a"]
+    logs_ = spark.createDataFrame(texts_ + texts_[:5], "i int, t string")
+    secrets = spark.createDataFrame([(v,) for v in values], "n string")
+    spelt = {n: f" {(t or '').lower().replace('!', '')} " for n, t in texts_}
+    whole = sorted({(n, v) for n, t in spelt.items() for v in values if v and v.strip() and f" {v} " in t})
+    assert hits(leaked_values(secrets, "n", logs_, "i", "t", 2)) == hits(leaked_values(secrets, "n", logs_, "i", "t")) == whole
+    runs = {" ".join(w[k : k + 3]) for v in values if v and (w := v.split()) for k in range(max(len(w) - 2, 1))}
+    assert hits(leaked_names(secrets, "n", logs_, "i", "t", 3)) == sorted({(n, r) for n, t in spelt.items() for r in runs if f" {r} " in t})
+
+
 def test_adhoc(spark, wells):
     catalog = Catalog({"wells": wells}, {"wells": ["well_no"]})
     answer = adhoc_sql(spark, catalog, "SELECT kind, count(*) AS n, '0501112233' AS x FROM wells WHERE kind IS NOT NULL GROUP BY kind")
@@ -300,6 +318,32 @@ def test_personal_columns_do_not_depend_on_partitions(spark):
         assert Catalog({"o": frame}, {"o": ["n"]}).personal("o") == ["head"]
 
 
+def test_verdicts_are_kept_with_the_table(spark, tmp_path):
+    """The first file decides; only a column with few values there is looked up in the others; a new table needs a new verdict."""
+    root, path = str(tmp_path), str(tmp_path / "visits")
+    rows = [(n, "0501112233" if n < 60 else "x", None if n < 900 else "0501112233", "x" if n < 60 else "0501112233") for n in range(1000)]
+    frame = spark.createDataFrame(rows, "n int, early string, sparse string, tail string")
+    frame.repartitionByRange(4, "n").sortWithinPartitions("n").write.parquet(path)
+    assert kept_verdict(spark, path) is None and keep_verdict(spark, path) == ["early", "sparse"] == kept_verdict(spark, path)
+    catalog = Catalog.of_folder(spark, root, "visits")
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    loaded = catalog.load("visits")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == started  # no job for the verdict
+    assert loaded.pii == ["early", "sparse"] and catalog.stripped("visits").columns == ["n", "tail"]
+    frame.drop("tail").write.mode("overwrite").parquet(path)
+    assert kept_verdict(spark, path) is None and Catalog.of_folder(spark, root, "visits").personal("visits") is not None
+    assert sink_pull(frame.withColumn("_uuid", F.col("n").cast("string")), root, "Visits") == 1000
+    assert kept_verdict(spark, path) is not None and Catalog.of_folder(spark, root, "visits")._pii["visits"] == kept_verdict(spark, path)
+    frame.limit(0).write.mode("overwrite").parquet(path)
+    assert keep_verdict(spark, path) == []
+
+
+def test_the_sample_hashes_a_row_once(spark):
+    df = spark.range(10).selectExpr("id", "cast(id AS string) AS a", "cast(id AS string) AS b")
+    plan = pii_sample(df, [], ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("xxhash64") > plan.index("Generate inline") and plan.count("xxhash64") == 1
+
+
 def test_unknown_dataset_message(spark, wells):
     with pytest.raises(ReportError, match="Available: wells"):
         Catalog({"wells": wells}).stripped("other")
