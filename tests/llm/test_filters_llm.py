@@ -138,10 +138,60 @@ def test_query_finds_what_a_plain_search_finds(spark):
 
 
 def test_query_against_sql(spark):
-    columns = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed"]
+    columns = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "evident"]
     got = rows_of(QUERIES["op8_template_decontamination"](spark, SF), *columns)
     expected = oracle(ORACLES["op8_template_decontamination"])[columns]
-    assert got == sorted((tuple(map(int, r)) for r in expected.itertuples(index=False)), key=repr) and got
+    assert [tuple(map(int, r)) for r in got] == sorted((tuple(map(int, r)) for r in expected.itertuples(index=False)), key=repr) and got
+
+
+MID = "Paris hosts three big museums near the river"
+CAPITAL = "What is the capital city of the small island state Malta in summer?"
+PLANTED_ITEMS = [(1, MID), (2, CAPITAL), (3, "Yes"), (4, "What is 12 plus 15 times 3?"), (5, "Two plus two"), (6, QUESTION), (7, "so 7 8 9, Ann, Bob, Cy 4"),
+                 (8, None), (9, " ?! "), (10, "Yes, Yes"), (6, QUESTION)]
+PLANTED = [
+    (1, "As the guide said, Paris hosts three big museums near the river in spring"), (2, "He asked What is the capital city of the small island state Malta in summer"),
+    (3, "yes and yes"), (4, "Yes"), (5, "What is 12 plus 15 times 3?"), (6, "what is 12 plus 16 times 3"), (7, "well two plus two, is four"),
+    (8, QUESTION.replace("120", "300")), (9, QUESTION.replace("Marville", "Bourg", 1)), (10, "we have so 7 8 9, ann, bob, cy 4"), (11, None), (12, ""),
+    (13, "PARIS HOSTS THREE BIG MUSEUMS NEAR THE RIVER"), (14, "paris hosts four big museums near the river"), (15, "no " * 40), (15, "yes yes"),
+] + [(100 + n, f"{prose(n, 12)} yes") for n in range(40)]
+
+
+def test_planted_cases_against_sql(spark):
+    """Copies behind a comma or a small letter, short items, a word that many texts hold: the same rows as SQL gives."""
+    import duckdb
+    import pandas as pd
+
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in PLANTED], DOCUMENTS)
+    columns = ["doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "evident"]
+    found = decontaminate.leaks(docs, spark.createDataFrame(PLANTED_ITEMS, ITEMS))
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(PLANTED, columns=["doc_id", "text"]))
+    db.register("benchmark", pd.DataFrame(PLANTED_ITEMS, columns=["item_id", "text"]))
+    got = rows_of(found, *columns)
+    assert got == sorted((tuple(r) for r in db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op8_template_decontamination']})").fetchall()), key=repr)
+    pairs = {(r[0], r[1]): r[6] for r in got}
+    assert {p for p, evident in pairs.items() if evident} >= {(1, 1), (13, 1), (2, 2), (5, 4), (7, 5), (8, 6), (10, 7)}
+    assert not {(14, 1), (6, 4)} & set(pairs) and all(not pairs[n, 3] for n in (3, 4, 100, 139))
+    kept = {r["doc_id"] for r in decontaminate.drop_leaking(docs, spark.createDataFrame(PLANTED_ITEMS, ITEMS)).select("doc_id").collect()}
+    assert kept >= {3, 4, 6, 11, 12, 14, *range(100, 140)} and not kept & {1, 2, 5, 7, 8, 10, 13}
+
+
+def test_one_scan_for_all_sizes(spark):
+    items = [(n, " ".join(prose(70, 30).split()[:n])) for n in range(1, 9)]
+    seen = []
+    staged = decontaminate.staged
+
+    def watched(frame, label):
+        if label == "benchmark-hits":
+            seen.append(frame._jdf.queryExecution().executedPlan().toString())
+        return staged(frame, label)
+
+    decontaminate.staged = watched
+    try:
+        decontaminate.leaks(spark.read.parquet(f"{SF}/documents.parquet"), spark.createDataFrame(items, ITEMS))
+    finally:
+        decontaminate.staged = staged
+    assert seen and seen[0].count("documents.parquet") == 1
 
 
 def test_awkward_and_dropping(spark):
