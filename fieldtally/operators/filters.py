@@ -13,14 +13,13 @@ from the schema, so a run never meets a cast error whose text could quote a cell
 from __future__ import annotations
 
 import ast
-import io
 import operator
 import re
-import tokenize
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -445,8 +444,8 @@ def java_regex(pattern: str, case: bool = True, flags: int = 0) -> str:
 
 
 # -- reading the text -----------------------------------------------------------------------
-SPELT = {"&": "and", "|": "or"}  # these signs bind like the words
-BACKTICKED = re.compile(r"(?<!\w)`([^`'\"\\#\r\n]+)`(?!\w)")
+CONNECTIVES = {"&": " and ", "|": " or "}  # these signs bind like the words
+NOT_IN_NAMES = frozenset("'\"\\#")
 
 
 @dataclass(frozen=True)
@@ -457,27 +456,59 @@ class Condition:
     quoted: dict[str, str]
 
 
+def _end_of_literal(text: str, at: int) -> int:
+    """Behind the closing quote of the literal that opens at ``at``."""
+    quote = text[at] * 3 if text.startswith(text[at] * 3, at) else text[at]
+    end = at + len(quote)
+    while not text.startswith(quote, end):
+        if end >= len(text):
+            raise _NotAllowed("a text is not closed")
+        end += 2 if text[end] == "\\" else 1
+    return end + len(quote)
+
+
+def _pieces(text: str) -> Iterator[tuple[str, str]]:
+    """The text in one walk, as (kind, piece): ``literal``, ``column`` (back-ticked), ``word`` or ``sign``; a comment ends it."""
+    at = 0
+    while at < len(text) and text[at] != "#":
+        here, end = text[at], at + 1
+        if here in "'\"":
+            kind, end = "literal", _end_of_literal(text, at)
+        elif here == "`":
+            kind, end = "column", text.find("`", end) + 1
+            if end < at + 3 or NOT_IN_NAMES & set(text[at:end]):
+                raise _NotAllowed("a back-tick does not enclose a column name")
+        elif here.isalnum() or here == "_":
+            kind = "word"
+            while end < len(text) and (text[end].isalnum() or text[end] == "_"):
+                end += 1
+        else:
+            kind = "sign"
+        yield kind, text[at:end]
+        at = end
+
+
 def read_condition(text: str) -> Condition:
     """Parse one line; raises ``_NotAllowed`` for text that is no expression of the language's shape."""
     if len(text.splitlines()) > 1:
         raise _NotAllowed("it has more than one line")
-    longest = max(map(len, re.findall("_+", text)), default=0)
-    quoted: dict[str, str] = {}
-
-    def stand_in(found: re.Match) -> str:
-        name = f"{'_' * (longest + 1)}{len(quoted)}"  # more underscores in a row than the text has
-        quoted[name] = found[1]
-        return name
-
-    source = BACKTICKED.sub(stand_in, text).strip()
-    if "`" in source:
+    pieces = list(_pieces(text.strip()))
+    kinds = [kind for kind, _ in pieces]
+    if any({"column"} < {*pair} <= {"column", "word"} or pair == ("column", "column") for pair in zip(kinds, kinds[1:])):
         raise _NotAllowed("a back-tick does not enclose a column name")
+    words = {piece for kind, piece in pieces if kind == "word"}
+    free = (name for n in count() if (name := f"column{n}") not in words)
+    quoted: dict[str, str] = {}
+    source = []
+    for kind, piece in pieces:
+        if kind == "column":
+            source.append(next(free))
+            quoted[source[-1]] = piece[1:-1]
+        else:
+            source.append(CONNECTIVES.get(piece, piece) if kind == "sign" else piece)
     try:
-        tokens = list(tokenize.generate_tokens(io.StringIO(source).readline))
-        signs = [t.type == tokenize.OP and t.string in SPELT for t in tokens]
-        spelt = [(tokenize.NAME, SPELT[t.string]) if sign else t[:2] for t, sign in zip(tokens, signs)]
-        return Condition(ast.parse(tokenize.untokenize(spelt).strip(), mode="eval").body, quoted)
-    except (SyntaxError, ValueError, tokenize.TokenError, RecursionError, MemoryError):
+        return Condition(ast.parse("".join(source).strip(), mode="eval").body, quoted)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         raise _NotAllowed("it is no complete expression") from None
 
 
