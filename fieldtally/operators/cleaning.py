@@ -12,6 +12,7 @@ from fieldtally.functions.categories import spelling_key
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.dates import parse_dates
 from fieldtally.operators.rowids import ROW_ID, derived_ids, keep_first, unique_id
+from fieldtally.operators.variants import one_script, roots
 from fieldtally.session import staged
 
 BROADCAST_SPELLINGS = 100_000  # mapping rows that fit every executor with ease
@@ -59,16 +60,21 @@ def date_bounds(df: DataFrame, bounds: Mapping[str, Sequence]) -> DataFrame:
     return df.withColumns(changed)
 
 
-def spelling_map(df: DataFrame, column: str, suffixes: Sequence[str] = ()) -> DataFrame:
+def spelling_map(df: DataFrame, column: str, suffixes: Sequence[str] = (), slips: bool = False) -> DataFrame:
     """``(variant, dominant, affected)`` for every spelling that changes.
 
     Spellings are counted first, so only distinct texts are compared. The most frequent spelling of a key
-    wins; the smallest text wins a tie.
+    wins; the smallest text wins a tie. With ``slips`` a rare key that is one slip of the pen or one look-alike letter away from
+    a common one counts as that one (``operators.variants``).
     """
     present = df.filter(col(column).isNotNull()).select(col(column).alias("variant"))
     counted = present.groupBy("variant").agg(F.count(F.lit(1)).alias("affected"))
     # a key that cannot be NULL keeps the join from testing it on every source row
     keyed = counted.withColumn("key", F.coalesce(spelling_key(F.col("variant"), suffixes), F.lit("")))
+    if slips:
+        keyed = staged(keyed.withColumn("key", one_script(F.col("key"))), "spelling-keys")
+        mended = roots(keyed.groupBy("key").agg(F.sum("affected").alias("n")))
+        keyed = keyed.join(mended, "key", "left").select("variant", "affected", F.coalesce("root", "key").alias("key"))
     best = keyed.groupBy("key").agg(
         F.min(F.struct((-F.col("affected")).alias("n"), F.col("variant").alias("text"))).alias("best")
     )
@@ -97,13 +103,13 @@ def apply_spellings(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame
 
 
 def category_normalize(
-    df: DataFrame, column: str, suffixes: Sequence[str] = ()
+    df: DataFrame, column: str, suffixes: Sequence[str] = (), slips: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """The frame with one spelling per category, and the mapping that was applied.
+    """The frame with one spelling per category, and the mapping that was applied (``slips``: see ``spelling_map``).
 
     The mapping is written once to the shared folder: it is sized, joined and reported from there.
     """
-    mapping = staged(spelling_map(df, column, suffixes), "spellings")
+    mapping = staged(spelling_map(df, column, suffixes, slips), "spellings")
     return apply_spellings(df, column, mapping), mapping
 
 
@@ -112,7 +118,8 @@ class CleaningPlan:
     """What to clean: bounds are parameters, never the clock.
 
     ``order`` decides which copy of a record is the first; ``categories`` maps a column to the suffixes
-    its spellings may carry; ``key_fields`` are those whose missing rate is reported.
+    its spellings may carry; ``key_fields`` are those whose missing rate is reported; with ``slips`` rare misspellings
+    of categories are mended, too.
     """
 
     order: Sequence[str]
@@ -121,6 +128,7 @@ class CleaningPlan:
     dates: Mapping[str, Sequence] = field(default_factory=dict)
     categories: Mapping[str, Sequence[str]] = field(default_factory=dict)
     key_fields: Sequence[str] = ()
+    slips: bool = False
 
 
 @dataclass(frozen=True)
@@ -162,7 +170,7 @@ def clean_dataset(df: DataFrame, plan: CleaningPlan) -> Cleaned:
     unique = staged(unique.select(*map(col, needed or [id_field])), "unique")
     clean, mappings = dated, {}
     for column, suffixes in plan.categories.items():
-        mappings[column] = staged(spelling_map(unique.select(_cleaned(unique, plan, column)), column, suffixes), "spellings")
+        mappings[column] = staged(spelling_map(unique.select(_cleaned(unique, plan, column)), column, suffixes, plan.slips), "spellings")
         clean = apply_spellings(clean, column, mappings[column])
 
     # one row of counts over the unique records

@@ -161,6 +161,25 @@ def _category_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_map(_misspelt(spark, sf_dir), "priority", ["обл."])
 
 
+@query("category_slips", """
+WITH spelt AS (
+  SELECT o_orderpriority AS clean, CASE o_orderkey % 100
+    WHEN 1 THEN substr(o_orderpriority, 1, 3) || substr(o_orderpriority, 5) WHEN 2 THEN substr(o_orderpriority, 1, 4) || '_' || substr(o_orderpriority, 5)
+    WHEN 3 THEN substr(o_orderpriority, 1, 2) || '~' || substr(o_orderpriority, 4)
+    WHEN 4 THEN substr(o_orderpriority, 1, 2) || substr(o_orderpriority, 4, 1) || substr(o_orderpriority, 3, 1) || substr(o_orderpriority, 5)
+    WHEN 5 THEN lower(o_orderpriority) ELSE o_orderpriority END AS priority FROM orders)
+SELECT priority AS variant, clean AS dominant, count(*) AS affected FROM spelt WHERE priority <> clean GROUP BY 1, 2""")
+def _category_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities with a character left out, added, exchanged or swapped in one row of a hundred each."""
+    p = "o_orderpriority"
+    wrong = {1: f"concat(substr({p}, 1, 3), substr({p}, 5))", 2: f"concat(substr({p}, 1, 4), '_', substr({p}, 5))",
+             3: f"concat(substr({p}, 1, 2), '~', substr({p}, 4))", 5: f"lower({p})",
+             4: f"concat(substr({p}, 1, 2), substr({p}, 4, 1), substr({p}, 3, 1), substr({p}, 5))"}
+    cases = " ".join(f"WHEN {n} THEN {made}" for n, made in wrong.items())
+    rows = table(spark, sf_dir, "orders").selectExpr(f"CASE o_orderkey % 100 {cases} ELSE {p} END AS priority")
+    return spelling_map(rows, "priority", slips=True)
+
+
 @query("join_mapping", MISSPELT + "SELECT o_orderkey, clean AS priority FROM spelt")
 def _join_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed, _ = category_normalize(_misspelt(spark, sf_dir), "priority", ["обл."])

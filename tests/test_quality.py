@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import date
 
 import pytest
@@ -17,6 +18,7 @@ from fieldtally.operators.profile import compare_measure, dup_report, null_rates
 from fieldtally.operators.places import with_place
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
 from fieldtally.operators import rowids
+from fieldtally.operators.variants import DOMINANCE, SHORTEST, roots
 from fieldtally.plans.adhoc import adhoc_sql, ask
 from fieldtally.sources.sinks import sink_pull
 from fieldtally.sources.tables import Catalog
@@ -318,6 +320,47 @@ def test_personal_columns_do_not_depend_on_partitions(spark):
         assert Catalog({"o": frame}, {"o": ["n"]}).personal("o") == ["head"]
 
 
+def one_slip(a: str, b: str) -> bool:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        off = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(off) == 1 or (len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]])
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slips_against_all_pairs(spark, seed):
+    """Words of three letters, so that nearly all are neighbours of some; links by comparing every pair."""
+    rng = random.Random(seed)
+    counts = {"".join(rng.choice("ab1") for _ in range(rng.randint(3, 8))): rng.choice([1, 2, 7, 40, 300, 2000]) for _ in range(120)}
+    link = {}
+    for a, n in counts.items():
+        near = [b for b, m in counts.items() if a != b and max(len(a), len(b)) >= SHORTEST and m >= n * DOMINANCE and one_slip(a, b)
+                and re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and (len(a) != len(b) or len(a) >= SHORTEST)]
+        if near:
+            link[a] = min(near, key=lambda b: (-counts[b], b))
+    expected = {}
+    for a in link:
+        expected[a] = a
+        while expected[a] in link:
+            expected[a] = link[expected[a]]
+    got = roots(spark.createDataFrame(list(counts.items()), "key string, n long"))
+    assert {r.key: r.root for r in got.collect()} == expected and expected
+
+
+def test_typos_and_mixed_letters(spark):
+    texts_ = ["Харківська"] * 60 + ["Xарківська", "Харкiвська", "Харківьска", "Харквська", "харківсська", "Харківська"] + ["Сумська"] * 40
+    texts_ += ["Район-1"] * 50 + ["Район-2"] * 3 + ["cash"] * 30 + ["cosh"] + ["Mykolaiv"] * 20 + ["Mykolajv", "Mikolajv"] + [None]
+    df = spark.createDataFrame([(t,) for t in texts_], "t string")
+    fixed, mapping = category_normalize(df, "t", slips=True)
+    got = {r.t: r["count"] for r in fixed.groupBy("t").count().collect()}
+    assert got == {"Харківська": 66, "Сумська": 40, "Район-1": 50, "Район-2": 3, "cash": 30, "cosh": 1, "Mykolaiv": 21, "Mikolajv": 1, None: 1}
+    assert {r.variant for r in mapping.collect()} == {"Xарківська", "Харкiвська", "Харківьска", "Харквська", "харківсська", "Mykolajv"}
+    assert category_normalize(df.limit(0), "t", slips=True)[1].count() == 0
+    assert {r.t for r in category_normalize(df, "t")[0].distinct().collect()} == set(texts_)  # only when asked for
+
+
 def test_verdicts_are_kept_with_the_table(spark, tmp_path):
     """The first file decides; only a column with few values there is looked up in the others; a new table needs a new verdict."""
     root, path = str(tmp_path), str(tmp_path / "visits")
