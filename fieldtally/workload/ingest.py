@@ -12,7 +12,7 @@ from fieldtally.operators.profile import union_all
 from fieldtally.operators.rowids import ROW_ID, derived_ids, keep_first
 from fieldtally.plans.report import evaluate_registry
 from fieldtally.session import scratch_path
-from fieldtally.sources.documents import doc_text
+from fieldtally.sources.documents import doc_text, scan_documents
 from fieldtally.sources.logs import LOG_SCHEMA, log_damage, log_scan, log_summary
 from fieldtally.sources.pages import rows_to_table, scan_json_pages
 from fieldtally.sources.sinks import sink_clean, sink_pull
@@ -139,6 +139,28 @@ def _doc_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("doc_csv_scan", """
+WITH rows AS (
+  SELECT c_nationkey % 5 AS part, c_custkey::VARCHAR || chr(9) || c_name || ', "' || c_mktsegment || '"' || chr(9) || coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS line,
+    row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) AS n FROM customer
+)
+SELECT part::VARCHAR AS part, md5('key' || chr(9) || 'label' || chr(9) || 'kind' || chr(10) || string_agg(line || chr(10), '' ORDER BY n) FILTER (n < 200)
+  || CASE WHEN count(*) >= 200 THEN '[... more rows omitted ...]' || chr(10) ELSE '' END) AS text_md5, count(*) AS n_rows
+FROM rows GROUP BY part""")
+def _doc_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as CSV documents with quoted cells, read back as capped texts and, for the count, as a table."""
+    path = scratch_path(spark, "csv-documents")
+    segment = F.col("c_mktsegment")
+    rows = table(spark, sf_dir, "customer").select(
+        (F.col("c_nationkey") % 5).alias("part"), F.col("c_custkey").alias("key"),
+        F.concat("c_name", F.lit(', "'), segment, F.lit('"')).alias("label"), F.when(segment != "BUILDING", segment).alias("kind"),
+    )
+    rows.repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part").csv(path, header=True, escape='"')
+    texts = scan_documents(spark, path).select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    counted = spark.read.csv(path, header=True, escape='"').groupBy(F.col("part").cast("string").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return texts.join(counted, "part")
+
+
 def _session_log(spark: SparkSession, sf_dir: str) -> str:
     """Events as a session log, JSON lines whose payload differs by kind: some costs are words, some lines cut or no object."""
     kinds = {"click": "tool_use", "view": "code_executed", "error": "pii_block", "purchase": "result"}

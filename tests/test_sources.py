@@ -318,13 +318,45 @@ def test_numbers_are_no_dates_and_months(spark):
 
 def test_documents(spark, tmp_path):
     """Texts by file name, cut at 30,000 characters; other kinds of files are left out."""
-    (tmp_path / "wells.md").write_text("Wells\n=====\nw1 dug, 12 m", encoding="utf-8")
-    (tmp_path / "long.txt").write_text("їжак" * 7_500 + "!", encoding="utf-8")
-    (tmp_path / "exact.txt").write_text("ґ" * 30_000, encoding="utf-8")
+    whole = {"wells.md": "Wells\n=====\n\nw1 dug, 12 m", "ended.txt": "a\r\nb\n\n", "breaks.txt": "\n" * 40_000, "exact.txt": "ґ" * 30_000,
+             "long.txt": "їжак" * 7_500 + "!", "lines.txt": "".join(f"рядок {n}\n" for n in range(9_000)), "empty.txt": "", "one.md": "\n"}
+    for name, text in whole.items():
+        (tmp_path / name).write_bytes(text.encode())
     (tmp_path / "map.bin").write_bytes(b"\x00\x01")
+    del whole["empty.txt"]
     got = {r.name: r.text for r in scan_documents(spark, str(tmp_path)).collect()}
-    assert sorted(got) == ["exact.txt", "long.txt", "wells.md"] and got["wells.md"].splitlines()[-1] == "w1 dug, 12 m"
-    assert got["exact.txt"] == "ґ" * 30_000 and got["long.txt"] == "їжак" * 7_500 + "\n[... document truncated ...]"
+    assert got == {name: text if len(text) <= 30_000 else text[:30_000] + "\n[... document truncated ...]" for name, text in whole.items()}
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_documents_of_many_blocks(spark, tmp_path, block):
+    text = "".join(f"{n} {'x' * (n % 17)}\n" for n in range(400))
+    (tmp_path / "t.txt").write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        for cap in (10, 1000, 10_000):
+            got = scan_documents(spark, str(tmp_path), cap).first().text
+            assert got == (text if len(text) <= cap else text[:cap] + "\n[... document truncated ...]")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_documents(spark, tmp_path):
+    """Tabs between cells, quotes taken off, breaks inside cells kept, 200 rows with the header and a marker."""
+    import csv
+
+    rows = {"few.csv": [["well", "note"], ["w1", 'a "deep", one'], ["", "two\nlines\n\nend"], ["w3", ""], [], ["x", '"', ","]],
+            "many.csv": [["n", "text"], *([str(n), f"reading, {n}"] for n in range(250))], "just.csv": [[str(n)] for n in range(200)],
+            "wide.csv": [["y" * 900, '"' * 300] for _ in range(60)]}
+    for name, table in rows.items():
+        with (tmp_path / name).open("w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\r\n" if name == "few.csv" else "\n").writerows(table)
+    expected = {}
+    for name, table in rows.items():
+        text = "".join("\t".join(r) + "\n" for r in table[:200]) + ("[... more rows omitted ...]\n" if len(table) > 200 else "")
+        expected[name] = text if len(text) <= 30_000 else text[:30_000] + "\n[... document truncated ...]"
+    assert {r.name: r.text for r in scan_documents(spark, str(tmp_path)).collect()} == expected
 
 
 def test_log_summary(spark, tmp_path):
