@@ -45,9 +45,10 @@ def _value_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: ``(column, dtype, n_rows, null_rate, pii, n_values, values, min, max)``.
+    """One row per column: ``(column, dtype, n_rows, null_rate, pii, n_values, values, min, max, earliest, latest)``.
 
-    ``n_rows`` is the number of rows of the dataset, the same in every row.
+    ``n_rows`` is the number of rows of the dataset, the same in every row. Numbers have a range from ``min`` to ``max``, dates and times
+    one from ``earliest`` to ``latest``, as text.
 
     First pass: missing rates, ranges and a distinct-count sketch of every column, one row in all. Second
     pass: exact distinct values of the columns the sketch shows to be near or under the limit.
@@ -56,6 +57,7 @@ def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
     personal = set(pii_detect(df) if pii is None else pii)
     open_columns = [c for c in df.columns if c not in personal]
     numeric = [c for c in open_columns if kinds[c] in ("whole", "real", "bool")]
+    dated = [c for c in open_columns if kinds[c] == "time"]
     spots = {c: n for n, c in enumerate(df.columns)}
     row = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -63,16 +65,19 @@ def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
         *(F.approx_count_distinct(col(c), RSD).alias(f"near_{spots[c]}") for c in open_columns),
         *(F.min(col(c).cast("double")).alias(f"min_{spots[c]}") for c in numeric),
         *(F.max(col(c).cast("double")).alias(f"max_{spots[c]}") for c in numeric),
+        *(F.min(col(c)).cast("string").alias(f"earliest_{spots[c]}") for c in dated),
+        *(F.max(col(c)).cast("string").alias(f"latest_{spots[c]}") for c in dated),
     ).first().asDict()
     stats = []
     for c, n in spots.items():
         rate = row[f"null_{n}"]
         stats.append((
             n, c, df.schema[c].dataType.simpleString(), rate, c in personal,
-            row.get(f"min_{n}"), row.get(f"max_{n}"),
+            row.get(f"min_{n}"), row.get(f"max_{n}"), row.get(f"earliest_{n}"), row.get(f"latest_{n}"),
         ))
     base = spark.createDataFrame(
-        stats, "at int, column string, dtype string, rate double, pii boolean, min double, max double"
+        stats, "at int, column string, dtype string, rate double, pii boolean, min double, max double, "
+        "earliest string, latest string"
     )
     near = [c for c in open_columns if row[f"near_{spots[c]}"] <= SCREEN]
     if near:
@@ -90,6 +95,7 @@ def profile(df: DataFrame, pii: Sequence[str] | None = None) -> DataFrame:
         F.when(short, F.col("values")).alias("values"),
         F.when(~short, F.col("min")).alias("min"),
         F.when(~short, F.col("max")).alias("max"),
+        "earliest", "latest",
         "at",
     ).orderBy("at").drop("at")
 

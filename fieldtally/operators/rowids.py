@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.functions.columns import col
 from fieldtally.session import staged
@@ -87,13 +88,21 @@ def ensure_row_ids(df: DataFrame) -> DataFrame:
     return df if unique_id(df) is not None else derived_ids(df)
 
 
+def _content_order(df: DataFrame) -> list[Column]:
+    """An order of rows by their content: a 64-bit hash, and the cells themselves where two hashes are equal."""
+    columns = list(map(col, df.columns))
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) or "map<" in f.dataType.simpleString() for f in df.schema.fields):
+        return [content_hash(df)]  # neither hashed nor ordered by Spark
+    return [F.xxhash64(*columns), *columns]
+
+
 def keep_first(df: DataFrame, id_field: str, order: Sequence[Column]) -> DataFrame:
     """The first row of every id in the given order; rows without an id all stay. Ties are settled by content.
 
     The rank limit is applied inside each task before the shuffle, so a hot id costs one row per task.
     Rows without an id take no part in the shuffle.
     """
-    first = Window.partitionBy(col(id_field)).orderBy(*order, content_hash(df))
+    first = Window.partitionBy(col(id_field)).orderBy(*order, *_content_order(df))
     ranked = df.filter(col(id_field).isNotNull()).withColumn("__rank", F.row_number().over(first))
     kept = ranked.filter(F.col("__rank") == 1).drop("__rank")
     if not df.schema[id_field].nullable:

@@ -36,6 +36,8 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 SURPLUS = "__surplus"
+# whole cells, and then one that is quoted and not closed; a quote inside an unquoted cell (5" pipe) is a sign like others
+OPEN_CELL = r'^(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+)?+,)*+"(?:[^"]++|"")*+$'
 
 
 def scan_csv(
@@ -53,35 +55,32 @@ def scan_csv(
     # one more column than the header has takes the cells that would be dropped without a word
     wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
     text = spark.read.csv(path, schema=wide, enforceSchema=True, **options)
-    _refuse_damage(spark, text, path, multiline)
-    text = text.select(*(F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in names))
+    if not multiline:
+        _refuse(spark.read.text(path).where(F.col("value").rlike(OPEN_CELL)), "a cell holds a line break: read it with multiline=True")
+    cells = text.select(*(F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in names), SURPLUS)
+    types, surplus = _cell_types(cells, names if schema is None else ())
+    if surplus:
+        _refuse(text.where(col(SURPLUS).isNotNull()), "a row has more cells than the header")
+    text = cells.select(*map(col, names))
     if schema is None:
-        return cast_cells(text, _cell_types(text))
+        return cast_cells(text, types)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     return cast_cells(text, {f.name: f.dataType.simpleString() for f in schema.fields if f.name in text.columns})
 
 
-def _refuse_damage(spark: SparkSession, text: DataFrame, path: str, multiline: bool) -> None:
-    """An error that names the files, and no cell of them, if rows would be misread."""
-    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    wide = text.where(col(SURPLUS).isNotNull()).select(file.alias("file"), F.lit("a row has more cells than the header").alias("why"))
-    if not multiline:
-        lines = spark.read.text(path)
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        broken = lines.where(quotes % 2 == 1).select(
-            file.alias("file"), F.lit("a cell holds a line break: read it with multiline=True").alias("why")
-        )
-        wide = wide.unionByName(broken)
-    found = wide.distinct().orderBy("file", "why").limit(5).collect()
+def _refuse(rows: DataFrame, why: str) -> None:
+    """An error that names the files of these rows, and no cell of them, if there are any."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")
+    found = rows.select(file).distinct().orderBy("file").limit(5).collect()
     if found:
-        raise ReportError("; ".join(f"{r.file}: {r.why}" for r in found))
+        raise ReportError("; ".join(f"{r.file}: {why}" for r in found))
 
 
-def _cell_types(text: DataFrame) -> dict[str, str]:
-    """One row of tests over all cells: the narrowest type every present cell fits."""
-    tests = []
-    for n, c in enumerate(text.columns):
+def _cell_types(text: DataFrame, columns: Sequence[str]) -> tuple[dict[str, str], int]:
+    """From one pass over the cells: the narrowest type that every present cell of a column fits, and how many rows are too wide."""
+    tests = [F.count(col(SURPLUS)).alias("surplus")]
+    for n, c in enumerate(columns):
         cell = col(c)
         tests += [
             F.count(cell).alias(f"n{n}"),
@@ -90,16 +89,16 @@ def _cell_types(text: DataFrame) -> dict[str, str]:
             F.bool_and(cell.rlike(REAL)).alias(f"r{n}"),
             F.bool_and(cell.isin(*BOOLEAN)).alias(f"b{n}"),
         ]
-    row = text.agg(*tests).first() if tests else None
+    row = text.agg(*tests).first()
     types = {}
-    for n, c in enumerate(text.columns):
+    for n, c in enumerate(columns):
         if row[f"n{n}"] and row[f"w{n}"]:
             types[c] = "bigint" if row[f"i{n}"] else "string"  # a double would round a long id
         elif row[f"n{n}"] == 0 or row[f"r{n}"]:
             types[c] = "double"
         else:
             types[c] = "boolean" if row[f"b{n}"] else "string"
-    return types
+    return types, row["surplus"]
 
 
 def cast_cells(text: DataFrame, types: Mapping[str, str]) -> DataFrame:

@@ -52,6 +52,14 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("profile_dates", """
+SELECT 'o_orderdate' AS "column", strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day,
+  round(avg((o_orderdate IS NULL)::INT), 4) AS null_rate FROM orders""")
+def _profile_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), pii=[]).where("earliest IS NOT NULL")
+    return found.select("column", F.left("earliest", F.lit(10)).alias("first_day"), F.left("latest", F.lit(10)).alias("last_day"), "null_rate")
+
+
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with contact cells of known content: mostly phones, some GPS pairs, rarely either."""
     key = F.col("c_custkey")

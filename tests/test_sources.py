@@ -40,6 +40,23 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
         scan_csv(spark, str(tmp_path / "t.csv"))
 
 
+@pytest.mark.parametrize(("line", "cells"), [
+    ('5" pipe,2', ('5" pipe', "2")), ('a "quoted" word,x', ('a "quoted" word', "x")), ('"5"" pipe, long",2', ('5" pipe, long', "2")),
+    (',"x"', (None, "x")), ('6\'2",5\'1"', ('6\'2"', '5\'1"')),
+])
+def test_quotes_inside_cells(spark, tmp_path, line, cells):
+    (tmp_path / "q.csv").write_text(f"a,b\n{line}\nz,z\n", encoding="utf-8")
+    rows = scan_csv(spark, str(tmp_path / "q.csv"), "a string, b string").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([cells, ("z", "z")], key=repr)
+
+
+@pytest.mark.parametrize("text", ['a,b\n"x\ny",1\n', 'a,b\n1,"x\ny"\n', 'a,b\n5" p,"x, y\nz"\n', 'a,b\n"q","x ""\nz"\n', 'a,b\n,"\n"\n'])
+def test_cells_over_lines_are_refused(spark, tmp_path, text):
+    (tmp_path / "b.csv").write_text(text, encoding="utf-8")
+    with pytest.raises(ReportError, match="b.csv: a cell holds a line break"):
+        scan_csv(spark, str(tmp_path / "b.csv"), "a string, b string")
+
+
 def test_long_whole_numbers_are_not_rounded(spark, tmp_path):
     (tmp_path / "n.csv").write_text("a,b,c\n1234567890123456781,99999999999999999999,9223372036854775807\n"
                                     "1234567890123456782,1,-9223372036854775808\n", encoding="utf-8")
