@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def new_name(name: str, taken: Sequence[str]) -> str:
+    """The name, or the first numbered one that no column has."""
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def sql_text(value: object) -> str:
     """A SQL string literal, or a typed NULL."""
     if value is None:

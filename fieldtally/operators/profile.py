@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.functions.columns import col, families
+from fieldtally.functions.columns import col, families, new_name
 from fieldtally.operators.indicators import evaluate_indicators
-from fieldtally.operators.period import Period, scope
+from fieldtally.operators.period import Period, in_period
 from fieldtally.operators.pii import pii_detect
+from fieldtally.session import staged
 
 # Fixed value: a column with more distinct values is not listed.
 MAX_VALUES = 30
@@ -151,21 +152,43 @@ def compare_measure(
 ) -> DataFrame:
     """Any measure in two periods side by side: ``(category, first_value, second_value, difference, ratio)``.
 
-    Without ``by`` there is one row and no category. A category that only one period has is missing in the other.
+    Without ``by`` there is one row and no category. A category that only one period has is missing in the other. The source is
+    read once for both periods.
     """
-    item = {"code": "c", "measure": {"dataset": "rows", **measure}, "disaggregation": [by] if by else []}
-    sides = []
-    for period, name in ((first, "first_value"), (second, "second_value")):
-        run = evaluate_indicators(scope(df, period), [item], pii, "rows")
-        rows = run.breakdown() if by else run.summary().select(F.lit(None).cast("string").alias("category"), F.col("actual").alias("value"))
-        sides.append(rows.select(F.col("category").alias(f"c_{name}"), F.col("value").alias(name)))
-    left, right = sides
-    both = left.join(right, F.col("c_first_value").eqNullSafe(F.col("c_second_value")), "full_outer")
-    return both.select(
-        F.coalesce("c_first_value", "c_second_value").alias("category"), "first_value", "second_value",
-        (F.col("second_value") - F.col("first_value")).alias("difference"),
-        F.try_divide("second_value", "first_value").alias("ratio"),
-    )
+    flags = {name: new_name(f"in_{name}", df.columns) for name in ("first", "second")}
+    inside = {name: F.coalesce(in_period(df, period), F.lit(False)) for name, period in (("first", first), ("second", second))}
+    rows = df.withColumns({flags[name]: inside[name] for name in flags}).where(F.col(flags["first"]) | F.col(flags["second"]))
+    items = []
+    for name, flag in flags.items():
+        dimensions = [by] if by else []
+        items.append({"code": name, "measure": {"dataset": "rows", **_within(measure, flag)}, "disaggregation": dimensions})
+        there = {"dataset": "rows", "aggregation": "count", "filter": f"{flag} == True"}
+        items.append({"code": f"there_{name}", "measure": there, "disaggregation": dimensions})
+    run = evaluate_indicators(rows, items, pii, "rows")  # one pass: a period is a further condition of the measure
+    if run.counts is not None:
+        run.counts = staged(run.counts, "comparison")
+    if by:
+        found = run.breakdown().groupBy("category")
+    else:
+        found = run.summary().select(F.lit(None).cast("string").alias("category"), "code", F.col("actual").alias("value")).groupBy("category")
+    value = {i["code"]: F.max(F.when(F.col("code") == i["code"], F.col("value"))) for i in items}
+    both = found.agg(*(of.alias(code) for code, of in value.items()))
+    shown = {name: F.when(F.col(f"there_{name}") > 0, F.col(name)) if by else F.col(name) for name in flags}
+    both = both.select("category", *(shown[name].alias(f"{name}_value") for name in flags))
+    return both.withColumns({
+        "difference": F.col("second_value") - F.col("first_value"), "ratio": F.try_divide("second_value", "first_value"),
+    })
+
+
+def _within(measure: Mapping, flag: str) -> dict:
+    """The measure over the rows of one period: each of its conditions, and the period's."""
+    def cut(part: Mapping) -> dict:
+        text = part.get("filter")
+        return {**part, "filter": f"({text}) and {flag} == True" if text else f"{flag} == True"}
+
+    if "numerator" in measure or "denominator" in measure:
+        return {**measure, **{side: cut(measure[side]) for side in ("numerator", "denominator") if isinstance(measure.get(side), Mapping)}}
+    return cut(measure)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -17,7 +17,9 @@ from fieldtally.operators.pii import drop_pii, pii_detect, pii_sample
 from fieldtally.operators.profile import compare_measure, dup_report, null_rates, profile, top_category
 from fieldtally.operators.places import with_place
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
+from fieldtally.operators import profile as profiles
 from fieldtally.operators import rowids
+from fieldtally.session import staged
 from fieldtally.operators.variants import DOMINANCE, SHORTEST, roots
 from fieldtally.plans.adhoc import adhoc_sql, ask
 from fieldtally.sources.sinks import sink_pull
@@ -416,6 +418,24 @@ def test_compare_any_measure(spark):
     assert (total.category, total.first_value, total.second_value, total.difference, total.ratio) == (None, 5.0, 5.0, 0.0, 1.0)
     rows = {r.category: (r.first_value, r.second_value) for r in compare_measure(df, {"aggregation": "count"}, *months, by="g").collect()}
     assert rows == {"a": (1.0, 1.0), "b": (1.0, None)}
+    share = {"aggregation": "percent", "numerator": {"field": "x", "filter": "g == 'a' or x > 9"}, "denominator": {"field": "x"}}
+    for frame in (df, df.withColumnRenamed("g", "in_first")):  # the periods' flags take other names than the table's
+        named = "g" if frame is df else "in_first"
+        own = {**share, "numerator": {"field": "x", "filter": f"{named} == 'a' or x > 9"}}
+        assert tuple(compare_measure(frame, own, *months).first())[1:] == (50.0, 100.0, 50.0, 2.0)
+    empty = Period("d", date(2020, 1, 1), date(2020, 1, 2))
+    assert tuple(compare_measure(df, {"aggregation": "count"}, months[0], empty).first())[1:] == (2.0, 0.0, -2.0, 0.0)
+
+
+def test_a_comparison_reads_its_source_once(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(profiles, "staged", lambda frame, label: (plans.append(frame._jdf.queryExecution().executedPlan().toString()), staged(frame, label))[1])
+    spark.sql("SELECT '2024-01-05' AS d, 'a' AS g, 2.0D AS x").write.parquet(str(tmp_path / "p"))
+    months = [Period("d", date(2024, m, 1), date(2024, m, 28)) for m in (1, 2)]
+    for by in (None, "g"):
+        frame = compare_measure(spark.read.parquet(str(tmp_path / "p")), {"aggregation": "sum", "field": "x", "filter": "x > 1"}, *months, by=by)
+        assert str(tmp_path) not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count("FileScan") for plan in plans] == [1, 1]
 
 
 def test_places_and_shown_numbers(spark):
