@@ -264,7 +264,11 @@ class Field:
 
 
 def train(docs: DataFrame) -> Field:
-    """Count shapes, neighbours and repeated base spans over all documents; the counts become log-odds."""
+    """Count shapes, neighbours and repeated base spans over all documents; the counts become log-odds.
+
+    NULL and empty texts count nothing, repeated rows as often as they stand, texts of any length whole; an empty table gives the
+    weights of no evidence.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -372,7 +376,8 @@ def written(spans: dict[str, list[Span]]) -> str:
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts and digest of the base spans, all spans as text, and how many the field added.
 
-    NULL and empty texts have none; the digest of no span is that of the empty string.
+    NULL and empty texts have none; the digest of no span is that of the empty string. Texts of any length are searched whole, a
+    repeated row has a row of its own, a NULL doc_id stays NULL, and an empty table gives no rows.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -400,7 +405,11 @@ def masked(text: str, spans: dict[str, list[Span]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with masked texts; all columns stay, ``n_chars`` (if there) follows the new text. A NULL text stays NULL."""
+    """``docs`` with masked texts; all columns stay, ``n_chars`` (if there) follows the new text.
+
+    A NULL text stays NULL and an empty one empty, texts of any length are masked whole, repeated rows are masked alike, and an empty
+    table stays empty.
+    """
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
         bodies = ["" if t is None else t for t in text]

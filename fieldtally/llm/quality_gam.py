@@ -168,7 +168,8 @@ def train(
 ) -> Gam:
     """Fit on the labelled texts whose crc32 remainder is not ``held_out``, at most ``sample`` of them.
 
-    An id that stands in several rows is trained on once, with the smallest of its number rows.
+    An id that stands in several rows is trained on once, with the smallest of its number rows. NULL and empty texts are texts without
+    words; labels of ids that are not there are passed over; an empty table gives a model that scores every text alike.
     """
     chosen = training_labels(labels, label, modulus, held_out, sample)  # bounded by ``sample`` rows
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
@@ -189,7 +190,10 @@ def train(
 
 
 def score(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted (1 from ``threshold`` on) of every row, empty and NULL texts too."""
+    """doc_id, score and predicted (1 from ``threshold`` on) of every row, empty and NULL texts too.
+
+    Repeated rows score alike, each in a row of its own, texts of any length are scored whole, and an empty table gives no rows.
+    """
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
         x = np.array([numbers(t) for t in texts], float).reshape(len(texts), len(NAMES))
@@ -200,7 +204,11 @@ def score(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns unchanged."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns unchanged.
+
+    A NULL text is judged as an empty one, repeated rows stay or go together, a score of exactly the threshold stays, and an empty
+    table stays empty.
+    """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("boolean")

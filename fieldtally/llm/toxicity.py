@@ -222,7 +222,8 @@ def train(
 ) -> Toxicity:
     """Learn the language model from all texts, weights from labelled texts whose remainder is not ``held_out``.
 
-    Texts of the same words and label count once, or the words of a much-copied text would all look telling.
+    Texts of the same words and label count once, or the words of a much-copied text would all look telling. NULL and empty texts
+    have no word; words of equal weight are kept in their order; without a label (or with an empty table) every text scores alike.
     """
     found = Toxicity(log_model(character_counts(docs)))
     chosen = training_labels(labels, label, modulus, held_out, sample)  # bounded by ``sample`` rows
@@ -301,7 +302,10 @@ def _fit(found: Toxicity, read: DataFrame) -> None:
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted (1 from ``threshold`` on) of every row, empty and NULL texts too."""
+    """doc_id, score and predicted (1 from ``threshold`` on) of every row, empty and NULL texts too.
+
+    Repeated rows score alike, each in a row of its own, texts of any length are scored whole, and an empty table gives no rows.
+    """
     held: dict[str, Restorer] = {}
 
     def rows(ids: list, bodies: list[str]) -> dict[str, list]:
