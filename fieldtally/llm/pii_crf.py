@@ -150,6 +150,8 @@ def nodes(text: str, base: dict[str, list[Span]]) -> Nodes:
     found = list(taken)
     if DIGIT.search(text):
         found += _known(text, base["card"] + base["phone"], found)
+        if "+" in text:  # a number whose base match ran on into an address or another number
+            found += _between(PHONE, text, found, 8, 15)
         found += _between(GROUPS, text, found, 7, 15)
         found += _between(BARE, text, found, 7)
     if "(" in text or "[" in text or "{" in text:

@@ -144,3 +144,16 @@ def test_redaction(spark):
 
 def test_masking_overlaps():
     assert masked("0123456789", {"email": [(2, 5)], "ip": [(4, 7)], "card": [], "phone": [(8, 9)]}) == "01<EMAIL>7<PHONE>9"
+
+
+def test_a_number_that_runs_on_into_an_address(spark):
+    """The base match from the + on has too many digits and is dropped; the field adds the number, which the pipeline masks."""
+    rows = [(n, f"call +1 (826) 555-40{n:02d} today") for n in range(40)]
+    odd = {100: "call +1 (826) 555-4081 190.137.223.204 now", 101: "at 10.0.0.1 +1 (826) 555-4082 10.0.0.2 +1 (826) 555-4083", 102: "+1 2 3 4 5"}
+    docs = spark.createDataFrame(rows + list(odd.items()), "doc_id long, text string")
+    field = pii_crf.train(docs)
+    found = {r["doc_id"]: r for r in pii_crf.find(docs, field).collect()}
+    assert found[100]["n_phone"] == 0 and found[100]["n_ip"] == 1 and found[100]["n_added"] == 1
+    assert set(found[100]["spans"].split(",")) == {"ip:23:38", "phone:5:22"}
+    clean = {r["doc_id"]: r["text"] for r in pii_crf.redact(docs, field).collect()}
+    assert "555" not in clean[100] and "555" not in clean[101] and clean[102] == odd[102]
