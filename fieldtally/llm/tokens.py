@@ -83,7 +83,8 @@ class Encoder:
         tokenizer.encode_special_tokens = True
         self.tokenizer = tokenizer
         self.drops_blanks = tokenizer.normalizer is not None
-        self.first = Pieces(tokenizer)
+        # a piece takes about 250 bytes; without blanks before words one dictionary holds them all
+        self.first = Pieces(tokenizer, bound=200_000) if self.drops_blanks else Pieces(tokenizer)
         self.inner = self.first if self.drops_blanks else Pieces(tokenizer, " ")
 
     def encode(self, text: str) -> bytes:
