@@ -158,11 +158,8 @@ def reach_of(once: DataFrame) -> DataFrame:
     )
 
 
-def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFrame:
-    """``(keys, dimension, category, beneficiaries)``: the same counts, any number of categories.
-
-    The rows without a dimension are the totals. No label reaches the driver.
-    """
+def five_w_facts(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFrame:
+    """``(keys, dimension, category, __id)`` of every row and activity; the rows without a dimension are the totals."""
     plan = read_spec(spec)
     check_columns(df, plan, pii)
     none = F.lit(None).cast("string")
@@ -177,9 +174,17 @@ def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFr
     )
     kept = [col(name) for name in facts.columns if not name.startswith("__")]
     rows = facts.select(*kept, "__id", "__lanes", F.explode("__activities").alias("Activity"))
-    keys = [col(key) for key in plan.keys]
-    rows = rows.select(*keys, "__id", F.inline("__lanes")).distinct()
-    return rows.groupBy(*keys, "dimension", "category").agg(F.count("__id").alias("beneficiaries"))
+    return rows.select(*(col(key) for key in plan.keys), "__id", F.inline("__lanes"))
+
+
+def five_w_long(df: DataFrame, spec: Mapping, pii: Sequence[str] = ()) -> DataFrame:
+    """``(keys, dimension, category, beneficiaries)``: the same counts, any number of categories.
+
+    The rows without a dimension are the totals. No label reaches the driver.
+    """
+    rows = five_w_facts(df, spec, pii).distinct()
+    keys = [col(name) for name in rows.columns if name != "__id"]
+    return rows.groupBy(*keys).agg(F.count("__id").alias("beneficiaries"))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from fieldtally.functions.numbers import progress_pct
 from fieldtally.operators.fivew import activities, five_w, five_w_long, reach, read_spec
 from fieldtally.operators.indicators import evaluate_indicators
 from fieldtally.operators.measures import evaluate_measure
+from fieldtally.operators.mergeable import add_pull, five_w_pull, measure_facts, merged_counts
 from fieldtally.operators.period import Period, in_period, source_info
 from fieldtally.operators.places import with_place
 from fieldtally.operators.profile import compare_measure, group_counts, period_compare
@@ -184,6 +185,46 @@ def _unique_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(survey(spark, sf_dir, services=True), read_spec(FIVE_W)).select("unique_reach")
 
 
+# Pulls of the survey by year of visit: a household visited in two of them counts once in their union.
+PULLS = {"1994": "year(visit_date) <= 1994", "1996": "year(visit_date) IN (1995, 1996)", "later": "year(visit_date) > 1996"}
+
+
+def _merged(pulls: str, dimension: str | None, where: str) -> str:
+    lane = f"'{dimension}', coalesce({dimension}, '(missing)')" if dimension else "NULL, NULL"
+    return (
+        f"SELECT '{pulls}' AS pulls, {lane.replace(', ', ' AS dimension, ', 1)} AS category, "
+        f"count(DISTINCT household_id) FILTER (amount > 150000) AS value FROM survey WHERE {where}"
+        + (f" GROUP BY {dimension}" if dimension else "")
+    )
+
+
+@query("merged_count_unique", SURVEY + " UNION ALL ".join(
+    _merged(name, dimension, where)
+    for name, where in (("all", "true"), ("early", f"{PULLS['1994']} OR {PULLS['1996']}"))
+    for dimension in (None, "region", "segment")
+))
+def _merged_count_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, visits = scratch_path(spark, "pulls"), survey(spark, sf_dir)
+    measure = {"aggregation": "count_unique", "field": "household_id", "filter": "amount > 150000"}
+    for pull, where in PULLS.items():
+        add_pull(measure_facts(visits.where(where), measure, ["region", "segment"]), store, pull)
+    early = merged_counts(spark, store, ["1994", "1996"]).select(F.lit("early").alias("pulls"), "*")
+    return merged_counts(spark, store).select(F.lit("all").alias("pulls"), "*").unionByName(early)
+
+
+@query("merged_five_w", ACTIVITY + """, lanes AS (
+  SELECT *, NULL AS dimension, NULL AS category FROM activity UNION ALL SELECT *, 'segment', seg FROM activity)
+SELECT region, country, "Period", "Activity", dimension, category, count(DISTINCT household_id) AS beneficiaries,
+       (SELECT count(DISTINCT household_id) FROM activity) AS unique_reach
+FROM lanes GROUP BY region, country, "Period", "Activity", dimension, category""")
+def _merged_five_w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, visits = scratch_path(spark, "pulls"), survey(spark, sf_dir, services=True)
+    for pull, where in PULLS.items():
+        five_w_pull(visits.where(where), FIVE_W, store, pull)
+    whole = merged_counts(spark, f"{store}/reach", name="unique_reach")  # one row
+    return merged_counts(spark, f"{store}/matrix", name="beneficiaries").join(F.broadcast(whole))
+
+
 @query("rows_without_activity", SURVEY + """
 SELECT count(*) FILTER (services IS NULL) AS rows_without_activity FROM survey""")
 def _rows_without_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
