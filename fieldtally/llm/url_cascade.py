@@ -140,7 +140,10 @@ def build(universe: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, filters: DataFrame, key_hash: str) -> DataFrame:
-    """``pages`` with the column ``_listed``: whether the hashed key (NULL: no) is in the cascade."""
+    """``pages`` with the column ``_listed``: whether the hashed key (NULL: no) is in the cascade.
+
+    Filters over ``MAX_BYTES`` are asked in passes, each written before the next is read, so the driver holds one at a time.
+    """
     sizes = filters.groupBy("shard").agg(F.sum(F.length("bits")).alias("bytes"), F.max("shards").alias("n")).collect()
     if not sizes:  # nothing is listed
         return pages.withColumn("_listed", F.lit(False))
@@ -159,6 +162,8 @@ def judged(pages: DataFrame, filters: DataFrame, key_hash: str) -> DataFrame:
         mine = pages.where((shard >= low) & (shard < high)) if last else pages
         held = _loaded(filters.where(F.col("shard").isin(part)))
         here = mine.withColumn("_listed", _membership(held, shards)(F.col(key_hash)))
+        if last:
+            here = staged(here, "url-pass")
         found = here if found is None else found.unionByName(here)
     return found
 

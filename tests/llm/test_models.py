@@ -1,5 +1,6 @@
 """Fitted operators: held-out accuracy, bounds, and awkward rows; base counts against plain versions."""
 
+import itertools
 import math
 import random
 import zlib
@@ -243,3 +244,25 @@ def test_the_sample_is_bounded(spark, sample):
 
     chosen = training_labels(labels, "quality", 4, 2, sample).collect()
     assert len(chosen) == sample and not any(held(r["label_id"], 4, 2) for r in chosen)
+
+
+def test_decoder_equals_enumeration():
+    """On random small lattices the decoded reading is one that no other path beats."""
+    rng = random.Random(11)
+    model = np.log(np.random.default_rng(4).dirichlet(np.ones(28), (28,) * 3)).astype(np.float32)
+
+    def worth(readings):
+        at, total = (0, 0, 0), sum(cost for _, cost in readings)
+        for c in [toxicity._class(x) for letters, _ in readings for x in letters] + [0]:
+            total += float(model[(*at, c)])
+            at = (*at[1:], c)
+        return total
+
+    for _ in range(300):
+        spaced = rng.random() < 0.3
+        stretch = "".join(rng.choice("abio013457@$!|+é" + " ._-" * spaced) * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randint(1, 4)))
+        best: dict[str, float] = {}
+        for path in itertools.product(*toxicity.lattice(stretch, spaced)):
+            text = "".join(letters for letters, _ in path)
+            best[text] = max(best.get(text, -np.inf), worth(path))
+        assert best[toxicity.decode(stretch, model, spaced)] >= max(best.values()) - 1e-3, stretch
