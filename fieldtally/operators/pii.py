@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from fieldtally.functions.columns import col, families
 from fieldtally.functions.text import is_personal, redact, redaction_count
+from fieldtally.session import staged
 
 # Words that mark a column name, the size of the value sample, the share that marks it.
 NAME_WORDS = (
@@ -20,6 +22,9 @@ NAME_WORDS = (
 SAMPLE = 50
 SHARE = 0.3
 
+BLOCK = 4096  # rows of a file whose values are counted together
+HASH_SHIFT = 52  # content hashes are counted by their first 12 bits
+
 _NAMES = re.compile("|".join(map(re.escape, NAME_WORDS)), re.IGNORECASE)
 
 
@@ -45,27 +50,60 @@ def _candidates(df: DataFrame) -> dict[str, str]:
 def pii_sample(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """``(column, value)``: the first values of each column in the given order (without one: by the rows' content).
 
-    One scan of these columns: cells are unfolded by column and each task keeps the first ones of every column before they
-    meet. Equal places are settled by the value. The content of a row is hashed once, before its cells are unfolded.
+    Equal places are settled by the value. No task sorts all its cells: with an order each column is read as one top list,
+    of which a task holds the first values only; by content, see ``_first_values``. The content of a row is hashed once,
+    before its cells are unfolded.
     """
+    if not order:
+        content = F.xxhash64(*map(col, columns)).alias("__content")
+        rows = df.select(content, _cells(df, columns).alias("__cells")).select("__content", F.inline("__cells"))
+        return _first_values(rows, ["__content"], {"__range": F.shiftright("__content", HASH_SHIFT)})
+    kinds = families(df)
+    tops = []
+    for name in columns:
+        present = df.withColumn("__value", _as_text(col(name), kinds[name])).where(F.col("__value").isNotNull())
+        top = present.orderBy(*order, "__value").limit(SAMPLE)
+        tops.append(top.select(F.lit(name).alias("column"), F.col("__value").alias("value")))
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _cells(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The cells of a row, to be unfolded by column."""
     kinds = families(df)
-    cells = F.array(*(
+    return F.array(*(
         F.struct(F.lit(name).alias("__column"), _as_text(col(name), kinds[name]).alias("__value")) for name in columns
     ))
-    if order:
-        rows, places = df.select("*", F.inline(cells)), list(order)
-    else:
-        content = F.xxhash64(*map(col, columns)).alias("__content")
-        rows, places = df.select(content, cells.alias("__cells")).select("__content", F.inline("__cells")), [F.col("__content")]
-    first = Window.partitionBy("__column").orderBy(*places, "__value")
-    ranked = rows.where(F.col("__value").isNotNull()).withColumn("__rank", F.row_number().over(first))
-    return ranked.where(F.col("__rank") <= SAMPLE).select(F.col("__column").alias("column"), F.col("__value").alias("value"))
 
 
-def _shares(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> dict[str, tuple[int, float]]:
+def _first_values(cells: DataFrame, places: Sequence[str], blocks: Mapping[str, Column]) -> DataFrame:
+    """The first values of each column of ``(places, __column, __value)``, without a sort of all cells.
+
+    ``blocks`` are coarser than ``places`` and order alike. Values are counted per column and block; the blocks that hold the
+    first ones are at most as many as these values, and only their cells are ordered. Cells of one place and value are
+    counted, too, so that copies of a row are one line.
+    """
+    present = cells.where(F.col("__value").isNotNull()).withColumns(dict(blocks))
+    by_column, counted = Window.partitionBy("__column"), F.count(F.lit(1)).alias("__n")
+
+    def left(*order: str) -> Column:
+        """How many values are wanted after those that stand before."""
+        before = by_column.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.lit(SAMPLE) - F.coalesce(F.sum("__n").over(before), F.lit(0))
+
+    filled = present.groupBy("__column", *blocks).agg(counted)
+    filled = filled.withColumn("__rank", F.row_number().over(by_column.orderBy(*blocks))).where(F.col("__rank") <= SAMPLE)
+    needed = filled.withColumn("__left", left(*blocks)).where(F.col("__left") > 0).select("__column", *blocks)
+    needed = F.broadcast(staged(needed, "sample-blocks"))  # rows: at most the sample for each column
+    found = present.join(needed, ["__column", *blocks], "left_semi").groupBy("__column", *places, "__value").agg(counted)
+    first = found.withColumn("__left", left(*places, "__value")).where(F.col("__left") > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("__n", "__left")))
+    return first.select(F.col("__column").alias("column"), F.col("__value").alias("value"), copies).drop("col")
+
+
+def _shares(sample: DataFrame) -> dict[str, tuple[int, float]]:
     """By column how many values the sample has (none: no entry) and the share of hits; a row per column, no cell."""
     share = F.avg(is_personal(F.col("value")).cast("int")).alias("share")
-    rows = pii_sample(df, order, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"), share).collect()
+    rows = sample.groupBy("column").agg(F.count(F.lit(1)).alias("n"), share).collect()
     return {r["column"]: (r["n"], r["share"]) for r in rows}
 
 
@@ -81,7 +119,7 @@ def pii_detect(df: DataFrame, order: Sequence[Column] = ()) -> list[str]:
     partitioned. Only column names reach the driver, never a cell.
     """
     candidates = list(_candidates(df))
-    return _found(df.columns, _shares(df, order, candidates) if candidates else {})
+    return _found(df.columns, _shares(pii_sample(df, order, candidates)) if candidates else {})
 
 
 def pii_of_files(spark: SparkSession, path: str) -> list[str]:
@@ -94,16 +132,18 @@ def pii_of_files(spark: SparkSession, path: str) -> list[str]:
     if not files or not candidates:
         return _found(df.columns, {})
     head = spark.read.schema(df.schema).option("basePath", path).parquet(files[0])
-    shares = _shares(*_in_file_order(head, candidates), candidates)
+    shares = _shares(_in_file_order(head, candidates))
     sparse = [name for name in candidates if shares.get(name, (0, 0.0))[0] < SAMPLE]
     if sparse and len(files) > 1:
-        shares |= _shares(*_in_file_order(df, sparse), sparse)
+        shares |= _shares(_in_file_order(df, sparse))
     return _found(df.columns, shares)
 
 
-def _in_file_order(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+def _in_file_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value)``: the first values of each column by file path and row."""
     places = {"__file": "_metadata.file_path", "__row": "_metadata.row_index"}
-    return df.select(*map(col, columns), *(F.col(p).alias(n) for n, p in places.items())), [F.col(n) for n in places]
+    cells = df.select(*(F.col(p).alias(n) for n, p in places.items()), F.inline(_cells(df, columns)))
+    return _first_values(cells, list(places), {"__file": F.col("__file"), "__block": F.floor(F.col("__row") / BLOCK)})
 
 
 def drop_pii(df: DataFrame, pii: Sequence[str]) -> DataFrame:

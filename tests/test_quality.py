@@ -13,7 +13,7 @@ from fieldtally.functions.text import cap_bytes, cap_chars, is_personal, redact,
 from fieldtally.operators.cleaning import CleaningPlan, category_normalize, clean_dataset, date_bounds
 from fieldtally.operators.leaks import leaked_names, leaked_phones, leaked_values
 from fieldtally.operators.period import Period
-from fieldtally.operators.pii import drop_pii, pii_detect, pii_sample
+from fieldtally.operators.pii import _in_file_order, drop_pii, pii_detect, pii_sample
 from fieldtally.operators.profile import compare_measure, dup_report, null_rates, profile, top_category
 from fieldtally.operators.places import with_place
 from fieldtally.operators.rowids import CHUNK, ROW_ID, derived_ids, ensure_row_ids, keep_first, unique_id
@@ -389,6 +389,30 @@ def test_the_sample_hashes_a_row_once(spark):
     assert plan.index("xxhash64") > plan.index("Generate inline") and plan.count("xxhash64") == 1
 
 
+def test_the_sample_sorts_no_whole_task(spark, tmp_path):
+    """Copies, gaps and columns that fill up late: the first fifty as a plain count gives them, and no ranking of all cells."""
+    rows = [(n, n % 3, None if n % 7 else f"s{n}", f"t{n}" if n > 11_000 else None) for n in range(12_000)]
+    df = spark.createDataFrame(rows, "n int, few int, seldom string, tail string")
+    plans = []
+    for order in ([], [F.col("n").desc()]):
+        sample = pii_sample(df, order, ["few", "seldom", "tail"])
+        plans.append(sample._jdf.queryExecution().toString())
+        got = {}
+        for r in sample.collect():
+            got.setdefault(r.column, []).append(r.value)
+        keyed = df.withColumn("h", F.xxhash64("few", "seldom", "tail")).orderBy(*(order or ["h"])).collect()
+        for name in ("few", "seldom", "tail"):
+            assert sorted(got[name]) == sorted([str(r[name]) for r in keyed if r[name] is not None][:50])
+    assert "WindowGroupLimit" not in plans[0] and plans[1].count("TakeOrderedAndProject") == 3 and "Window" not in plans[1]
+    path = str(tmp_path / "t")
+    df.coalesce(1).write.parquet(path)
+    by_file = _in_file_order(spark.read.parquet(path), ["few", "seldom", "tail"])
+    assert "WindowGroupLimit" not in by_file._jdf.queryExecution().toString()
+    got = {(r.column, r.value) for r in by_file.collect()}
+    assert {v for c, v in got if c == "seldom"} == {f"s{n}" for n in range(0, 350, 7)}
+    assert {v for c, v in got if c == "tail"} == {f"t{n}" for n in range(11_001, 11_051)} and by_file.count() == 150
+
+
 def test_unknown_dataset_message(spark, wells):
     with pytest.raises(ReportError, match="Available: wells"):
         Catalog({"wells": wells}).stripped("other")
