@@ -19,7 +19,7 @@ from fieldtally.operators.period import Period, in_period, source_info
 from fieldtally.operators.places import with_place
 from fieldtally.operators.profile import compare_measure, group_counts, period_compare
 from fieldtally.plans.report import evaluate_registry, five_w_report, limit_preview, suppress_high_card
-from fieldtally.session import scratch_path
+from fieldtally.session import scratch_path, staged
 from fieldtally.sources.tables import Catalog
 from fieldtally.workload.base import ACTIVITY, FIVE_W, SURVEY, landed_survey, query, segment_columns, survey, table
 
@@ -218,7 +218,8 @@ SELECT region, country, "Period", "Activity", dimension, category, count(DISTINC
        (SELECT count(DISTINCT household_id) FROM activity) AS unique_reach
 FROM lanes GROUP BY region, country, "Period", "Activity", dimension, category""")
 def _merged_five_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, visits = scratch_path(spark, "pulls"), survey(spark, sf_dir, services=True)
+    # the view is made once, each pull reads its years from the stored rows
+    store, visits = scratch_path(spark, "pulls"), staged(survey(spark, sf_dir, services=True), "visits")
     for pull, where in PULLS.items():
         five_w_pull(visits.where(where), FIVE_W, store, pull)
     whole = merged_counts(spark, f"{store}/reach", name="unique_reach")  # one row

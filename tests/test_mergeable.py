@@ -105,3 +105,24 @@ def test_unknown_pulls(spark, wells, tmp_path):
             merged_counts(spark, store, pulls)
     with pytest.raises(ReportError):
         add_pull(measure_facts(wells, UNIQUE), store, "a/b")
+
+
+def test_a_source_is_read_once(spark, repairs, tmp_path):  # noqa: F811
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(name):
+        seen.add(1)
+        return name
+
+    marked = F.udf(passed, "string").asNondeterministic()
+    five_w_pull(repairs.withColumn(SPEC["whom"]["id_field"], marked(SPEC["whom"]["id_field"])), SPEC, str(tmp_path / "s"), "1", PII)
+    assert seen.value == repairs.count()
+
+
+def test_ids_that_share_keys_share_bitmaps(spark, tmp_path):
+    """Twenty kinds whose ids alternate, over four bitmaps: each kind lies in one or two, not in all."""
+    store = str(tmp_path / "s")
+    facts = spark.range(100_000).select(F.col("id").alias("__id"), (F.col("id") % 20).cast("string").alias("kind"))
+    add_pull(facts, store, "1")
+    assert spark.read.parquet(f"{store}/pulls").count() <= 23
+    assert counts(merged_counts(spark, store)) == {(str(k),): 5000 for k in range(20)}
